@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from behaviorlens.llm import (
     exact_dedup,
+    packing,
 )
 
 MODULES = (
     exact_dedup,
+    packing,
 )
 
 
