@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from behaviorlens.llm import (
+    chat_format,
     exact_dedup,
     packing,
 )
 
 MODULES = (
+    chat_format,
     exact_dedup,
     packing,
 )
