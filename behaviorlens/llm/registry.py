@@ -6,12 +6,14 @@ from behaviorlens.llm import (
     chat_format,
     exact_dedup,
     packing,
+    quality,
 )
 
 MODULES = (
     chat_format,
     exact_dedup,
     packing,
+    quality,
 )
 
 
