@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +22,11 @@ RUN = re.compile(r"\s\s")
 SLICE = 1_000_000
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class _Index(dict):
     """Numbers pieces as they first occur."""
 
@@ -36,7 +42,7 @@ class _Index(dict):
 class CachedEncoder:
     """encode(texts) gives one id array for each text.  At most ``limit`` pieces are remembered."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
@@ -48,6 +54,7 @@ class CachedEncoder:
         elif parts == ["Split", "ByteLevel"] and [p.get("type") for p in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "words"
         self.limit = limit
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"} if self.kind != "whole" else {}
         self._clear()
 
     def _clear(self) -> None:
@@ -64,16 +71,42 @@ class CachedEncoder:
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return [text]
 
+    def _word(self, piece: str) -> list[int] | None:
+        """Ids of a piece that is one word of letters, from the library's model; None for any other piece."""
+        word = piece[1:] if self.kind == "spaced" and piece[:1] == " " else piece
+        if self.kind == "whole" or not word.isalpha():
+            return None
+        if self.kind == "words":
+            if not word.isascii() and not unicodedata.is_normalized("NFC", word):
+                return None
+            piece = word.lower()
+            if not piece.isalpha() or "\u03a3" in word:  # lower case depends on more than the character
+                return None
+        if not piece.isascii() or self.kind == "spaced":
+            piece = "".join(map(_BYTES.__getitem__, piece.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
     def _learn(self) -> None:
         """Encode the pieces that were new."""
         pieces, self.index.new = self.index.new, []
         found: list[list[int]] = [[]] * len(pieces)
         hard = []
+        known = len(self.start)
         for i, piece in enumerate(pieces):
-            word = piece[1:] if self.kind == "spaced" and piece[:1] == " " else piece
-            if self.kind != "whole" and word.isascii() and word.isalpha():  # one word of the model's alphabet
-                word = word.lower() if self.kind == "words" else ("Ġ" + word if len(word) < len(piece) else word)
-                found[i] = [t.id for t in self.tokenizer.model.tokenize(word)]
+            ids = None
+            if piece[-1:] in self.marks:  # a word and a mark are tokens of their own
+                base = piece[:-1]
+                at = self.index.get(base, known)
+                if at < known and base[-1:].isalpha():
+                    begin = self.start[at]
+                    ids = self.flat[begin : begin + self.length[at]].tolist()
+                else:
+                    ids = self._word(base)
+                ids = ids and ids + self.marks[piece[-1]]
+            elif piece:
+                ids = self._word(piece)
+            if ids:
+                found[i] = ids
             elif piece:
                 hard.append(i)
         for i, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False), strict=True):
