@@ -7,6 +7,7 @@ from behaviorlens.llm import (
     exact_dedup,
     packing,
     quality,
+    token_store,
 )
 
 MODULES = (
@@ -14,6 +15,7 @@ MODULES = (
     exact_dedup,
     packing,
     quality,
+    token_store,
 )
 
 
