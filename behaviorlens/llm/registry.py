@@ -5,6 +5,7 @@ from __future__ import annotations
 from behaviorlens.llm import (
     chat_format,
     exact_dedup,
+    line_dedup,
     packing,
     quality,
     token_store,
@@ -13,6 +14,7 @@ from behaviorlens.llm import (
 MODULES = (
     chat_format,
     exact_dedup,
+    line_dedup,
     packing,
     quality,
     token_store,
