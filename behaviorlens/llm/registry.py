@@ -6,6 +6,7 @@ from behaviorlens.llm import (
     chat_format,
     exact_dedup,
     line_dedup,
+    mixing,
     packing,
     quality,
     token_store,
@@ -15,6 +16,7 @@ MODULES = (
     chat_format,
     exact_dedup,
     line_dedup,
+    mixing,
     packing,
     quality,
     token_store,
