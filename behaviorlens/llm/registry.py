@@ -5,6 +5,7 @@ from __future__ import annotations
 from behaviorlens.llm import (
     chat_format,
     exact_dedup,
+    html_text,
     line_dedup,
     mixing,
     packing,
@@ -15,6 +16,7 @@ from behaviorlens.llm import (
 MODULES = (
     chat_format,
     exact_dedup,
+    html_text,
     line_dedup,
     mixing,
     packing,
