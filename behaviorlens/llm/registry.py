@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from behaviorlens.llm import (
+    bm25,
     chat_format,
     exact_dedup,
     html_text,
@@ -14,6 +15,7 @@ from behaviorlens.llm import (
 )
 
 MODULES = (
+    bm25,
     chat_format,
     exact_dedup,
     html_text,
