@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +33,55 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a membership filter, whatever the input: its broadcast is 1 MB.  A fuller filter lets more through.
+FILTER_BITS = 1 << 23
+
+
+def member_filter(values: DataFrame, column: str):
+    """A column function that is true for every long in values[column], and for few others.
+
+    The filter has a fixed size, so it may travel to every task; what it lets through
+    is then joined exactly, so it only saves shuffling rows that cannot match."""
+    spark = values.sparkSession
+    hashed = values.select(F.xxhash64(F.col(column).cast("long")).alias("h"))
+    places = hashed.select(F.explode(F.array(*[F.shiftright("h", s).bitwiseAND(FILTER_BITS - 1) for s in (0, 24)])).alias("p"))
+    words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    found = words.toPandas()
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    carried = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def member(h: pd.Series) -> pd.Series:
+        v = h.to_numpy(np.int64)
+        out = np.ones(len(v), bool)
+        for s in (0, 24):
+            p = (v >> s) & (FILTER_BITS - 1)
+            out &= (carried.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+        return pd.Series(out)
+
+    return lambda col: member(F.xxhash64(col.cast("long")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the links (a, b): component is the smallest node
+    reachable.  Alternates large-star and small-star steps; every round is a table in the shared folder."""
+    both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    now = materialize(both, "links")
+    mark = None
+    while True:
+        each = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = each.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = each.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u != v").distinct(), "large-star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        now = materialize(small.where("u != v").distinct(), "small-star")
+        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if tuple(found) == mark:
+            break
+        mark = tuple(found)
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

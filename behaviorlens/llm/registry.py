@@ -9,6 +9,7 @@ from behaviorlens.llm import (
     html_text,
     line_dedup,
     mixing,
+    ngram_join,
     packing,
     quality,
     token_store,
@@ -21,6 +22,7 @@ MODULES = (
     html_text,
     line_dedup,
     mixing,
+    ngram_join,
     packing,
     quality,
     token_store,
