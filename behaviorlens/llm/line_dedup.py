@@ -10,8 +10,8 @@ Keys of a substitution carry the deleted word's place, so that all lines of a ke
 within one word of each other.  An insertion is a key that is the whole line of one
 and a variant of another.  So the earliest line of a key decides for all of its lines.
 
-Two lines within one edit share their first or their last half, so that only lines
-with such a partner (by hash) need to emit their variants.
+Two lines within one edit agree outside of one half, and of one piece of any finer
+cut, so that only lines with such a partner (by hash) need to emit their variants.
 """
 
 from __future__ import annotations
@@ -23,30 +23,46 @@ from behaviorlens.llm.common import materialize, table
 
 #: Shorter lines are left alone: too little text to tell a repeat from chance.
 MIN_WORDS = 5
+#: Pieces of the finer cut that a line's partners are looked for by.
+PIECES = 8
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), " ")
+def _plain(line: Column) -> Column:
+    """The line's words with one space between."""
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
-def _joined(words: Column) -> Column:
-    return F.concat_ws(" ", words)
+def _size(plain: Column) -> Column:
+    """Number of words of a plain line; 0 for an empty one."""
+    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, words of every line of at least min_words words."""
+    """doc_id, line_no, plain, n of every line of at least min_words words."""
     exploded = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return exploded.select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    plain = exploded.select("doc_id", "line_no", _plain(F.col("line")).alias("plain"))
+    return plain.withColumn("n", _size(F.col("plain"))).where(F.col("n") >= min_words)
 
 
-def _halves(words: Column) -> Column:
-    """Hashes of the first and last k words, for both k that a partner of this line may use."""
-    n = F.size(words)
+def _pieces(plain: Column, n: Column, parts: int) -> Column:
+    """Hashed keys of which two lines within one edit share one: the line without one of
+    ``parts`` pieces, pieces being counted off the shorter length that a pair may have."""
     keys = []
-    for k in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys.append(F.xxhash64(F.lit("first"), k, _joined(F.slice(words, F.lit(1), k))))
-        keys.append(F.xxhash64(F.lit("last"), k, _joined(F.slice(words, n - k + 1, k))))
-    return F.array_distinct(F.array(*keys))
+    for k in (n, n - 1):
+        for g in range(parts):
+            head = F.floor(k * g / parts).cast("int")
+            tail = F.floor(k * (parts - 1 - g) / parts).cast("int")
+            keys.append(F.xxhash64(
+                k, F.lit(g), F.call_function("substring_index", plain, F.lit(" "), head), F.call_function("substring_index", plain, F.lit(" "), -tail)
+            ))
+    return F.array(*keys)
+
+
+def _with_partner(keyed: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Distinct id_cols of the rows of keyed (id_cols, keys) that share a key with another row."""
+    rows = keyed.select(*id_cols, F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    return rows.join(shared, "key", "left_semi").select(*id_cols).distinct()
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -80,31 +96,29 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     where = F.struct("doc_id", "line_no")
+    plain, n = F.col("plain"), F.col("n")
     seen = materialize(
         _lines(docs, min_words).select(
-            "doc_id", "line_no", F.xxhash64(_joined(F.col("words"))).alias("h1"),
-            F.xxhash64(F.lit("second"), _joined(F.col("words"))).alias("h2"), _halves(F.col("words")).alias("halves"),
+            "doc_id", "line_no", F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("second"), plain).alias("h2"), _pieces(plain, n, 2).alias("keys")
         ), "lines",
     )
-    first = seen.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("halves").alias("halves"))
-    first = materialize(first, "first-lines")
-    halves = first.select("at", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    possible = halves.join(shared, "half", "left_semi").select("at.*").distinct()
-    lines = materialize(
-        _lines(docs, min_words).join(possible, ["doc_id", "line_no"], "left_semi")
-        .dropDuplicates(["doc_id", "line_no"]).select(where.alias("at"), "words"), "possible-lines",
-    )
-    n = F.size("words")
+    first = materialize(seen.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("keys").alias("keys")), "first-lines")
+    possible = _with_partner(first.select("at.*", "keys"), ["doc_id", "line_no"])
+    lines = _lines(docs, min_words).join(possible, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
+    lines = materialize(lines, "possible-lines")
+    closer = _with_partner(lines.select("doc_id", "line_no", _pieces(plain, n, PIECES).alias("keys")), ["doc_id", "line_no"])
+    lines = lines.join(closer, ["doc_id", "line_no"], "left_semi")
+    lines = materialize(lines.select(where.alias("at"), "plain", "n"), "close-lines")
     place = F.sequence(F.lit(1), n)
 
     def variant(p: Column) -> Column:
-        return F.concat_ws(" ", F.slice("words", F.lit(1), p - 1), F.slice("words", p + 1, F.size("words") - p))
+        head = F.call_function("substring_index", plain, F.lit(" "), p - 1)
+        return F.trim(F.concat_ws(" ", head, F.call_function("substring_index", plain, F.lit(" "), p - n)))
 
     keys = F.concat(
         F.transform(place, lambda p: F.struct(F.lit("s").alias("kind"), F.xxhash64(p, variant(p)).alias("key"))),
         F.transform(place, lambda p: F.struct(F.lit("i").alias("kind"), F.xxhash64(F.lit(0), variant(p)).alias("key"))),
-        F.array(F.struct(F.lit("f").alias("kind"), F.xxhash64(F.lit(0), _joined(F.col("words"))).alias("key"))),
+        F.array(F.struct(F.lit("f").alias("kind"), F.xxhash64(F.lit(0), plain).alias("key"))),
     )
     emitted = materialize(lines.select("at", F.explode(F.array_distinct(keys)).alias("k")).select("at", "k.*"), "variants")
     earliest = emitted.groupBy("key").agg(
@@ -116,6 +130,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
         emitted.join(earliest, "key").select("at", partner.alias("before"))
         .where(F.col("before") < F.col("at")).distinct()
     )
+    lines = lines.select("at", F.split("plain", " ").alias("words"))
     before = lines.select(F.col("at").alias("before"), F.col("words").alias("before_words"))
     near = (
         found.join(lines, "at").join(before, "before").where(_within_one(F.col("words"), F.col("before_words")))
@@ -144,7 +159,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     lines = F.filter(
         F.split("text", "\n", -1),
-        lambda line, i: (F.size(_words(line)) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
+        lambda line, i: (_size(_plain(line)) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
     )
     return joined.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(
         F.when(F.col("text").isNotNull(), F.concat_ws("\n", lines)))).select(*names)
