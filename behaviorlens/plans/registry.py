@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from behaviorlens.plans import behaviour
+
+CATALOGUES = (behaviour.CATALOGUE,)
+
 
 def queries():
-    return {}
+    return {name: run for catalogue in CATALOGUES for name, (run, _) in catalogue.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for catalogue in CATALOGUES for name, (_, sql) in catalogue.items() if sql}
 
 
 def flagship(spark, sf_dir):
