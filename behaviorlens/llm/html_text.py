@@ -190,9 +190,9 @@ class Page:
         return inside, out
 
     def candidates(self) -> set[int]:
-        """Hashes of the subtrees that may be templates."""
+        """Hashes of the subtrees that may be templates, of what is no content anyway only the whole."""
         inside, out = self.judge()
-        return {self.digest[i] for i in self._deletable(inside) if not out[i]}
+        return {self.digest[i] for i in self._deletable(inside) if not out[self.parent[i]]}
 
     def _deletable(self, inside: list[bool]) -> list[int]:
         fixed = ("html", "body", "main", "article")
