@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorlens.plans import behaviour
+from behaviorlens.plans import behaviour, records
 
-CATALOGUES = (behaviour.CATALOGUE,)
+CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE)
 
 
 def queries():

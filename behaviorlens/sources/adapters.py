@@ -78,7 +78,7 @@ def cdm(objects: DataFrame, events: DataFrame) -> DataFrame:
     subject = last.select(F.col("uuid").alias("subject"), F.col("d.kind").alias("subject_kind"), F.col("d.host").alias("subject_host"))
     target = last.select(F.col("uuid").alias("predicate_object"), F.col("d.kind").alias("object_kind"))
     joined = events.join(subject, "subject", "left").join(target, "predicate_object", "left")
-    return joined.withColumn("event_type", kind).withColumn("epoch_us", F.floor(F.col("nanos") / 1000))
+    return joined.withColumn("event_type", kind).withColumn("epoch_us", F.expr("nanos div 1000"))
 
 
 ADAPTERS = {"lanl": lanl, "optc": optc, "unsw": unsw, "loghub": loghub}
