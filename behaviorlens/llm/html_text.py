@@ -207,7 +207,8 @@ class Page:
             out[i] = out[i] or self.digest[i] in templates
         for i in range(1, len(self.tag)):
             out[i] = out[i] or out[self.parent[i]]
-        return " ".join("".join([t for i, t in self.items if inside[i] and not out[i]]).split())
+        shown = [t if inside[i] and not out[i] else " " if self.tag[i] in BLOCK else "" for i, t in self.items]
+        return " ".join("".join(shown).split())
 
 
 def _hash_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,42 +27,56 @@ MIN_WORDS = 5
 PIECES = 8
 
 
-def _plain(line: Column) -> Column:
-    """The line's words with one space between."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+#: ASCII white space within a line; a text without any of the odd kinds is taken as it is.
+BLANK = r"[\x20\x09\x0B-\x0D]+"
+ODD = ("  ", "\t", "\x0b", "\x0c", "\r")
+
+
+def _spaced(text: Column) -> Column:
+    """The text with one space for each run of white space within a line."""
+    odd = F.lit(False)
+    for mark in ODD:
+        odd = odd | text.contains(mark)
+    return F.when(odd, F.regexp_replace(text, BLANK, " ")).otherwise(text)
 
 
 def _size(plain: Column) -> Column:
-    """Number of words of a plain line; 0 for an empty one."""
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
+    """Number of words of a line with single spaces and none at its ends."""
+    return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, line_no, plain, n of every line of at least min_words words."""
-    exploded = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    plain = exploded.select("doc_id", "line_no", _plain(F.col("line")).alias("plain"))
+    exploded = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    plain = exploded.select("doc_id", "line_no", F.trim("line").alias("plain")).where(F.octet_length("plain") >= 2 * min_words - 1)
     return plain.withColumn("n", _size(F.col("plain"))).where(F.col("n") >= min_words)
 
 
+def _span(n: Column, k: Column, g: Column, parts: int) -> tuple[Column, Column]:
+    """Words before and after piece g of ``parts`` that are counted off the length k."""
+    return F.floor(k * g / parts).cast("int"), F.floor(k * (parts - 1 - g) / parts).cast("int")
+
+
+def _first_words(plain: Column, k: Column) -> Column:
+    return F.call_function("substring_index", plain, F.lit(" "), k)
+
+
 def _pieces(plain: Column, n: Column, parts: int) -> Column:
-    """Hashed keys of which two lines within one edit share one: the line without one of
-    ``parts`` pieces, pieces being counted off the shorter length that a pair may have."""
+    """struct(k, g, key): hashed keys of which two lines within one edit share one.  A key is the
+    line without piece g, pieces being counted off the shorter length k that a pair may have."""
     keys = []
     for k in (n, n - 1):
         for g in range(parts):
-            head = F.floor(k * g / parts).cast("int")
-            tail = F.floor(k * (parts - 1 - g) / parts).cast("int")
-            keys.append(F.xxhash64(
-                k, F.lit(g), F.call_function("substring_index", plain, F.lit(" "), head), F.call_function("substring_index", plain, F.lit(" "), -tail)
-            ))
+            head, tail = _span(n, k, F.lit(g), parts)
+            key = F.xxhash64(k, F.lit(g), _first_words(plain, head), _first_words(plain, -tail))
+            keys.append(F.struct(k.alias("k"), F.lit(g).alias("g"), key.alias("key")))
     return F.array(*keys)
 
 
-def _with_partner(keyed: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Distinct id_cols of the rows of keyed (id_cols, keys) that share a key with another row."""
-    rows = keyed.select(*id_cols, F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    return rows.join(shared, "key", "left_semi").select(*id_cols).distinct()
+def _with_partner(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of keyed (with a column key) that share their key with another row."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    return keyed.join(shared, "key", "left_semi").select(*columns)
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -99,28 +113,37 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     plain, n = F.col("plain"), F.col("n")
     seen = materialize(
         _lines(docs, min_words).select(
-            "doc_id", "line_no", F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("second"), plain).alias("h2"), _pieces(plain, n, 2).alias("keys")
+            "doc_id", "line_no", F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("second"), plain).alias("h2"),
+            F.transform(_pieces(plain, n, 2), lambda p: p["key"]).alias("keys"),
         ), "lines",
     )
     first = materialize(seen.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("keys").alias("keys")), "first-lines")
-    possible = _with_partner(first.select("at.*", "keys"), ["doc_id", "line_no"])
-    lines = _lines(docs, min_words).join(possible, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
-    lines = materialize(lines, "possible-lines")
-    closer = _with_partner(lines.select("doc_id", "line_no", _pieces(plain, n, PIECES).alias("keys")), ["doc_id", "line_no"])
-    lines = lines.join(closer, ["doc_id", "line_no"], "left_semi")
-    lines = materialize(lines.select(where.alias("at"), "plain", "n"), "close-lines")
-    place = F.sequence(F.lit(1), n)
+    possible = _with_partner(first.select("at.*", F.explode("keys").alias("key")), ["doc_id", "line_no"])
+    # Texts travel once, with the numbers of their possible lines.
+    wanted = possible.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__lines"))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("__doc"))
+    numbered = F.transform(F.split(_spaced(F.col("text")), "\n", -1), lambda line, i: F.struct(i.alias("line_no"), F.trim(line).alias("plain")))
+    chosen = texts.select("doc_id", F.inline(F.filter(numbered, lambda x: F.array_contains("__lines", x["line_no"]))))
+    lines = chosen.withColumn("n", _size(plain)).where(n >= min_words).dropDuplicates(["doc_id", "line_no"])
+    lines = materialize(lines.select(where.alias("at"), "plain", "n"), "possible-lines")
+    pieces = lines.select("at", F.inline(_pieces(plain, n, PIECES)))
+    found = _with_partner(pieces, ["at", "k", "g"]).groupBy("at").agg(F.collect_set(F.struct("k", "g")).alias("spans"))
+    lines = materialize(lines.join(found, "at"), "close-lines")
+
+    def places(span: Column) -> Column:
+        """Places of the words of a piece that a partner may lack or replace."""
+        head, tail = _span(n, span["k"], span["g"], PIECES)
+        return F.sequence(head + 1, n - tail)
 
     def variant(p: Column) -> Column:
-        head = F.call_function("substring_index", plain, F.lit(" "), p - 1)
-        return F.trim(F.concat_ws(" ", head, F.call_function("substring_index", plain, F.lit(" "), p - n)))
-
-    keys = F.concat(
-        F.transform(place, lambda p: F.struct(F.lit("s").alias("kind"), F.xxhash64(p, variant(p)).alias("key"))),
-        F.transform(place, lambda p: F.struct(F.lit("i").alias("kind"), F.xxhash64(F.lit(0), variant(p)).alias("key"))),
-        F.array(F.struct(F.lit("f").alias("kind"), F.xxhash64(F.lit(0), plain).alias("key"))),
-    )
-    emitted = materialize(lines.select("at", F.explode(F.array_distinct(keys)).alias("k")).select("at", "k.*"), "variants")
+        """A hash of the line without word p."""
+        return F.xxhash64(F.trim(F.concat_ws(" ", _first_words(plain, p - 1), _first_words(plain, p - n))))
+
+    place = F.array_distinct(F.flatten(F.transform("spans", places)))
+    each = lines.select("at", F.explode(F.transform(place, lambda p: F.struct(p.alias("p"), variant(p).alias("v")))).alias("x"))
+    kinds = F.array(F.struct(F.lit("s").alias("kind"), F.xxhash64("x.p", "x.v").alias("key")), F.struct(F.lit("i").alias("kind"), F.col("x.v").alias("key")))
+    emitted = each.select("at", F.inline(kinds)).distinct().unionByName(lines.select("at", F.lit("f").alias("kind"), F.xxhash64(plain).alias("key")))
+    emitted = materialize(emitted, "variants")
     earliest = emitted.groupBy("key").agg(
         *[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first_{k}") for k in "sif"], F.count("*").alias("n")
     ).where("n > 1").drop("n")
@@ -159,7 +182,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     lines = F.filter(
         F.split("text", "\n", -1),
-        lambda line, i: (_size(_plain(line)) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
+        lambda line, i: (_size(F.trim(_spaced(line))) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
     )
     return joined.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(
         F.when(F.col("text").isNotNull(), F.concat_ws("\n", lines)))).select(*names)
