@@ -39,28 +39,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def member_filter(values: DataFrame, column: str):
-    """A column function that is true for every long in values[column], and for few others.
-
-    The filter has a fixed size, so it may travel to every task; what it lets through
-    is then joined exactly, so it only saves shuffling rows that cannot match."""
-    spark = values.sparkSession
-    hashed = values.select(F.xxhash64(F.col(column).cast("long")).alias("h"))
+def _filter_bits(hashed: DataFrame) -> np.ndarray:
+    """The bits of a filter over the longs in column h, which are hashes."""
     places = hashed.select(F.explode(F.array(*[F.shiftright("h", s).bitwiseAND(FILTER_BITS - 1) for s in (0, 24)])).alias("p"))
     words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     found = words.toPandas()
     bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    carried = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _in_filter(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = np.ones(len(v), bool)
+    for s in (0, 24):
+        p = (v >> s) & (FILTER_BITS - 1)
+        out &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+    return out
+
+
+def token_filter(values: DataFrame, column: str):
+    """A function on int64 arrays of hashes, for use in tasks: true for all of values[column], and for few others."""
+    carried = values.sparkSession.sparkContext.broadcast(_filter_bits(values.select(F.col(column).alias("h"))))
+    return lambda v: _in_filter(carried.value, v)
+
+
+def member_filter(values: DataFrame, column: str):
+    """A column function that is true for every long in values[column], and for few others.
+
+    The filter has a fixed size, so it may travel to every task; what it lets through
+    is then joined exactly, so it only saves shuffling rows that cannot match."""
+    bits = _filter_bits(values.select(F.xxhash64(F.col(column).cast("long")).alias("h")))
+    carried = values.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def member(h: pd.Series) -> pd.Series:
-        v = h.to_numpy(np.int64)
-        out = np.ones(len(v), bool)
-        for s in (0, 24):
-            p = (v >> s) & (FILTER_BITS - 1)
-            out &= (carried.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-        return pd.Series(out)
+        return pd.Series(_in_filter(carried.value, h.to_numpy(np.int64)))
 
     return lambda col: member(F.xxhash64(col.cast("long")))
 

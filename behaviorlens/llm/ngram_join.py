@@ -7,8 +7,10 @@ rare tokens are signatures alone, frequent ones in pairs, and a prefix is extend
 losing all of its signatures would take more errors than the similarity allows.
 
 A token is frequent when it stands in the plain prefixes (lowest hashes) of more than
-``FREQUENT`` documents; that is counted over all documents.  Only documents with such
-tokens need the extended prefix.
+``FREQUENT`` documents, counted over all documents.  The classes reach every task as a
+membership filter of fixed size: what the filter says is the class, so that all documents
+order their tokens alike.  Should more tokens be frequent than the filter holds, the
+threshold doubles until they fit.
 
 Documents of equal sets are one node.  Within a signature every node is first compared with the
 signature's smallest node; nodes that are linked by then are not compared again, and only
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import components, materialize, member_filter, table
+from behaviorlens.llm.common import FILTER_BITS, components, materialize, member_filter, table, token_filter
 
 #: Plain prefixes that may share a token before it counts as frequent.
 FREQUENT = 16
@@ -96,6 +98,11 @@ def errors(size: int, percent: int) -> int:
     return size - -(-size * percent // 100)
 
 
+def stored(allowed: int) -> int:
+    """Tokens of a set that are kept beside it: the plain prefix, and some in place of frequent ones."""
+    return allowed + 1 + (allowed + 1) // 2 + 4
+
+
 def signatures(rare: list[int], frequent: list[int], allowed: int) -> list[int]:
     """Signatures of the shortest prefix that more than ``allowed`` errors would be needed to empty.
     rare and frequent are in the order of tokens."""
@@ -116,7 +123,7 @@ def _plain_task(batches: Iterable[pa.RecordBatch], n: int, percent: int) -> Iter
                 sizes.append(len(tokens))
                 one.append(np.add.reduce(_mix(tokens + np.uint64(5))).astype(np.int64) if len(tokens) else 0)
                 two.append(np.add.reduce(_mix(tokens ^ np.uint64(0x5DEECE66D))).astype(np.int64) if len(tokens) else 0)
-                prefixes.append(tokens[: errors(len(tokens), percent) + 1].astype(np.int64))
+                prefixes.append(tokens[: stored(errors(len(tokens), percent))].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "n", "d1", "d2", "prefix"],
@@ -138,26 +145,41 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(task, "node long, tokens array<long>")
 
 
-def _extended(docs: DataFrame, affected: DataFrame, frequent: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, node, n) of the extended prefixes of the affected nodes."""
-    tokens = _sets_of(docs, affected, n).select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    marked = tokens.join(frequent.withColumn("often", F.lit(True)), "token", "left")
-    grouped = marked.groupBy("node", "n").agg(
-        F.collect_list(F.when(F.col("often").isNull(), F.col("token"))).alias("rare"),
-        F.collect_list(F.when(F.col("often"), F.col("token"))).alias("often"),
-    )
+def _frequent(nodes: DataFrame, percent: int) -> DataFrame:
+    """(token) of the frequent tokens, at most an eighth of the filter's bits."""
+    plain = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    counts = nodes.select(F.explode(plain).alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT)
+    counts = materialize(counts, "frequent")
+    limit = FREQUENT
+    while counts.where(F.col("c") > limit).count() > FILTER_BITS // 8:
+        limit *= 2
+    return counts.where(F.col("c") > limit).select("token")
 
-    def task(batches):
+
+def _signed(docs: DataFrame, nodes: DataFrame, often, n: int, percent: int) -> DataFrame:
+    """(sig, node, n) of every node.  Nodes whose stored tokens do not suffice are read again from their texts."""
+
+    def task(batches, whole):
         for batch in batches:
-            sigs = []
-            for size, rare, often in zip(*(batch.column(c).to_pylist() for c in ("n", "rare", "often")), strict=True):
-                ordered = [np.sort(np.array(x, np.int64).view(np.uint64)).view(np.int64).tolist() for x in (rare, often)]
-                sigs.append(signatures(*ordered, errors(size, percent)))
+            sigs, short = [], []
+            for size, tokens in zip(batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = tokens.values.to_numpy(zero_copy_only=False)
+                allowed = errors(size, percent)
+                flags = often(tokens)
+                rare = tokens[~flags]
+                done = whole or len(tokens) == size or len(rare) > allowed
+                sigs.append(signatures(rare.tolist(), tokens[flags].tolist(), allowed) if done else [])
+                short.append(not done)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n").cast(pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "n", "sigs"]
+                [batch.column("node"), batch.column("n").cast(pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(short, pa.bool_())], ["node", "n", "sigs", "short"]
             )
 
-    return grouped.mapInArrow(task, "node long, n long, sigs array<long>").select(F.explode("sigs").alias("sig"), "node", "n")
+    schema = "node long, n long, sigs array<long>, short boolean"
+    first = nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: task(it, False), schema)
+    again = materialize(first.where("short").select("node"), "short-prefixes")
+    sets = _sets_of(docs, again, n).select("node", F.size("tokens").cast("long").alias("n"), "tokens")
+    rest = sets.mapInArrow(lambda it: task(it, True), schema)
+    return first.unionByName(rest).select(F.explode("sigs").alias("sig"), "node", "n")
 
 
 def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -213,15 +235,8 @@ def ngram_components(
     nodes = materialize(
         usable.join(classes, ["n", "d1", "d2"]).where("doc_id = node").dropDuplicates(["node", "d1", "d2"]).select("node", "n", "prefix"), "nodes"
     )
-    frequent = materialize(
-        nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("token"), "frequent"
-    )
-    often = member_filter(frequent, "token")
-    flagged = nodes.select("node", F.explode("prefix").alias("token")).where(often(F.col("token")))
-    affected = materialize(flagged.select("node").distinct(), "affected")
-    unaffected = nodes.join(affected, "node", "left_anti").select(F.explode("prefix").alias("sig"), "node", "n")
-    extended = materialize(_extended(docs, affected, frequent, n, percent), "extended")
-    signed = unaffected.unionByName(extended)
+    often = token_filter(_frequent(nodes, percent), "token")
+    signed = _signed(docs, nodes, often, n, percent)
     groups = signed.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("lead")).where("c > 1").select("sig", "lead")
     shared = materialize(signed.join(groups, "sig"), "shared-signatures")
 
