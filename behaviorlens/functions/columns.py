@@ -124,3 +124,13 @@ def fingerprint(host: Column, rules: Column, features: Column, event_type: Colum
         F.size(features) > 0, F.array_join(F.array_sort(F.slice(features, 1, 3)), ",")
     )
     return F.concat_ws("|", host, F.coalesce(names, F.nullif(event_type, F.lit("")), F.lit("signal")))
+
+
+def parse_duration(text: str) -> float:
+    """Seconds of '5', '250ms', '30s', '5m' or '24h'."""
+    import re
+
+    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(ms|s|m|h|d)?\s*", text.lower())
+    if not m:
+        raise ValueError(f"not a duration: {text!r}")
+    return float(m[1]) * {"ms": 0.001, None: 1, "s": 1, "m": 60, "h": 3600, "d": 86400}[m[2]]

@@ -84,3 +84,42 @@ def socket_summary(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("state") == "SYN_SENT").alias("tcp_syn_sent"), F.count_if(F.col("state") == "CLOSE_WAIT").alias("tcp_close_wait"),
         F.count_distinct(F.when(port != "", port)).alias("unique_remote_ports"),
     )
+
+
+def segment_order(paths: list[str], live: str) -> list[str]:
+    """Rotated segments by name, then the live file."""
+    return [*sorted(p for p in paths if p != live), *([live] if live in paths else [])]
+
+
+def archive_lines(spark: SparkSession, path: str, most_bytes: int = 512 << 20, most_rows: int = 10_000) -> DataFrame:
+    """(member, line_no, value): the first lines of every regular member of tar or tar.gz archives.
+
+    Each archive is read by Spark and unpacked in one task; one above most_bytes fails, and unsafe member names are refused."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def unpack(batches):
+        for batch in batches:
+            for name, size, content in zip(batch["path"], batch["length"], batch["content"], strict=True):
+                if size > most_bytes:
+                    raise ValueError(f"{name} is larger than {most_bytes} bytes")
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                    for member in archive:
+                        if member.name.startswith("/") or ".." in member.name.split("/"):
+                            raise ValueError(f"unsafe member name in {name}")
+                        if member.isfile():
+                            for no, line in zip(range(most_rows), io.TextIOWrapper(archive.extractfile(member), encoding="utf-8"), strict=False):
+                                rows.append((member.name, no, line.rstrip("\n")))
+                yield pd.DataFrame(rows, columns=["member", "line_no", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(unpack, "member string, line_no long, value string")
+
+
+def verify_manifest(spark: SparkSession, paths: str | list[str], manifest: DataFrame) -> DataFrame:
+    """Files whose size or hash is not what the manifest (path, bytes, sha256) says, or that are missing on either side."""
+    found = file_hashes(spark, paths).select("path", F.col("bytes").alias("found_bytes"), F.col("sha256").alias("found_sha256"))
+    joined = manifest.join(found, "path", "full_outer")
+    return joined.where(~F.col("bytes").eqNullSafe(F.col("found_bytes")) | ~F.col("sha256").eqNullSafe(F.col("found_sha256")))
