@@ -32,7 +32,7 @@ from behaviorlens.llm.common import FILTER_BITS, components, materialize, member
 #: Plain prefixes that may share a token before it counts as frequent.
 FREQUENT = 16
 #: Bytes of text shingled at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -114,10 +114,16 @@ def signatures(rare: list[int], frequent: list[int], allowed: int) -> list[int]:
     return singles + [int(np.uint64((3 * a + b) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for a, b in combinations(mixed, 2)]
 
 
+def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays, without a Python object for each value."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+
 def _plain_task(batches: Iterable[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            part = batch.slice(k, 1000)
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
             sizes, one, two, prefixes = [], [], [], []
             for tokens in token_sets(part.column(1).to_pylist(), n):
                 sizes.append(len(tokens))
@@ -160,19 +166,19 @@ def _signed(docs: DataFrame, nodes: DataFrame, often, n: int, percent: int) -> D
     """(sig, node, n) of every node.  Nodes whose stored tokens do not suffice are read again from their texts."""
 
     def task(batches, whole):
-        for batch in batches:
-            sigs, short = [], []
-            for size, tokens in zip(batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
-                tokens = tokens.values.to_numpy(zero_copy_only=False)
-                allowed = errors(size, percent)
-                flags = often(tokens)
-                rare = tokens[~flags]
-                done = whole or len(tokens) == size or len(rare) > allowed
-                sigs.append(signatures(rare.tolist(), tokens[flags].tolist(), allowed) if done else [])
-                short.append(not done)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n").cast(pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(short, pa.bool_())], ["node", "n", "sigs", "short"]
-            )
+        for large in batches:
+            for batch in (large.slice(k, 500) for k in range(0, large.num_rows, 500)):
+                sigs, short = [], []
+                for size, tokens in zip(batch.column("n").to_pylist(), _rows(batch.column("tokens")), strict=True):
+                    allowed = errors(size, percent)
+                    flags = often(tokens)
+                    rare = tokens[~flags]
+                    done = whole or len(tokens) == size or len(rare) > allowed
+                    sigs.append(np.array(signatures(rare.tolist(), tokens[flags].tolist(), allowed) if done else [], np.int64))
+                    short.append(not done)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), batch.column("n"), pa.array(sigs, pa.list_(pa.int64())), pa.array(short, pa.bool_())], ["node", "n", "sigs", "short"]
+                )
 
     schema = "node long, n long, sigs array<long>, short boolean"
     first = nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: task(it, False), schema)
@@ -190,16 +196,17 @@ def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def task(batches):
-        for batch in batches:
-            keep = []
-            for na, x, nb, y in zip(*(batch.column(c).to_pylist() for c in ("na", "pa", "nb", "pb")), strict=True):
-                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                lost_x = int(np.searchsorted(x, y[-1], "right")) - common
-                lost_y = int(np.searchsorted(y, x[-1], "right")) - common
-                overlap = min(na - lost_x, nb - lost_y)
-                keep.append(100 * overlap >= percent * (na + nb - overlap))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                keep = []
+                for na, x, nb, y in zip(batch.column("na").to_pylist(), _rows(batch.column("pa")), batch.column("nb").to_pylist(), _rows(batch.column("pb")), strict=True):
+                    x, y = x.view(np.uint64), y.view(np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    lost_x = int(np.searchsorted(x, y[-1], "right")) - common
+                    lost_y = int(np.searchsorted(y, x[-1], "right")) - common
+                    overlap = min(na - lost_x, nb - lost_y)
+                    keep.append(100 * overlap >= percent * (na + nb - overlap))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(task, "a long, b long").distinct()
 
