@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch: a row may be a long text, and a Python worker holds a batch several times over.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, after which the reused Python worker gives free memory back to the system."""
+    import pyarrow as pa
+
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir, or a new local one where the
     session names none (tests on one machine)."""
@@ -76,11 +90,14 @@ def member_filter(values: DataFrame, column: str):
     bits = _filter_bits(values.select(F.xxhash64(F.col(column).cast("long")).alias("h")))
     carried = values.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def member(h: pd.Series) -> pd.Series:
+    import pandas as pd  # here, so that tasks without it do not load it
+
+    def member(h):
         return pd.Series(_in_filter(carried.value, h.to_numpy(np.int64)))
 
-    return lambda col: member(F.xxhash64(col.cast("long")))
+    member.__annotations__ = {"h": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(member, "boolean")
+    return lambda col: udf(F.xxhash64(col.cast("long")))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ class _Index(dict):
 class CachedEncoder:
     """encode(texts) gives one id array for each text.  At most ``limit`` pieces are remembered."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())

@@ -16,12 +16,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.common import materialize, table, trimmed
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of tokens.  The total is what the first domain's supply allows.
@@ -73,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
     rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(labels).alias("domain"))
     sample = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "domain")
-    counts = texts.mapInArrow(_document_counts, "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
+    counts = texts.mapInArrow(lambda it: trimmed(_document_counts(it)), "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
     counts = materialize(counts.where(" + ".join(DOMAINS) + f" >= {LEAST_DOCS} or word = ''"), "mix-counts")
     sizes = counts.where("word = ''").first()
     n = np.array([sizes[d] if sizes else 0 for d in DOMAINS], float)
@@ -97,6 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
 
     label = F.array_position(F.array(*[F.lit(d) for d in DOMAINS]), F.col("domain")) - 1
     rows = materialize(texts.select(present("text").alias("words"), label.cast("double").alias("label")), "mix-train")
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
     vectors = CountVectorizerModel.from_vocabulary(words, "words", "features").setBinary(True).transform(rows)
     model = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-4, standardization=False).fit(vectors)
     weights, first = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
@@ -110,13 +111,19 @@ def memberships(docs: DataFrame, classifier: Classifier) -> Column:
     carried = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("tokens long, p array<double>")
-    def member(text: pd.Series) -> pd.DataFrame:
-        tokens, p = [], []
-        for t in text:
-            words = _TOKEN.findall((t or "").lower())
-            tokens.append(len(words))
-            p.append(carried.value.posteriors(set(words)))
-        return pd.DataFrame({"tokens": tokens, "p": p})
+    def member(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        classifier = carried.value
+
+        def judged():
+            for text in parts:
+                tokens, p = [], []
+                for t in text:
+                    words = _TOKEN.findall((t or "").lower())
+                    tokens.append(len(words))
+                    p.append(classifier.posteriors(set(words)))
+                yield pd.DataFrame({"tokens": tokens, "p": p})
+
+        yield from trimmed(judged())
 
     return member(docs["text"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import FILTER_BITS, components, materialize, member_filter, table, token_filter
+from behaviorlens.llm.common import FILTER_BITS, components, materialize, member_filter, table, token_filter, trimmed
 
 #: Plain prefixes that may share a token before it counts as frequent.
 FREQUENT = 16
@@ -148,7 +148,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 sets = [t.astype(np.int64) for t in token_sets(part.column(1).to_pylist(), n)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return rows.select("doc_id", "text").mapInArrow(task, "node long, tokens array<long>")
+    return rows.select("doc_id", "text").mapInArrow(lambda it: trimmed(task(it)), "node long, tokens array<long>")
 
 
 def _frequent(nodes: DataFrame, percent: int) -> DataFrame:
@@ -181,10 +181,10 @@ def _signed(docs: DataFrame, nodes: DataFrame, often, n: int, percent: int) -> D
                 )
 
     schema = "node long, n long, sigs array<long>, short boolean"
-    first = nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: task(it, False), schema)
+    first = nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: trimmed(task(it, False)), schema)
     again = materialize(first.where("short").select("node"), "short-prefixes")
     sets = _sets_of(docs, again, n).select("node", F.size("tokens").cast("long").alias("n"), "tokens")
-    rest = sets.mapInArrow(lambda it: task(it, True), schema)
+    rest = sets.mapInArrow(lambda it: trimmed(task(it, True)), schema)
     return first.unionByName(rest).select(F.explode("sigs").alias("sig"), "node", "n")
 
 
@@ -208,7 +208,7 @@ def _possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
                     keep.append(100 * overlap >= percent * (na + nb - overlap))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(task, "a long, b long").distinct()
+    return joined.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(lambda it: trimmed(task(it)), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def ngram_components(
     taken whole, other columns are not read.  percent lies between 1 and 100.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    plain = materialize(docs.mapInArrow(lambda it: _plain_task(it, n, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    plain = materialize(docs.mapInArrow(lambda it: trimmed(_plain_task(it, n, percent)), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
     usable = plain.where("doc_id is not null and n > 0")
     classes = materialize(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = materialize(

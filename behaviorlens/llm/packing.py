@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import table
+from behaviorlens.llm.common import table, trimmed
 from behaviorlens.llm.encoding import encoder
 
 #: Tokens of a window.
@@ -161,7 +161,7 @@ def pack_documents(
     pieces.  Other columns are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: _pack_task(it, tokenizer, end_id, capacity, windows), PIECES
+        lambda it: trimmed(_pack_task(it, tokenizer, end_id, capacity, windows)), PIECES
     )
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.common import materialize, table, trimmed
 from behaviorlens.llm.encoding import encoder
 
 MAGIC = b"RPGS"
@@ -195,7 +195,7 @@ def write_tokens(
     parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     shards = ordered.mapInArrow(
-        lambda it: _write_task(it, tokenizer, end_id, shard_tokens), "part int, shard int, n_tokens long, data binary"
+        lambda it: trimmed(_write_task(it, tokenizer, end_id, shard_tokens)), "part int, shard int, n_tokens long, data binary"
     )
     return materialize(shards, "tokens")
 
