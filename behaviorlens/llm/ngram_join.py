@@ -6,7 +6,7 @@ tokens of either, so that prefixes of a bounded number of "errors" must share a
 rare tokens are signatures alone, frequent ones in pairs, and a prefix is extended until
 losing all of its signatures would take more errors than the similarity allows.
 
-A token is frequent when it stands in the plain prefixes (lowest hashes) of more than
+A token is frequent when it stands in the stored prefixes (lowest hashes) of more than
 ``FREQUENT`` documents, counted over all documents.  The classes reach every task as a
 membership filter of fixed size: what the filter says is the class, so that all documents
 order their tokens alike.  Should more tokens be frequent than the filter holds, the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import FILTER_BITS, components, materialize, member_filter, table, token_filter, trimmed
 
-#: Plain prefixes that may share a token before it counts as frequent.
+#: Stored prefixes that may share a token before it counts as frequent.
 FREQUENT = 16
 #: Bytes of text shingled at a time.
 SLICE = 1 << 18
@@ -151,10 +151,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(lambda it: trimmed(task(it)), "node long, tokens array<long>")
 
 
-def _frequent(nodes: DataFrame, percent: int) -> DataFrame:
+def _frequent(nodes: DataFrame) -> DataFrame:
     """(token) of the frequent tokens, at most an eighth of the filter's bits."""
-    plain = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    counts = nodes.select(F.explode(plain).alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT)
+    counts = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT)
     counts = materialize(counts, "frequent")
     limit = FREQUENT
     while counts.where(F.col("c") > limit).count() > FILTER_BITS // 8:
@@ -242,7 +241,7 @@ def ngram_components(
     nodes = materialize(
         usable.join(classes, ["n", "d1", "d2"]).where("doc_id = node").dropDuplicates(["node", "d1", "d2"]).select("node", "n", "prefix"), "nodes"
     )
-    often = token_filter(_frequent(nodes, percent), "token")
+    often = token_filter(_frequent(nodes), "token")
     signed = _signed(docs, nodes, often, n, percent)
     groups = signed.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("lead")).where("c > 1").select("sig", "lead")
     shared = materialize(signed.join(groups, "sig"), "shared-signatures")
