@@ -56,6 +56,7 @@ CONTAINERS = frozenset("div section ul ol dl table aside details figure header h
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?>[^<>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>|<[!?][^<>]*+>?|[^<]+|<""", re.DOTALL
 )
+_RAW_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 _LABEL = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
@@ -71,7 +72,7 @@ class Page:
         self.items: list[tuple[int, str]] = []
         self._inner: list[list[str]] = [[]]
         stack = [0]
-        at, n, lower = 0, len(source), None
+        at, n = 0, len(source)
         while at < n:
             m = _TOKEN.match(source, at)
             at = m.end()
@@ -89,10 +90,8 @@ class Page:
             if name in VOID:
                 self._close(node)
             elif name in RAW:
-                if lower is None:
-                    lower = source.lower()
-                end = lower.find(f"</{name}", at) if len(lower) == n else -1
-                end = n if end < 0 else end
+                found = _RAW_END[name].search(source, at)
+                end = found.start() if found else n
                 self._inner[node].append(source[at:end])
                 self._close(node)
                 gt = source.find(">", end)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import bm25, registry
+from behaviorlens.llm import bm25, html_text, registry
 from tests.llm.test_edges import documents
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,8 @@ def test_bm25_scores_all_words_of_a_query(spark, tables):
     # The SQL takes 32 words of a query; without that line it is the whole text's.
     whole = registry.oracle_sql()["op8_bm25"].replace("QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, term) <= 32", "")
     assert same_rows(registry.queries()["op8_bm25"](spark, SF), tables.sql(whole))
+
+
+def test_html_with_a_capital_dotted_i():
+    page = "<html><head><title>\u0130</TITLE><style>p{}</style></head><body><p>text of \u0130zmir</p></body></html>"
+    assert html_text.Page(page).text(set()) == "text of \u0130zmir"
