@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
-Every page's element subtrees are hashed bottom-up; Spark counts on how many pages of a
-host each subtree stands; subtrees that recur on many pages of their host are
+Every page's element subtrees are hashed bottom-up; Spark counts on how many distinct pages
+of a host each subtree stands (pages of equal text before that count once); subtrees that recur on many pages of their host are
 deleted.  Elements that HTML itself names as no content, or that a page's author
 labels so, go too, and where a page marks its article only that is read.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import materialize, table
 
-#: A subtree is a template when it stands on at least so many pages of its host and this share of them.
+#: A subtree is a template when it stands on at least so many distinct pages of its host and this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.1
 
 # The elements' kinds, as HTML defines them.
@@ -211,11 +211,18 @@ class Page:
 
 
 def _hash_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of each page, and a digest of its text with all of them."""
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            hashes = [sorted(Page(source or "").candidates()) for source in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
+            hashes, digests = [], []
+            for source in part.column(2).to_pylist():
+                page = Page(source or "")
+                hashes.append(sorted(page.candidates()))
+                digests.append(xxhash.xxh64_intdigest(page.text(set()).encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(digests, pa.int64())], ["page_id", "host", "hashes", "digest"]
+            )
 
 
 def _text_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +250,15 @@ def extract_text(
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hashed = materialize(
         pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.col(html_col).alias("html"))
-        .mapInArrow(_hash_task, "page_id long, host string, hashes array<long>"), "subtrees",
+        .mapInArrow(_hash_task, "page_id long, host string, hashes array<long>, digest long").withColumn("row", F.monotonically_increasing_id()), "subtrees",
     )
-    sizes = hashed.groupBy("host").agg(F.count("*").alias("pages"))
+    # Copies of a page under any url count once, or they would make templates of their own text.
+    firsts = hashed.groupBy("host", "digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialize(hashed.select("host", "digest", "row").join(firsts, ["host", "digest"]).where("row != first").select("row"), "page-copies")
+    distinct = hashed.join(copies, "row", "left_anti")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     rows = hashed.select("page_id", "host", F.explode("hashes").alias("hash"))
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     recurring = counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
     own = rows.join(recurring, ["host", "hash"]).groupBy(F.col("page_id").alias("own_id")).agg(F.collect_set("hash").alias("templates"))
     joined = plain.join(own, F.col("page_id").eqNullSafe(F.col("own_id")), "left")

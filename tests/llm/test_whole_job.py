@@ -39,3 +39,14 @@ def test_bm25_scores_all_words_of_a_query(spark, tables):
 def test_html_with_a_capital_dotted_i():
     page = "<html><head><title>\u0130</TITLE><style>p{}</style></head><body><p>text of \u0130zmir</p></body></html>"
     assert html_text.Page(page).text(set()) == "text of \u0130zmir"
+
+
+def test_html_copies_of_a_page_are_no_templates(spark):
+    alone = "<body><div><p>first of {0}</p></div><div>second of {0}</div></body>"
+    rooted = "<body><article><h1>T{0}</h1><section>part of {0}</section></article></body>"
+    rows = [(i, f"http://h/{i}", alone.format("x")) for i in range(10)] + [(10 + i, "http://h/same", rooted.format("y")) for i in range(10)]
+    rows += [(20 + i, f"http://h/o{i}", f"<body><div>Site</div><div>only {i}</div></body>") for i in range(5)]
+    found = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in found.collect()}
+    assert {got[i] for i in range(10)} == {"first of x second of x"} and {got[i] for i in range(10, 20)} == {"Ty part of y"}
+    assert [got[20 + i] for i in range(5)] == [f"only {i}" for i in range(5)]
