@@ -42,7 +42,7 @@ IMPLIED = {
 }
 #: Never content.
 OUTSIDE = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg object dialog menu".split())
-#: Words of class, id or role that mark what is no content.
+#: Names of class, id or role that mark what is no content, as a whole or before their first - or _.
 LABELS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notification alert popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -162,21 +162,33 @@ class Page:
         """Of each element: whether it lies in the page's article, whether it is no content by its name or labels."""
         size = len(self.tag)
         labels = [self._labels(i) if self.attrs[i] else [] for i in range(size)]
-        out = [False] * size
+        named, labelled = [False] * size, [False] * size
         for i in range(1, size):
             tag = self.tag[i]
-            own = tag in OUTSIDE or (self.attrs[i] and _HIDDEN.search(self.attrs[i]) is not None)
-            if not own and labels[i] and tag not in ("html", "body", "main"):
-                words = {w for label in labels[i] for w in re.split(r"[-_]", label)}
+            named[i] = named[self.parent[i]] or tag in OUTSIDE or bool(self.attrs[i] and _HIDDEN.search(self.attrs[i]))
+            if labels[i] and tag not in ("html", "body", "main"):
+                words = {*labels[i], *(re.split(r"[-_]", label, maxsplit=1)[0] for label in labels[i])}
                 own = bool(words & LABELS) if tag != "article" else bool(words & {"comment", "comments", "ad", "related"})
-                own = own or tag != "h1" and bool({"header", "site-header"} & {*labels[i]})
-            out[i] = out[self.parent[i]] or bool(own)
-        for choose in (
+                labelled[i] = own or tag != "h1" and bool({"header", "site-header"} & {*labels[i]})
+        out = self._below(named, labelled)
+        kinds = (
             lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or "main" in labels[i], lambda i: bool(MAIN_LABELS & {*labels[i]}),
-        ):
-            roots = {i for i in range(1, size) if not out[i] and choose(i)}
+        )
+        roots, wrapped = set(), set()
+        for choose in kinds:
+            found = {i for i in range(1, size) if not named[i] and not labelled[i] and choose(i)}
+            roots = {i for i in found if not out[i]}
             if roots:
                 break
+            wrapped = wrapped or found
+        if wrapped:  # within labelled elements: where most of the text stands there they hold the page's article, and their labels do not count
+            freed = labelled.copy()
+            for i in wrapped:
+                while i := self.parent[i]:
+                    freed[i] = False
+            within = self._below(named, freed)
+            if self._size(wrapped, within) > self._size(roots, out):
+                out, roots = within, roots | wrapped
         inside = [False] * size
         for i in range(1, size):
             inside[i] = i in roots or inside[self.parent[i]]
@@ -188,6 +200,20 @@ class Page:
         self.rooted = bool(roots)
         return inside, out
 
+    def _below(self, named: list[bool], labelled: list[bool]) -> list[bool]:
+        """Of each element: whether it or one around it is named or labelled as no content."""
+        out = [False] * len(named)
+        for i in range(1, len(out)):
+            out[i] = out[self.parent[i]] or named[i] or labelled[i]
+        return out
+
+    def _size(self, roots: set[int], out: list[bool]) -> int:
+        """Letters of the text within the roots, or within the page where there are none, that is not out."""
+        inside = [not roots] * len(out)
+        for i in range(1, len(out)):
+            inside[i] = inside[self.parent[i]] or i in roots
+        return sum(len("".join(t.split())) for i, t in self.items if inside[i] and not out[i])
+
     def candidates(self) -> set[int]:
         """Hashes of the subtrees that may be templates, of what is no content anyway only the whole."""
         inside, out = self.judge()

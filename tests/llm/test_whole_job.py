@@ -50,3 +50,19 @@ def test_html_copies_of_a_page_are_no_templates(spark):
     got = {r["page_id"]: r["text"] for r in found.collect()}
     assert {got[i] for i in range(10)} == {"first of x second of x"} and {got[i] for i in range(10, 20)} == {"Ty part of y"}
     assert [got[20 + i] for i in range(5)] == [f"only {i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("wrapper", ["no-sidebar", "elementor-widget", "has-menu", "widget", "search-page"])
+def test_html_wrappers_of_the_article_stay(wrapper):
+    for inner in ("<article><p>whole body text</p></article>", "<main><p>whole body text</p></main>", "<div class=post><p>whole body text</p></div>"):
+        page = f"<body><p>Logo</p><div class='{wrapper}'>{inner}</div><div class=sidebar>side bar</div></body>"
+        assert html_text.Page(page).text(set()) == "whole body text"
+    inside = f"<body><main><h1>T</h1><div class='{wrapper}'><article>whole body text</article></div></main></body>"
+    assert "whole body text" in html_text.Page(inside).text(set())
+
+
+def test_html_labelled_boxes_still_go():
+    page = "<body><main><p>the body of the page</p><div class='related-posts'><article>teaser</article></div><div id=ad-1>ad</div></main></body>"
+    assert html_text.Page(page).text(set()) == "the body of the page"
+    page = "<body><article><p>short</p></article><section class=comments><article>a longer remark of a reader</article></section></body>"
+    assert html_text.Page(page).text(set()) == "short"
