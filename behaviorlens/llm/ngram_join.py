@@ -14,7 +14,9 @@ threshold doubles until they fit.
 
 Documents of equal sets are one node.  Within a signature every node is first compared with the
 signature's smallest node; nodes that are linked by then are not compared again, and only
-the nodes of a signature that still lie in different components are paired.
+the nodes of a signature that still lie in different components are paired.  That gives the
+components; a node's links all lie in its component, whose nodes are then compared with one another
+block by block, so that every link is counted.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ FREQUENT = 16
 #: Bytes of text shingled at a time.
 SLICE = 1 << 18
 
+#: Nodes and tokens of a block, about, of which two are compared in a task; tokens counted at a time.
+BLOCK_NODES, BLOCK_TOKENS, COLUMNS = 256, 400_000, 8192
+
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -221,14 +226,60 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return sized.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each set of left has in common with each of right."""
+    tokens = np.unique(np.concatenate(left))
+    tokens = tokens[np.isin(tokens, np.concatenate(right))]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(tokens), COLUMNS):
+        part = tokens[k : k + COLUMNS]
+        held = [np.array([np.isin(part, x, assume_unique=True) for x in side], np.float32) for side in (left, right)]
+        out += held[0] @ held[1].T
+    return out
+
+
+def _count_links(rows: pa.Table, percent: int) -> pa.Table:
+    """(node, n_links) of the nodes of two blocks of a component, those of one with those of the other."""
+    low, high = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+    rows = rows.combine_chunks().sort_by("node")
+    block, node = rows["block"].to_numpy(), rows["node"].to_numpy()
+    sets = [x for chunk in rows["tokens"].chunks for x in _rows(chunk)]
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    if not len(a) or not len(b):
+        return pa.table({"node": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+    sizes = np.array([len(x) for x in sets])
+    common = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+    linked = (common > 0) & (100 * common >= percent * (sizes[a][:, None] + sizes[b][None, :] - common))
+    left, right = np.unique(node[a], return_index=True), np.unique(node[b], return_index=True)
+    linked = np.logical_or.reduceat(np.logical_or.reduceat(linked, left[1], 0), right[1], 1) & (left[0][:, None] != right[0][None, :])
+    nodes, counts = (left[0], linked.sum(1)) if low == high else (np.concatenate([left[0], right[0]]), np.concatenate([linked.sum(1), linked.sum(0)]))
+    return pa.table({"node": pa.array(nodes, pa.int64()), "n_links": pa.array(counts, pa.int64())})
+
+
+def _degrees(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n_links) of every node of labels: how many other nodes of its component link with it."""
+    sized = nodes.groupBy("node").agg(F.sum("n").alias("n"))
+    sizes = labels.join(sized, "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int")
+    sizes = materialize(sizes.select("component", "c", blocks.alias("blocks")), "component-sizes")
+    pairs = labels.join(sizes.where("c = 2").select("component"), "component", "left_semi").select("node", F.lit(1).cast("long").alias("n_links"))
+    larger = materialize(labels.join(sizes.where("c > 2"), "component").select("node", "component", "blocks"), "large-components")
+    sets = _sets_of(docs, larger.select("node"), n).where(F.size("tokens") > 0)
+    placed = sets.join(larger, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # A block meets every other and itself.
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "tokens", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counted = met.groupBy("component", "lo", "hi").applyInArrow(lambda rows: _count_links(rows, percent), "node long, n_links long")
+    return pairs.unionByName(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
 def ngram_components(
     docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row, where documents link when 100 * intersection >= percent * union.
 
-    component_id is the smallest doc_id reachable by links; n_links counts the other sets that were
-    verified to link with this one (links within a component that is already known are not all
-    looked for).  A text with words but fewer than n is one token; null texts
+    component_id is the smallest doc_id reachable by links; n_links counts the other sets that link
+    with this one, all of them.  A text with words but fewer than n is one token; null texts
     and texts without words have the empty set, n_shingles 0, and link with nothing.  Rows of null doc_id link
     with nothing and have a null component_id.  Rows that repeat a doc_id are one document with several
     texts: it has the links of each.  An empty table gives no rows.  Very long texts are
@@ -265,8 +316,8 @@ def ngram_components(
     )
     pairs = materialize(_possible(pairs, nodes, percent), "rest-pairs")
     links = materialize(links.unionByName(_verified(docs, pairs, n, percent)), "links")
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    labels = materialize(components(links), "components")
+    degree = _degrees(docs, nodes, labels, n, percent)
     owners = classes.join(labels, "node", "left").join(degree, "node", "left").select(
         "n", "d1", "d2", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )

@@ -1,12 +1,13 @@
 """The operators do the whole job: each test here fails on a version that cut it."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import bm25, html_text, registry
+from behaviorlens.llm import bm25, html_text, ngram_join, registry
 from tests.llm.test_edges import documents
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,30 @@ def test_html_labelled_boxes_still_go():
     assert html_text.Page(page).text(set()) == "the body of the page"
     page = "<body><article><p>short</p></article><section class=comments><article>a longer remark of a reader</article></section></body>"
     assert html_text.Page(page).text(set()) == "short"
+
+
+def brute_links(rows, n, percent):
+    """Of each document, how many distinct sets other than its own link with it."""
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    distinct = set(sets.values())
+    return {d: sum(100 * len(s & o) >= percent * len(s | o) for o in distinct if s and o and o != s) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("nodes", [256, 7])
+def test_ngram_join_counts_every_link(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(d, " ".join([*base[: 80 - d % 3], f"x{d}"])) for d in range(3)]  # three texts that all link
+    for d in range(10, 60):  # a group of near copies that do not all link, and exact copies
+        words = [f"g{i}" for i in range(60)]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(60)] = f"v{rng.randrange(30)}"
+        rows.append((d, " ".join(words)))
+    rows += [(100 + d, " ".join(f"u{rng.randrange(300)}" for _ in range(rng.randrange(40)))) for d in range(40)]
+    rows += [(200, " ".join(f"t{i}" for i in range(70))), (201, " ".join(f"t{i}" for i in range(69)))]
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_components(documents(spark, rows), 3, 80).collect()}
+    assert got == brute_links(rows, 3, 80) and got[0] == got[1] == got[2] == 2 and got[200] == 1
