@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import materialize, table
 
-#: Shorter lines are left alone: too little text to tell a repeat from chance.
+#: Shorter lines only go as exact copies: one word of so few is too much to call the rest a repeat.
 MIN_WORDS = 5
 #: Pieces of the finer cut that a line's partners are looked for by.
 PIECES = 8
@@ -45,11 +45,11 @@ def _size(plain: Column) -> Column:
     return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no, plain, n of every line of at least min_words words."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, plain, n of every line with words."""
     exploded = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    plain = exploded.select("doc_id", "line_no", F.trim("line").alias("plain")).where(F.octet_length("plain") >= 2 * min_words - 1)
-    return plain.withColumn("n", _size(F.col("plain"))).where(F.col("n") >= min_words)
+    plain = exploded.select("doc_id", "line_no", F.trim("line").alias("plain")).where("plain != ''")
+    return plain.withColumn("n", _size(F.col("plain")))
 
 
 def _span(n: Column, k: Column, g: Column, parts: int) -> tuple[Column, Column]:
@@ -98,13 +98,13 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(dropped, kept): dropped has doc_id, line_no, keep_doc_id, keep_line_no, kind of each
-    duplicate, kept has doc_id, line_no of each line of min_words words or more that stays.
+    duplicate, kept has doc_id, line_no of each line with words that stays.
 
     kind is 'copy' for a line whose words were seen before and 'edit' for the first line of its
-    words when an earlier line is within one word of it; keep_* name that earlier line,
+    words, min_words or more, when an earlier such line is within one word of it; keep_* name that earlier line,
     the earliest of its neighbours.  Earlier means smaller (doc_id, line_no), lines numbered from 0.
-    White space only separates words; case counts.  Null texts have no lines, empty lines
-    and lines of few words are never duplicates, rows of null doc_id take no part,
+    White space only separates words; case counts.  Null texts have no lines, lines
+    without words are never duplicates, rows of null doc_id take no part,
     and rows that repeat a doc_id share the decisions on its line numbers.
     Very long lines are handled whole.
     """
@@ -112,9 +112,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     where = F.struct("doc_id", "line_no")
     plain, n = F.col("plain"), F.col("n")
     seen = materialize(
-        _lines(docs, min_words).select(
+        _lines(docs).select(
             "doc_id", "line_no", F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("second"), plain).alias("h2"),
-            F.transform(_pieces(plain, n, 2), lambda p: p["key"]).alias("keys"),
+            F.when(n >= min_words, F.transform(_pieces(plain, n, 2), lambda p: p["key"])).alias("keys"),
         ), "lines",
     )
     first = materialize(seen.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("keys").alias("keys")), "first-lines")
@@ -182,7 +182,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     lines = F.filter(
         F.split("text", "\n", -1),
-        lambda line, i: (_size(F.trim(_spaced(line))) < min_words) | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
+        lambda line, i: (F.trim(_spaced(line)) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
     )
     return joined.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(
         F.when(F.col("text").isNotNull(), F.concat_ws("\n", lines)))).select(*names)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import bm25, html_text, ngram_join, registry
+from behaviorlens.llm import bm25, html_text, line_dedup, ngram_join, registry
 from tests.llm.test_edges import documents
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,14 @@ def test_ngram_join_counts_every_link(spark, monkeypatch, nodes):
     rows += [(200, " ".join(f"t{i}" for i in range(70))), (201, " ".join(f"t{i}" for i in range(69)))]
     got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_components(documents(spark, rows), 3, 80).collect()}
     assert got == brute_links(rows, 3, 80) and got[0] == got[1] == got[2] == 2 and got[200] == 1
+
+
+def test_line_dedup_takes_exact_copies_of_short_lines(spark, tables):
+    df = documents(spark, [(1, "Les.\n\none two three four\n"), (2, "\n Les. \none two three five\nLes\n\t"), (3, "one two three four")])
+    got = {(r["doc_id"], r["line_no"], r["keep_doc_id"], r["keep_line_no"], r["kind"]) for r in line_dedup.duplicate_lines(df)[0].collect()}
+    assert got == {(2, 1, 1, 0, "copy"), (3, 0, 1, 2, "copy")}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert texts == {1: "Les.\n\none two three four\n", 2: "\none two three five\nLes\n\t", 3: ""}
+    # The SQL leaves lines of fewer than five words out; here they take part as copies, and not as edits.
+    whole = registry.oracle_sql()["op3_line_dedup"].replace("FROM l WHERE len(w) >= 5)", "FROM l WHERE w <> [''])").replace("FROM c WHERE r = 1)", "FROM c WHERE r = 1 AND len(w) >= 5)")
+    assert same_rows(registry.queries()["op3_line_dedup"](spark, SF), tables.sql(whole))
