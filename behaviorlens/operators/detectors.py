@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.functions.columns import dot, vectorise
-from behaviorlens.operators.ordering import nearest_rank
+from behaviorlens.operators.ordering import nearest_rank, order_statistic
+
+#: Documented bound of the autoencoder's training frame, chosen by hash of host and time.
+MAX_TRAIN = 10_000
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -112,11 +115,16 @@ class Autoencoder:
         self.w1, self.b1, self.w2, self.b2, self.threshold = w1, b1, w2, b2, threshold
 
     @classmethod
-    def fit(cls, rows: pd.DataFrame, features: Sequence[str], epochs: int = 220, rate: float = 0.015, quantile: float = 0.995, seed: int = 42) -> Autoencoder:
-        """Stochastic descent over a bounded training frame; sequential by nature, so one frame is one task."""
+    def fit(cls, rows: pd.DataFrame, features: Sequence[str], epochs: int = 220, rate: float = 0.015, quantile: float = 0.995, seed: int = 42,
+            scaler: dict[str, tuple[float, float]] | None = None) -> Autoencoder:
+        """Stochastic descent over a bounded training frame; sequential by nature, so one frame is one task.
+        Scaler, unless given, and threshold are those of the frame; fit_windows takes both from all rows."""
         x = rows[list(features)].apply(pd.to_numeric, errors="coerce").fillna(0.0).to_numpy(float)
-        mean, std = x.mean(0), x.std(0)
-        std[std < 1e-9] = 1.0
+        if scaler is None:
+            mean, std = x.mean(0), x.std(0)
+            std[std < 1e-9] = 1.0
+        else:
+            mean, std = (np.array([scaler[f][i] for f in features]) for i in (0, 1))
         z = (x - mean) / std
         d = z.shape[1]
         hidden = max(3, min(12, d // 2))
@@ -141,6 +149,16 @@ class Autoencoder:
         model.threshold = max(float(errors[at]), float(errors.mean() + 3 * errors.std()), 1e-9)
         return model
 
+    @classmethod
+    def fit_windows(cls, clean: DataFrame, features: Sequence[str], epochs: int = 220, quantile: float = 0.995, seed: int = 42, max_train: int = MAX_TRAIN) -> Autoencoder:
+        """Scaler and threshold of all clean windows; only the descent takes at most max_train of them."""
+        sample = clean.orderBy(F.xxhash64("host", "window_start"), "host", "window_start").limit(max_train).select(*features)
+        model = cls.fit(sample.toPandas(), features, epochs, quantile=quantile, seed=seed, scaler=fit_scaler(clean, features))
+        errors = model.apply(clean).select("model_error")
+        row = errors.agg(F.avg("model_error").alias("m"), F.stddev_pop("model_error").alias("s")).first()
+        model.threshold = max(order_statistic(errors, "model_error", quantile), row["m"] + 3 * row["s"], 1e-9)
+        return model
+
     def score(self, top: int = 5) -> Column:
         """struct(error, ratio, top_features) of a row, as built-in expressions over literal weights."""
         floats = lambda row: F.array(*[F.lit(float(v)) for v in row])

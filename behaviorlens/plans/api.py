@@ -28,8 +28,7 @@ EVENT_SCHEMA = (
     "event_id string, timestamp string, host string, category_name string, class_name string, activity_name string, event_type string, source string, status string, "
     "severity string, schema_version string, data struct<process: struct<name: string>, actor: struct<user: struct<name: string>>, source_endpoint: struct<ip: string, hostname: string>>"
 )
-#: Documented bound of the autoencoder's training frame, chosen by hash of host and time.
-MAX_TRAIN = 10_000
+MAX_TRAIN = detectors.MAX_TRAIN
 
 
 def load_metrics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -55,10 +54,8 @@ def build_combined(metrics: DataFrame, events: DataFrame, seconds: int = 60) ->
 
 
 def train(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, seed: int = 42, max_train: int = MAX_TRAIN) -> detectors.Autoencoder:
-    """An autoencoder of normal windows (labelled ones are left out as the guard says), fitted to at most max_train of them."""
-    clean = evaluation.poisoning_guard(combined, "scenario")
-    sample = clean.orderBy(F.xxhash64("host", "window_start"), "host", "window_start").limit(max_train).select(*features)
-    return detectors.Autoencoder.fit(sample.toPandas(), features, epochs=epochs, seed=seed)
+    """An autoencoder of normal windows (labelled ones are left out as the guard says): scaler and threshold of all, weights fitted to at most max_train of them."""
+    return detectors.Autoencoder.fit_windows(evaluation.poisoning_guard(combined, "scenario"), features, epochs, seed=seed, max_train=max_train)
 
 
 def score(combined: DataFrame, model: detectors.Autoencoder, thresholds: Mapping[str, int] | None = None) -> DataFrame:

@@ -360,11 +360,10 @@ def q_ewma(spark, sf_dir):
 
 
 def q_autoencoder_train(spark, sf_dir):
-    """Trains on a bounded sample of windows by hash and reports how its flags and the rules agree over all."""
+    """Trains on the windows, the descent on a bounded sample by hash, and reports how its flags and the rules agree over all."""
     w = combined(spark, sf_dir)
     features = ["value", "k", "event_process_started_count", "event_process_stopped_count", "event_total_count"]
-    sample = w.orderBy(F.xxhash64("host", "window_start")).limit(500).select(*features).toPandas()
-    model = detectors.Autoencoder.fit(sample, features, epochs=10)
+    model = detectors.Autoencoder.fit_windows(w, features)
     out = rules.fuse(model.apply(w, 5), F.col("model_ratio"), LIMITS)
     return evaluation.disagreement(out, F.col("model_ratio") >= 1, F.size("rules") > 0)
 
