@@ -17,15 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import table, trimmed
-from behaviorlens.llm.encoding import encoder
+from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.encoding import Encoder, slices
 
 #: Tokens of a window.
 CAPACITY = 1024
 #: Windows of a shard, as planned before differencing.
 WINDOWS = 48
 #: Share of a shard's tokens that is cut into small pieces, and the pieces' sizes.
-FILLER, SMALL = 0.08, (48, 24, 12, 6, 3, 2, 1)
+FILLER, SMALL = 0.03, (32, 16, 8, 4, 2, 1)
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -89,7 +89,7 @@ class Shards:
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
-        n, cap, data = len(ids), self.capacity, ids.astype("<u4").tobytes()
+        n, cap, data = len(ids), self.capacity, ids.tobytes()
         whole = n - n % cap
         for start in range(0, whole, cap):
             self.rows.append((doc, start, cap, n, self.next, 0, data[4 * start : 4 * (start + cap)]))
@@ -135,13 +135,14 @@ class Shards:
 def _pack_task(batches: Iterable[pa.RecordBatch], path: str, end: int, capacity: int, windows: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     shards = Shards(capacity, windows, (context.partitionId() if context else 0) << 40)
-    tail = np.array([end], np.uint32)
+    encoder = Encoder(path)  # lives as long as the task: workers that wait hold no pieces
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc, ids in zip(part.column(0).to_pylist(), encoder(path).encode(texts), strict=True):
-                shards.add(doc, np.concatenate([ids, tail]))
+        for first, stop in slices(batch.column(1)):
+            ids, sizes = encoder.encode(batch.column(1).slice(first, stop - first))
+            ids = np.insert(ids, np.cumsum(sizes), end).astype("<u4", copy=False)
+            ends = np.cumsum(sizes + 1).tolist()
+            for doc, start, n in zip(batch.column(0).slice(first, stop - first).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                shards.add(doc, ids[start:n])
                 if len(shards.rows) > 2000:
                     yield shards.batch()
     shards.close()
@@ -161,17 +162,20 @@ def pack_documents(
     pieces.  Other columns are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: trimmed(_pack_task(it, tokenizer, end_id, capacity, windows)), PIECES
+        lambda it: _pack_task(it, tokenizer, end_id, capacity, windows), PIECES
     )
 
 
-def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces with a checksum in place of their ids, written and read back."""
     import public_tokenizers
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    pieces = pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "pieces")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_pack": op7_pack}
