@@ -2,56 +2,58 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch: a row may be a long text, and a Python worker holds a batch several times over.
-BATCH_ROWS = "500"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; only Spark's readers touch the path.  Sets the session's Arrow batches to BATCH_ROWS."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """One of the input tables; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trimmed(batches: Iterator) -> Iterator:
-    """The batches, after which the reused Python worker gives free memory back to the system."""
-    import pyarrow as pa
-
-    yield from batches
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, or a new local one where the
-    session names none (tests on one machine)."""
+    """The shared folder of spark.checkpoint.dir; one of this machine only where the whole session runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch while a table is written: a worker holds a batch several times over.
+BATCH_BYTES = "2m"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut at a table
-    that survives the loss of any executor."""
+    that survives the loss of any executor.  Small Arrow batches hold for this write alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bits of a membership filter, whatever the input: its broadcast is 1 MB.  A fuller filter lets more through.
@@ -82,12 +84,12 @@ def token_filter(values: DataFrame, column: str):
     return lambda v: _in_filter(carried.value, v)
 
 
-def member_filter(values: DataFrame, column: str):
-    """A column function that is true for every long in values[column], and for few others.
+def member_filter(values: DataFrame, *columns: str):
+    """A function on columns that is true for every combination of values[columns], and for few others.
 
     The filter has a fixed size, so it may travel to every task; what it lets through
     is then joined exactly, so it only saves shuffling rows that cannot match."""
-    bits = _filter_bits(values.select(F.xxhash64(F.col(column).cast("long")).alias("h")))
+    bits = _filter_bits(values.select(F.xxhash64(*columns).alias("h")))
     carried = values.sparkSession.sparkContext.broadcast(bits)
 
     import pandas as pd  # here, so that tasks without it do not load it
@@ -97,7 +99,20 @@ def member_filter(values: DataFrame, column: str):
 
     member.__annotations__ = {"h": pd.Series, "return": pd.Series}
     udf = F.pandas_udf(member, "boolean")
-    return lambda col: udf(F.xxhash64(col.cast("long")))
+    return lambda *cols: udf(F.xxhash64(*cols))
+
+
+def dropped(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """The rows of docs whose keys, by the names of gone's columns, are no row of gone (nulls are equal); columns of docs may have any name.
+    Only rows that pass the filter of gone's rows travel to the exact join."""
+    suspect = member_filter(gone, *keys)
+    marked = docs.select(F.struct("*").alias("row"), F.struct(*[key.alias(name) for name, key in keys.items()]).alias("key"))
+    marked = marked.withColumn("maybe", suspect(*[F.col(f"key.{name}") for name in keys]))
+    same = F.lit(True)
+    for name in keys:
+        same = same & F.col(f"key.{name}").eqNullSafe(gone[name])
+    checked = marked.where("maybe").join(gone, same, "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(checked.select("row.*"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -111,9 +126,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = each.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = each.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u != v").distinct(), "large-star")
+        discard(now)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u != v").distinct(), "small-star")
+        discard(large)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(found) == mark:
             break
