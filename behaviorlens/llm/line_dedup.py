@@ -79,6 +79,20 @@ def _with_partner(keyed: DataFrame, columns: list[str]) -> DataFrame:
     return keyed.join(shared, "key", "left_semi").select(*columns)
 
 
+def _line_set(lines: DataFrame, name: str) -> DataFrame:
+    """(__doc, name): the line numbers of each document as bits of longs, so that a number is looked up in one step."""
+    word, bit = F.expr("cast(line_no div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(line_no % 64 as int))")
+    words = lines.groupBy(F.col("doc_id").alias("__doc"), word).agg(F.bit_or(bit).alias("bits"))
+    found = words.groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    every = F.sequence(F.lit(0), F.array_max(F.map_keys("bits")))
+    return found.select("__doc", F.transform(every, lambda w: F.coalesce(F.element_at("bits", w), F.lit(0).cast("long"))).alias(name))
+
+
+def _in_line_set(name: str, line_no: Column) -> Column:
+    word = F.get(F.col(name), F.floor(line_no / 64).cast("int"))
+    return F.coalesce(F.call_function("shiftright", word, (line_no % 64).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+
+
 def _within_one(a: Column, b: Column) -> Column:
     """Whether the word lists differ by at most one word substituted, inserted or deleted."""
     n, m = F.size(a), F.size(b)
@@ -120,10 +134,10 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
     first = materialize(seen.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("keys").alias("keys")), "first-lines")
     possible = _with_partner(first.select("at.*", F.explode("keys").alias("key")), ["doc_id", "line_no"])
     # Texts travel once, with the numbers of their possible lines.
-    wanted = possible.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__lines"))
+    wanted = _line_set(possible, "__lines")
     texts = docs.join(wanted, F.col("doc_id") == F.col("__doc"))
     numbered = F.transform(F.split(_spaced(F.col("text")), "\n", -1), lambda line, i: F.struct(i.alias("line_no"), F.trim(line).alias("plain")))
-    chosen = texts.select("doc_id", F.inline(F.filter(numbered, lambda x: F.array_contains("__lines", x["line_no"]))))
+    chosen = texts.select("doc_id", F.inline(F.filter(numbered, lambda x: _in_line_set("__lines", x["line_no"]))))
     lines = chosen.withColumn("n", _size(plain)).where(n >= min_words).dropDuplicates(["doc_id", "line_no"])
     lines = materialize(lines.select(where.alias("at"), "plain", "n"), "possible-lines")
     pieces = lines.select("at", F.inline(_pieces(plain, n, PIECES)))
@@ -177,15 +191,11 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFr
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with duplicate lines taken out of text; all columns and rows stay.  A text whose
     lines all go becomes empty.  Rows of null doc_id or null text are unchanged."""
-    names = docs.columns
-    kept = duplicate_lines(docs, min_words)[1].groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__kept"))
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    lines = F.filter(
-        F.split("text", "\n", -1),
-        lambda line, i: (F.trim(_spaced(line)) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)),
-    )
-    return joined.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(
-        F.when(F.col("text").isNotNull(), F.concat_ws("\n", lines)))).select(*names)
+    kept = _line_set(duplicate_lines(docs, min_words)[1], "__kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), "text").join(kept, F.col("key") == F.col("__doc"), "left")
+    lines = F.filter(F.split("text", "\n", -1), lambda line, i: (F.trim(_spaced(line)) == "") | _in_line_set("__kept", i))
+    text = F.when(F.col("key").isNull(), F.col("text")).otherwise(F.when(F.col("text").isNotNull(), F.concat_ws("\n", lines)))
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +211,8 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)),
         c AS (SELECT doc_id, line_no, w, row_number() OVER (PARTITION BY w ORDER BY doc_id, line_no) AS r,
                      first_value(doc_id) OVER (PARTITION BY w ORDER BY doc_id, line_no) AS kd,
-                     first_value(line_no) OVER (PARTITION BY w ORDER BY doc_id, line_no) AS kl FROM l WHERE len(w) >= 5),
-        f AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS seq, doc_id, line_no, w FROM c WHERE r = 1),
+                     first_value(line_no) OVER (PARTITION BY w ORDER BY doc_id, line_no) AS kl FROM l WHERE w <> ['']),
+        f AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS seq, doc_id, line_no, w FROM c WHERE r = 1 AND len(w) >= 5),
         v AS (SELECT seq, p, array_to_string(w[1:p - 1] || w[p + 1:], ' ') AS v FROM f, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
         s AS (SELECT seq, min(seq) OVER (PARTITION BY p, v) AS before FROM v),
         x AS (SELECT v.seq AS d, f.seq AS e FROM v JOIN f ON v.v = array_to_string(f.w, ' ')),
