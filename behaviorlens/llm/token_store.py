@@ -1,14 +1,14 @@
 """Token-id files compressed by Re-Pair grammars.
 
 A file holds shards; a shard holds the ids of consecutive documents.  Frequent
-pairs of neighbouring symbols are replaced by nonterminals, round after round; a round
-replaces many pairs at once, none of them across a document's end.  Rules and
+pairs of neighbouring symbols are replaced by nonterminals, the most frequent ones first, until no
+pair is frequent any more; none spans a document's end.  Rules and
 the lengths of their expansions are stored, so that any document or span is decoded
 without the rest.
 
 The bytes of a shard: a magic number and seven counts, then arrays of little-endian
-integers (rules, expansion lengths, documents' ids, first tokens, first symbols, the
-symbol sequence in 16 bits where all symbols fit).  A table of such shards is the file.
+integers (rules, expansion lengths, documents' ids, first tokens, first symbols, the low 16 bits
+of the symbols) and the symbols' higher bits, as many as the largest takes.  A table of such shards is the file.
 """
 
 from __future__ import annotations
@@ -18,84 +18,99 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table, trimmed
-from behaviorlens.llm.encoding import encoder
+from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.encoding import SLICE, Encoder, slices
 
 MAGIC = b"RPGS"
-#: Tokens of a shard, at least, and the rounds of pair replacement.
-SHARD_TOKENS, ROUNDS = 1_000_000, 5
-#: A pair becomes a rule when it occurs this often in its shard; rules of a round.
-FREQUENT, ROUND_RULES = 24, 3000
-
-
-def _one_round(symbols: np.ndarray, last: np.ndarray, first_new: int, room: int):
-    """Replace the most frequent pairs.  last marks the final symbol of each document.
-    Gives symbols, last and the pairs of the new rules; the first rule is symbol first_new."""
-    pair = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-    inside = ~last[:-1]
-    ordered = np.sort(pair[inside])
-    if not len(ordered):
-        return symbols, last, np.zeros((0, 2), np.uint32)
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.append(edge, len(ordered)))
-    often = np.flatnonzero(counts >= FREQUENT)
-    often = often[np.argsort(-counts[often], kind="stable")][: min(room, ROUND_RULES)]
-    if not len(often):
-        return symbols, last, np.zeros((0, 2), np.uint32)
-    rules = np.sort(ordered[edge[often]])
-    mask = (1 << 22) - 1
-    hashed = np.zeros(mask + 1, bool)
-    mix = lambda x: ((x * np.int64(-7046029254386353131)) >> np.int64(40)) & mask
-    hashed[mix(rules)] = True
-    hit = np.flatnonzero(hashed[mix(pair)] & inside)
-    rule = np.searchsorted(rules, pair[hit])
-    rule[rule == len(rules)] = 0
-    real = rules[rule] == pair[hit]
-    hit, rule = hit[real], rule[real]
-    # Of neighbouring hits, which overlap, every other one counts.
-    begins = np.concatenate([[True], np.diff(hit) > 1]) if len(hit) else np.zeros(0, bool)
-    run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-    chosen = (np.arange(len(hit)) - run) % 2 == 0
-    hit, rule = hit[chosen], rule[chosen]
-    used, rule = np.unique(rule, return_inverse=True)
-    symbols = symbols.copy()
-    last = last.copy()
-    symbols[hit] = first_new + rule
-    last[hit] = last[hit + 1]
-    keep = np.ones(len(symbols), bool)
-    keep[hit + 1] = False
-    new = rules[used]
-    return symbols[keep], last[keep], np.stack([new >> 32, new & 0xFFFFFFFF], 1).astype(np.uint32)
+#: Tokens of a shard, at least.
+SHARD_TOKENS = 500_000
+#: A pair becomes a rule when it occurs this often in its shard: a rule takes 12 bytes, a pair that it replaces saves two.
+FREQUENT = 8
+#: Buckets in which pairs are counted before they are counted exactly.
+BUCKET_BITS = 19
+
+
+def _places(symbols: np.ndarray, last: np.ndarray, least: int | None, newest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of the pairs of at least ``least`` occurrences (a quarter of the most where None), the number of each
+    one's pair, the pairs, and the count that was asked for.  No pair spans a document's end.  Where newest is given, only pairs
+    that hold a symbol from it on can be that frequent."""
+    a, b, ends = symbols[:-1], symbols[1:], last[:-1]
+    at = None
+    if newest is not None:
+        recent = symbols >= newest
+        at = np.flatnonzero(recent[:-1] | recent[1:])
+        a, b, ends = a[at], b[at], ends[at]
+    bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + (b >> np.uint32(7)))) >> np.uint32(32 - BUCKET_BITS)
+    bucket[ends] = 1 << BUCKET_BITS
+    counts = np.bincount(bucket, minlength=(1 << BUCKET_BITS) + 1)  # of a pair's bucket, so never less than the pair's
+    counts[-1] = 0
+    least = least or max(FREQUENT, int(counts.max()) // 4)
+    likely = np.flatnonzero((counts >= least)[bucket])
+    a, b = a[likely], b[likely]
+    at = likely if at is None else at[likely]
+    pairs, kind, n = np.unique((a.astype(np.uint64) << np.uint64(32)) | b, return_inverse=True, return_counts=True)
+    often = n >= least
+    own = often[kind]
+    return at[own], (np.cumsum(often) - 1)[kind[own]], pairs[often], least
+
+
+def _replace_pairs(symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, last and rules after pairs were replaced until none is frequent.
+
+    Pairs go from the most frequent down: a round replaces all pairs above a count that falls to a quarter
+    from round to round.  Where pairs overlap, every other one is replaced; a pair that keeps fewer than FREQUENT
+    places that way makes no rule."""
+    base = max(int(symbols.max(initial=0)) + 1, 1)
+    rules = [np.zeros(0, np.uint64)]
+    made, least, newest = 0, None, None
+    while True:
+        at, kind, pairs, least = _places(symbols, last, least, newest)
+        begins = np.ones(len(at), bool)
+        begins[1:] = np.diff(at) > 1
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+        chosen = (np.arange(len(at)) - run) % 2 == 0
+        at, kind = at[chosen], kind[chosen]
+        kept = np.bincount(kind, minlength=len(pairs)) >= FREQUENT
+        at, kind = at[kept[kind]], (np.cumsum(kept) - 1)[kind[kept[kind]]]
+        newest = base + made if least == FREQUENT else None
+        if len(at):
+            symbols[at] = base + made + kind
+            last[at] = last[at + 1]
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            symbols, last = symbols[stay], last[stay]
+            rules.append(pairs[kept])
+            made += int(kept.sum())
+        elif least == FREQUENT:
+            break
+        least = max(FREQUENT, least // 4)
+    pairs = np.concatenate(rules)
+    return symbols, last, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
 
 def compress(doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of one shard."""
     base = max(int(ids.max(initial=0)) + 1, 1)
-    room = max(0, 65536 - base) if base < 65536 else 1 << 20
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
+    last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        symbols, last, new = _one_round(symbols, last, base + len(rules), room - len(rules))
-        rules = np.concatenate([rules, new])
-        if not len(new):
-            break
+    symbols, last, rules = _replace_pairs(ids.astype(np.uint32), last)
     lengths = np.ones(base + len(rules), np.uint32)
     for k, (a, b) in enumerate(rules.tolist()):
         lengths[base + k] = lengths[a] + lengths[b]
     ends = np.flatnonzero(last) + 1
-    wide = 2 if base + len(rules) <= 65536 else 4
+    more = next(bits for bits in (0, 1, 2, 4, 8, 16) if (base + len(rules) - 1) >> 16 < 1 << bits)
     first_symbol = np.concatenate([[0], ends]).astype("<i8")
     first_token = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+    high = ((symbols >> 16)[:, None] >> np.arange(more, dtype=np.uint32) & 1).astype(bool)
     return b"".join([
-        MAGIC, struct.pack("<7q", base, len(rules), len(sizes), len(symbols), wide, len(ids), 0),
+        MAGIC, struct.pack("<7q", base, len(rules), len(sizes), len(symbols), more, len(ids), 0),
         rules.astype("<u4").tobytes(), lengths[base:].astype("<u4").tobytes(), np.array(doc_ids, "<i8").tobytes(),
-        first_token.tobytes(), first_symbol.tobytes(), symbols.astype(f"<u{wide}").tobytes(),
+        first_token.tobytes(), first_symbol.tobytes(), (symbols & 0xFFFF).astype("<u2").tobytes(), np.packbits(high).tobytes(),
     ])
 
 
@@ -105,7 +120,7 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard")
-        self.base, n_rules, n_docs, n_symbols, wide, self.tokens, _ = struct.unpack_from("<7q", data, 4)
+        self.base, n_rules, n_docs, n_symbols, more, self.tokens, _ = struct.unpack_from("<7q", data, 4)
         at = 4 + 56
 
         def take(dtype: str, n: int) -> np.ndarray:
@@ -119,7 +134,11 @@ class Shard:
         self.doc_ids = take("<i8", n_docs)
         self.first_token = take("<i8", n_docs + 1)
         self.first_symbol = take("<i8", n_docs + 1)
-        self.symbols = take(f"<u{wide}", n_symbols)
+        self.symbols = take("<u2", n_symbols).astype(np.uint32)
+        if more:
+            high = np.unpackbits(take("u1", -(-n_symbols * more // 8)), count=n_symbols * more).reshape(-1, more)
+            for k in range(more):
+                self.symbols |= high[:, k].astype(np.uint32) << np.uint32(16 + k)
         # The expansions one after the other; symbol s spans flat[begin[s] : begin[s] + length[s]].
         self.length = np.concatenate([np.ones(self.base, np.int64), self.rule_lengths.astype(np.int64)])
         self.begin = np.cumsum(self.length) - self.length
@@ -153,30 +172,31 @@ def _write_task(batches: Iterable[pa.RecordBatch], path: str, end: int, shard_to
     context = TaskContext.get()
     part = context.partitionId() if context else 0
     ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     docs: list[int] = []
-    total = made = 0
-    tail = np.array([end], np.uint32)
+    total = made = before = 0
+    encoder = Encoder(path)  # lives as long as the task: workers that wait hold no pieces
 
     def shard() -> pa.RecordBatch:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        data = compress(docs, sizes, np.concatenate(ids))
+        data = compress(docs, np.concatenate(sizes), np.concatenate(ids))
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([int(sizes.sum())], pa.int64()), pa.array([data], pa.binary())],
-            ["part", "shard", "n_tokens", "data"],
+            [pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([total], pa.int64()), pa.array([before], pa.int64()), pa.array([data], pa.binary())],
+            ["part", "shard", "n_tokens", "before", "data"],
         )
 
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            rows = batch.slice(k, 500)
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for doc, found in zip(rows.column(0).to_pylist(), encoder(path).encode(texts), strict=True):
-                ids.append(np.concatenate([found, tail]))
-                docs.append(-(1 << 63) if doc is None else doc)
-                total += len(found) + 1
-                if total >= shard_tokens:
-                    yield shard()
-                    ids, docs, total, made = [], [], 0, made + 1
-    if ids:
+        names = pc.fill_null(batch.column(0), -(1 << 63)).to_pylist()
+        for first, stop in slices(batch.column(1), min(SLICE, 4 * shard_tokens)):
+            found, size = encoder.encode(batch.column(1).slice(first, stop - first))
+            ids.append(np.insert(found, np.cumsum(size), end))
+            sizes.append(size + 1)
+            docs += names[first:stop]
+            total += len(ids[-1])
+            if total >= shard_tokens:
+                yield shard()
+                before += total
+                ids, sizes, docs, total, made = [], [], [], 0, made + 1
+    if docs:
         yield shard()
 
 
@@ -185,7 +205,7 @@ def write_tokens(
 ) -> DataFrame:
     """Encode, append end_id to each document, compress, and write shards in ascending doc_id order.
 
-    Returns the written table (part, shard, n_tokens, data) read back from the shared
+    Returns the written table (part, shard, n_tokens, before, data) read back from the shared
     folder; (part, shard) ascends with doc_id.  A null or empty text is the end id alone.  Null
     ids come first.  Rows that repeat a doc_id stay documents of their own, in no set
     order.  A very long document stays whole in its shard.  An empty table writes no shard.
@@ -195,7 +215,7 @@ def write_tokens(
     parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     shards = ordered.mapInArrow(
-        lambda it: trimmed(_write_task(it, tokenizer, end_id, shard_tokens)), "part int, shard int, n_tokens long, data binary"
+        lambda it: _write_task(it, tokenizer, end_id, shard_tokens), "part int, shard int, n_tokens long, before long, data binary"
     )
     return materialize(shards, "tokens")
 
@@ -216,15 +236,16 @@ def _read_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens and ids (little-endian
-    unsigned 32-bit) of every document of a written table.  The driver sees one small row a shard."""
+    unsigned 32-bit) of every document of a written table.  The driver sees one number for each
+    writing task; where a shard begins within its task's part is stored beside it."""
     spark = shards.sparkSession
-    sizes = sorted((r["part"], r["shard"], r["n_tokens"]) for r in shards.select("part", "shard", "n_tokens").collect())
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     starts, total = [], 0
-    for part, shard, n in sizes:
-        starts.append((part, shard, total))
+    for part, n in sorted((r["part"], r["n"]) for r in parts):
+        starts.append((part, total))
         total += n
-    begins = spark.createDataFrame(starts, "part int, shard int, begin long")
-    return shards.join(begins, ["part", "shard"]).select("begin", "data").mapInArrow(
+    begins = F.broadcast(spark.createDataFrame(starts, "part int, begin long"))
+    return shards.join(begins, "part").select((F.col("begin") + F.col("before")).alias("begin"), "data").mapInArrow(
         _read_task, "doc_id long, start long, n_tokens long, ids binary"
     )
 
@@ -233,7 +254,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     written = write_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
-    return read_tokens(written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return materialize(read_tokens(written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-rows")
 
 
 QUERIES = {"op2_token_store": op2_token_store}
