@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.common import materialize, member_filter, table
 
 #: A subtree is a template when it stands on at least so many distinct pages of its host and this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.1
@@ -214,10 +214,12 @@ class Page:
             inside[i] = inside[self.parent[i]] or i in roots
         return sum(len("".join(t.split())) for i, t in self.items if inside[i] and not out[i])
 
-    def candidates(self) -> set[int]:
-        """Hashes of the subtrees that may be templates, of what is no content anyway only the whole."""
+    def candidates(self) -> tuple[set[int], set[int]]:
+        """Hashes of the subtrees that may be templates, of what is no content anyway only the whole, and of
+        those of them that hold text of this page."""
         inside, out = self.judge()
-        return {self.digest[i] for i in self._deletable(inside) if not out[self.parent[i]]}
+        found = [i for i in self._deletable(inside) if not out[self.parent[i]]]
+        return {self.digest[i] for i in found}, {self.digest[i] for i in found if inside[i] and not out[i]}
 
     def _deletable(self, inside: list[bool]) -> list[int]:
         fixed = ("html", "body", "main", "article")
@@ -241,13 +243,15 @@ def _hash_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            hashes, digests = [], []
+            hashes, shown, digests = [], [], []
             for source in part.column(2).to_pylist():
                 page = Page(source or "")
-                hashes.append(sorted(page.candidates()))
+                for have, found in zip((hashes, shown), page.candidates(), strict=True):
+                    have.append(sorted(found))
                 digests.append(xxhash.xxh64_intdigest(page.text(set()).encode("utf-8", "surrogatepass")) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(digests, pa.int64())], ["page_id", "host", "hashes", "digest"]
+                [part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(shown, pa.list_(pa.int64())), pa.array(digests, pa.int64())],
+                ["page_id", "host", "hashes", "shown", "digest"],
             )
 
 
@@ -276,23 +280,27 @@ def extract_text(
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hashed = materialize(
         pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.col(html_col).alias("html"))
-        .mapInArrow(_hash_task, "page_id long, host string, hashes array<long>, digest long").withColumn("row", F.monotonically_increasing_id()), "subtrees",
+        .mapInArrow(_hash_task, "page_id long, host string, hashes array<long>, shown array<long>, digest long").withColumn("row", F.monotonically_increasing_id()), "subtrees",
     )
     # Copies of a page under any url count once, or they would make templates of their own text.
     firsts = hashed.groupBy("host", "digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = materialize(hashed.select("host", "digest", "row").join(firsts, ["host", "digest"]).where("row != first").select("row"), "page-copies")
     distinct = hashed.join(copies, "row", "left_anti")
     sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    rows = hashed.select("page_id", "host", F.explode("hashes").alias("hash"))
+    rows = hashed.select("page_id", "host", F.explode("shown").alias("hash"))
     counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     recurring = counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
-    own = rows.join(recurring, ["host", "hash"]).groupBy(F.col("page_id").alias("own_id")).agg(F.collect_set("hash").alias("templates"))
-    joined = plain.join(own, F.col("page_id").eqNullSafe(F.col("own_id")), "left")
-    return joined.select("page_id", "url", "html", "templates").mapInArrow(_text_task, "page_id long, url string, text string")
+    own = materialize(rows.join(recurring, ["host", "hash"]).groupBy(F.col("page_id").alias("own_id")).agg(F.collect_set("hash").alias("templates")), "page-templates")
+    # Only pages that show a template travel to their hashes.
+    marked = plain.withColumn("maybe", member_filter(own, "own_id")(F.col("page_id")))
+    joined = marked.where("maybe").join(own, F.col("page_id").eqNullSafe(F.col("own_id")), "left").select("page_id", "url", "html", "templates")
+    others = marked.where("not maybe").select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("templates"))
+    schema = "page_id long, url string, text string"
+    return joined.mapInArrow(_text_task, schema).unionByName(others.mapInArrow(_text_task, schema))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return materialize(extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long")), "page-texts")
 
 
 QUERIES = {"op6_html_text": op6_html_text}
