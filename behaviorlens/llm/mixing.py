@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table, trimmed
+from behaviorlens.llm.common import dropped, materialize, table
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of tokens.  The total is what the first domain's supply allows.
@@ -69,9 +69,10 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Classifier:
     """Fit to at most max_train labelled documents, chosen by hash of doc_id."""
     rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(labels).alias("domain"))
-    sample = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(max_train)
+    rows = rows.groupBy("doc_id").agg(F.max("domain").alias("domain"))  # of conflicting labels the last by name counts: toxic, low, clean
+    sample = rows.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "domain")
-    counts = texts.mapInArrow(lambda it: trimmed(_document_counts(it)), "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
+    counts = texts.mapInArrow(_document_counts, "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
     counts = materialize(counts.where(" + ".join(DOMAINS) + f" >= {LEAST_DOCS} or word = ''"), "mix-counts")
     sizes = counts.where("word = ''").first()
     n = np.array([sizes[d] if sizes else 0 for d in DOMAINS], float)
@@ -114,16 +115,13 @@ def memberships(docs: DataFrame, classifier: Classifier) -> Column:
     def member(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = carried.value
 
-        def judged():
-            for text in parts:
-                tokens, p = [], []
-                for t in text:
-                    words = _TOKEN.findall((t or "").lower())
-                    tokens.append(len(words))
-                    p.append(classifier.posteriors(set(words)))
-                yield pd.DataFrame({"tokens": tokens, "p": p})
-
-        yield from trimmed(judged())
+        for text in parts:
+            tokens, p = [], []
+            for t in text:
+                words = _TOKEN.findall((t or "").lower())
+                tokens.append(len(words))
+                p.append(classifier.posteriors(set(words)))
+            yield pd.DataFrame({"tokens": tokens, "p": p})
 
     return member(docs["text"])
 
@@ -171,43 +169,44 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_epochs: float =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """(plan, mixed): plan has doc_id, n_tokens, domain, p_clean, p_low, p_toxic, rate, copies of
+    """(plan, mixed): plan has doc_id, n_tokens, domain, p_clean, p_low, p_toxic, rate, copies and digest (of the text) of
     every row; mixed is docs with each row repeated ``copies`` times and no other column.
 
     copies is the rate rounded up or down by a hash of doc_id, so that its expectation is
     the rate.  A null or empty text has no tokens and the prior's posteriors.  A null doc_id is
     hashed as such; rows that repeat a doc_id are rounded alike.  Without labels every
     document is of the first domain and stays.  An empty table gives empty results.  Columns of docs
-    named like this function's own are only passed on.
+    may have any name.
     """
     targets = targets or TARGETS
     classifier = fit(docs, labels)
-    member = memberships(docs, classifier)
-    members = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), member.alias("m")).select("doc_id", "m.*"), "mix-members")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64("text")}
+    members = materialize(docs.select(*[k.alias(n) for n, k in keys.items()], memberships(docs, classifier).alias("m")).select(*keys, "m.*"), "mix-members")
     gradients = fit_rates(members, targets, max_epochs)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
         return pd.Series(_rates(np.array(p.tolist(), float).reshape(-1, len(DOMAINS)), gradients, max_epochs, RIDGE))
 
-    def copies(rate_col: Column, doc: Column) -> Column:
-        uniform = F.pmod(F.xxhash64(doc.cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-        return F.floor(rate_col + uniform).cast("int")
-
+    uniform = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     best = F.array_max(F.col("p"))
-    plan = members.withColumn("rate", rate("p")).select(
+    plan = materialize(members.withColumn("rate", rate("p")).select(
         "doc_id", F.col("tokens").alias("n_tokens"),
         F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.array_position("p", best).cast("int")).alias("domain"),
-        *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"),
-    )
-    names = docs.columns
-    marked = docs.withColumn("__copies", copies(rate(member["p"]), F.col("doc_id"))).where("__copies > 0")
-    mixed = marked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+        *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies"), "digest",
+    ), "mix-plan")
+    mixed = dropped(docs, keys, plan.where("copies = 0").select(*keys).distinct())
+    if max_epochs > 1:
+        often = plan.where("copies > 1").select(*keys, "copies").distinct()
+        rows = docs.select(F.struct("*").alias("row"), *[k.alias(f"key_{n}") for n, k in keys.items()])
+        same = F.col("key_doc_id").eqNullSafe(often["doc_id"]) & F.col("key_digest").eqNullSafe(often["digest"])
+        again = rows.join(often, same).select("row", F.explode(F.sequence(F.lit(2), F.col("copies"))))
+        mixed = mixed.unionByName(again.select("row.*"))
     return plan, mixed
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0].drop("digest")
 
 
 QUERIES = {"op4_mixing": op4_mixing}
