@@ -119,11 +119,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def fingerprint(host: Column, rules: Column, features: Column, event_type: Column) -> Column:
-    """host | rule ids in order, else the three first features in order, else the event type, else 'signal'."""
-    names = F.when(F.size(rules) > 0, F.array_join(F.array_sort(rules), ",")).when(
-        F.size(features) > 0, F.array_join(F.array_sort(F.slice(features, 1, 3)), ",")
+    """host | rule ids in order, else the three first features in order, else the event type, else 'signal'; a | stands between any two."""
+    names = F.when(F.size(rules) > 0, F.array_join(F.array_sort(rules), "|")).when(
+        F.size(features) > 0, F.array_join(F.array_sort(F.slice(features, 1, 3)), "|")
     )
-    return F.concat_ws("|", host, F.coalesce(names, F.nullif(event_type, F.lit("")), F.lit("signal")))
+    return F.concat_ws("|", F.coalesce(F.nullif(host, F.lit("")), F.lit("unknown")), F.coalesce(names, F.nullif(event_type, F.lit("")), F.lit("signal")))
 
 
 def parse_duration(text: str) -> float:

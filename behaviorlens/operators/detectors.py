@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.functions.columns import dot, vectorise
-from behaviorlens.operators.ordering import nearest_rank, order_statistic
+from behaviorlens.operators.ordering import middle, order_statistic, order_statistics
 
 #: Documented bound of the autoencoder's training frame, chosen by hash of host and time.
 MAX_TRAIN = 10_000
@@ -35,25 +35,17 @@ def unpivot(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) ->
     return df.select(*ids, F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in features]), vectorise(features, strict=True))).alias("feature", "value"))
 
 
-def _nearest_median(counts: DataFrame) -> DataFrame:
-    """(feature, med) at rank round((n - 1) / 2) of the values; counts has feature, value, c."""
-    from pyspark.sql import Window
-
-    upto = F.sum("c").over(Window.partitionBy("feature").orderBy("value"))
-    n = F.sum("c").over(Window.partitionBy("feature"))
-    ranked = counts.withColumn("upto", upto).withColumn("n", n).withColumn("r", nearest_rank(F.col("n"), 0.5))
-    return ranked.where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c"))).select("feature", F.col("value").alias("med"))
+def _value(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
 def fit_robust(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, center, scale): nearest-rank median, and max(1.4826 MAD, .01 |median|, 1e-6).
-    Values are counted before they are ordered, so that equal ones travel once."""
-    long = unpivot(df, features)
-    med = _nearest_median(long.groupBy("feature", "value").agg(F.count("*").alias("c")))
-    spread = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("value") - F.col("med")).alias("value"))
-    mad = _nearest_median(spread.groupBy("feature", "value").agg(F.count("*").alias("c"))).withColumnRenamed("med", "mad")
-    scale = F.greatest(F.col("mad") * 1.4826, F.abs("med") * 0.01, F.lit(1e-6))
-    return med.join(mad, "feature").select("feature", F.col("med").alias("center"), scale.alias("scale"))
+    """(feature, center, scale): nearest-rank median, and max(1.4826 MAD, .01 |median|, 1e-6)."""
+    half = lambda n: [round((n - 1) / 2)]
+    med = {f: v[0] for f, v in order_statistics(df, {f: _value(f) for f in features}, half).items() if v}
+    mad = order_statistics(df, {f: F.abs(_value(f) - m) for f, m in med.items()}, half)
+    rows = [(f, m, max(1.4826 * mad[f][0], 0.01 * abs(m), 1e-6)) for f, m in med.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, center double, scale double")
 
 
 def robust_score(features: Sequence[str], profile: dict[str, tuple[float, float]], top: int = 3) -> Column:
@@ -65,10 +57,12 @@ def robust_score(features: Sequence[str], profile: dict[str, tuple[float, float]
 
 def drift_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, med, mad, low, high) with true medians."""
-    long = unpivot(df, features)
-    base = long.groupBy("feature").agg(F.median("value").alias("med"), F.min("value").alias("low"), F.max("value").alias("high"))
-    mad = long.join(F.broadcast(base.select("feature", "med")), "feature").groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return base.join(mad, "feature")
+    mean = lambda pair: sum(pair) / len(pair)
+    med = {f: mean(v) for f, v in order_statistics(df, {f: _value(f) for f in features}, middle).items() if v}
+    mad = order_statistics(df, {f: F.abs(_value(f) - m) for f, m in med.items()}, middle)
+    ends = df.agg(*[g(_value(f)).alias(f"{f}@{n}") for f in med for n, g in (("low", F.min), ("high", F.max))]).first() if med else {}
+    rows = [(f, m, mean(mad[f]), ends[f"{f}@low"], ends[f"{f}@high"]) for f, m in med.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, med double, mad double, low double, high double")
 
 
 def drift_compare(reference: DataFrame, current: DataFrame, features: Sequence[str], shift: float = 4.0) -> DataFrame:
@@ -80,7 +74,8 @@ def drift_compare(reference: DataFrame, current: DataFrame, features: Sequence[s
 
 
 def ewma_scores(df: DataFrame, key: str, features: Sequence[str], order: Sequence[str], alpha: float = 0.05, floor: float = 1e-6) -> DataFrame:
-    """Scores each row of a key against running means and variances, then updates them.
+    """Scores each row of a key against running means and variances, then updates them.  The scale of a feature is
+    its deviation, at least one hundredth of its mean and ``floor``.
 
     The recursion runs over one key at a time, in order, as a stream of sorted batches: a task keeps the state
     of a single key, however many rows it has."""
@@ -97,7 +92,7 @@ def ewma_scores(df: DataFrame, key: str, features: Sequence[str], order: Sequenc
             for k, x in zip(batch[key].tolist(), values, strict=True):
                 if k != current:
                     current, mean, var = k, x.copy(), np.full(len(names), floor)
-                z = np.sort(np.abs(x - mean) / np.sqrt(np.maximum(var, floor)))[::-1][:3]
+                z = np.sort(np.abs(x - mean) / np.maximum(np.maximum(np.sqrt(var), 0.01 * np.abs(mean)), floor))[::-1][:3]
                 scores.append(float(z.mean()))
                 diff = x - mean
                 mean = mean + alpha * diff

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from behaviorlens.operators.ordering import with_position
+
+#: Consecutive rows whose runs are told by one task.
+RUN_ROWS = 100_000
+
 
 def confusion(df: DataFrame, actual: Column, predicted: Column, empty: float | None = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """Counts, precision, recall, f1, false_positive_rate and accuracy over rows with a label; ratios of nothing are ``empty``."""
@@ -31,13 +36,21 @@ def disagreement(df: DataFrame, model: Column, rules: Column) -> DataFrame:
     return df.groupBy(model.alias("model_flag"), rules.alias("rule_flag")).agg(F.count("*").alias("windows"))
 
 
-def detection_delay(df: DataFrame, attack: Column, hit: Column, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Maximal runs of attack rows in order: their length and the rows until the first hit (null if none)."""
-    rows = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("__a", attack).withColumn("__hit", hit).withColumn("__n", F.row_number().over(rows))
-    runs = numbered.where("__a").withColumn("__run", F.col("__n") - F.row_number().over(rows))
-    found = runs.groupBy(*keys, "__run").agg(F.min("__n").alias("first"), F.count("*").alias("rows"), F.min(F.when(F.col("__hit"), F.col("__n"))).alias("hit"))
-    return found.select(*keys, "first", "rows", (F.col("hit") - F.col("first")).alias("delay"))
+def detection_delay(df: DataFrame, attack: Column, hit: Column, key: str, ties: Sequence[str]) -> DataFrame:
+    """Maximal runs of attack rows among all rows in the order of (key, ties), whatever their host: place of the first row, length and
+    rows until the first hit (null if none).
+
+    Places come from a global order by buckets.  A run is told by the last row before it that is no attack: within a bucket by a running
+    maximum, across buckets by the buckets' own maxima, one number each."""
+    placed = with_position(df.withColumn("__a", attack).withColumn("__hit", hit), key, ties)
+    quiet = F.when(~F.col("__a"), F.col("pos"))
+    part = F.floor(F.col("pos") / RUN_ROWS)
+    last = placed.groupBy(part.alias("__part")).agg(F.max(quiet).alias("__last"))
+    before = last.withColumn("__before", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", "__before")
+    rows = Window.partitionBy("__part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = placed.withColumn("__part", part).join(before, "__part", "left").withColumn("__run", F.coalesce(F.max(quiet).over(rows), "__before", F.lit(-1)))
+    found = marked.where("__a").groupBy("__run").agg(F.min("pos").alias("first"), F.count("*").alias("rows"), F.min(F.when(F.col("__hit"), F.col("pos"))).alias("hit"))
+    return found.select("first", "rows", (F.col("hit") - F.col("first")).alias("delay"))
 
 
 def poisoning_guard(df: DataFrame, label: str, normal: str = "normal") -> DataFrame:

@@ -9,57 +9,86 @@ from behaviorlens.functions.columns import hmac_sha256
 from behaviorlens.operators.sessions import behind_running_max, first_wins
 
 
-def node_id(key: bytes, kind: Column, value: Column) -> Column:
-    """Keyed pseudonymous id of a node; null where the value is missing."""
-    return F.when(value.isNotNull() & (value != ""), F.substring(hmac_sha256(key, F.concat_ws("\x1f", kind, value)), 1, 32))
+#: Node kinds and the actions that accept a connection.
+ACCEPTS = ("EVENT_ACCEPT", "EVENT_RECVMSG", "EVENT_RECVFROM", "ACCEPT")
+SPAWNS = ("EVENT_FORK", "EVENT_CLONE", "EVENT_CREATE_PROCESS")
+CDM = "dataset.tc_cdm"
+
+
+def graph_id(key: bytes, kind: Column, *parts: Column) -> Column:
+    """kind:keyed hash of kind and parts."""
+    return F.concat_ws(":", kind, F.substring(hmac_sha256(key, F.concat_ws("\x1f", kind, *parts)), 1, 32))
 
 
 def relations(events: DataFrame) -> DataFrame:
-    """Events with relation, source and target (kind, value); relation null where the event is not supported.
-
-    events has event_type, action, host, actor_id, object_id, user_name, remote, target_kind."""
-    t, action = F.col("event_type"), F.upper("action")
-    spawn = (t == "process_started") & F.col("target_kind").isin("process", "subject") & (F.col("actor_id") != F.col("object_id"))
-    relation = (
-        F.when(spawn, "spawned").when(t == "process_started", "started").when(t == "process_stopped", "stopped")
-        .when((t == "file_activity") & (action == "READ"), "read").when((t == "file_activity") & (action == "WRITE"), "wrote")
-        .when((t == "file_activity") & (action == "RENAME"), "renamed")
-        .when((t == "network_activity") & (action.startswith("RECV") | (action == "ACCEPT")), "accepted").when(t == "network_activity", "connected")
-        .when(t.startswith("authentication_"), "authenticated")
+    """Events with relation, source and target (kind, identity) and missing (names of identities that the event lacks);
+    relation is null where the event is not supported.
+
+    events has event_id, source, event_type, native_action, actor_id, actor_defined, object_id, object_kind, principal.  An identity that is
+    missing is the event itself, a host's identity within its host is 'host'."""
+    t, action, kind = F.col("event_type"), F.upper(F.coalesce("native_action", F.lit(""))), F.lower(F.coalesce("object_kind", F.lit("")))
+    cdm, operation = F.col("source") == CDM, F.regexp_replace(action, "^EVENT_", "")
+    actor, target, principal = (F.nullif(F.col(c), F.lit("")) for c in ("actor_id", "object_id", "principal"))
+    own = F.col("event_id").cast("string")
+    lacks = lambda **of: F.array_compact(F.array(*[F.when(v.isNull(), F.lit(k.replace("_", "."))) for k, v in sorted(of.items())]))
+    edge = lambda name, sk, s, tk, t, missing: F.struct(
+        (F.lit(name) if isinstance(name, str) else name).alias("relation"), F.struct(F.lit(sk).alias("kind"), s.alias("identity")).alias("source_node"),
+        F.struct(F.lit(tk).alias("kind"), t.alias("identity")).alias("target_node"), missing.alias("missing"),
     )
-    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
-    actor, target, host = pair("process", F.col("actor_id")), pair("process", F.col("object_id")), pair("host", F.col("host"))
-    by_relation = {
-        "spawned": (actor, target), "started": (host, pair("process", F.coalesce("actor_id", "object_id", F.col("event_id").cast("string")))), "stopped": (actor, host),
-        **{r: (actor, pair("file", F.col("object_id"))) for r in ("read", "wrote", "renamed")},
-        **{r: (actor, pair("socket_endpoint", F.col("remote"))) for r in ("accepted", "connected")}, "authenticated": (pair("user", F.col("user_name")), host),
-    }
-    df = events.withColumn("relation", relation)
-    choose = lambda side: F.coalesce(*[F.when(F.col("relation") == r, v[side]) for r, v in by_relation.items()])
-    return df.withColumn("source_node", choose(0)).withColumn("target_node", choose(1))
-
-
-def build_graph(events: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, stats).  Repeated event ids count once; unsupported events do not advance a host's clock;
-    an edge with a missing end or out of time order has confidence 0.5, and a missing end is a node of its own event."""
+    both, none, host = lacks(actor_id=actor, object_id=target), F.array().cast("array<string>"), F.lit("host")
+    process = kind.isin("process", "subject")
+    file_relation = F.when(operation == "READ", "read").when(operation == "WRITE", "wrote").when(operation == "RENAME", "renamed")
+    stopped = F.when(process, target).otherwise(actor)
+    spawned = edge("spawned", "process", actor, "process", target, none)
+    found = (
+        F.when(cdm & (F.col("actor_defined") == False), None)  # noqa: E712
+        .when((t == "process_started") & cdm & (action == "EVENT_EXECUTE") & (kind == "fileobject") & target.isNotNull(), edge("executed", "process", F.coalesce(actor, own), "executable", target, lacks(actor_id=actor)))
+        .when((t == "process_started") & cdm & action.isin(*SPAWNS) & (kind == "subject") & actor.isNotNull() & target.isNotNull(), spawned)
+        .when((t == "process_started") & cdm, None)
+        .when((t == "process_started") & (actor != target) & process, spawned)
+        .when(t == "process_started", edge("started", "host", host, "process", F.coalesce(actor, target, own), both))
+        .when(t == "process_stopped", edge("stopped", "process", F.coalesce(stopped, own), "host", host, lacks(actor_id=stopped)))
+        .when((t == "file_activity") & (~cdm | (kind == "fileobject")) & file_relation.isNotNull(), edge(file_relation, "process", F.coalesce(actor, own), "file", F.coalesce(target, own), both))
+        .when((t == "network_activity") & (~cdm | (kind == "netflowobject")), edge(
+            F.when(action.isin(*ACCEPTS), "accepted").otherwise("connected"), "process", F.coalesce(actor, own), "socket_endpoint", F.coalesce(target, own), both))
+        .when(t == "authentication_activity", edge("authenticated", "user", F.coalesce(principal, own), "host", host, lacks(actor_principal=principal)))
+    )
+    return events.withColumn("edge", found).select("*", "edge.*").drop("edge")
+
+
+def conflicting_events(events: DataFrame) -> DataFrame:
+    """(event_id) of the ids that stand on events which differ in anything but row_no; a graph is refused while there are any."""
+    body = F.sha2(F.to_json(F.struct(*[c for c in events.columns if c != "row_no"])), 256)
+    return events.groupBy("event_id").agg(F.min(body).alias("low"), F.max(body).alias("high")).where("low != high").select("event_id")
+
+
+def build_graph(events: DataFrame, key: bytes, dataset: str = "dataset") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, stats).  Repeated events count once, in order of row_no; unsupported events do not advance a host's clock;
+    an edge with a missing identity or out of time order has confidence 0.5.  Identities hold within their host.
+
+    events has what relations reads, host, epoch_us and row_no; conflicting_events should be empty."""
     once = first_wins(events, ["event_id"], ["row_no"])
     related = relations(once)
     kept = related.where("relation is not null")
     kept = kept.withColumn("reordered", behind_running_max(kept, ["host"], "epoch_us", ["row_no"]))
-    end = lambda c: F.coalesce(node_id(key, F.col(f"{c}.kind"), F.col(f"{c}.value")), node_id(key, F.lit("missing"), F.concat_ws(":", F.lit(c), F.col("event_id").cast("string"))))
-    missing = F.col("source_node.value").isNull() | F.col("target_node.value").isNull()
+    of = F.lit(dataset)
+    end = lambda c: graph_id(key, F.col(f"{c}.kind"), of, F.col("host"), F.col(f"{c}.identity"))
+    kept = kept.withColumn("source", end("source_node")).withColumn("target", end("target_node")).withColumn("missing_identity", F.size("missing") > 0)
+    own = F.col("event_id").cast("string")
     edges = kept.select(
-        "event_id", "host", "epoch_us", "relation", end("source_node").alias("source"), end("target_node").alias("target"),
-        F.col("source_node.kind").alias("source_kind"), F.col("target_node.kind").alias("target_kind"), "reordered", missing.alias("missing_identity"),
-        F.when(missing | F.col("reordered"), 0.5).otherwise(1.0).alias("confidence"),
+        graph_id(key, F.lit("edge"), of, own, F.col("relation"), F.col("source"), F.col("target")).alias("edge_id"), "event_id", "host", "epoch_us", "relation", "source", "target",
+        F.col("source_node.kind").alias("source_kind"), F.col("target_node.kind").alias("target_kind"), graph_id(key, F.lit("event"), of, own).alias("source_event_id"),
+        "missing", "reordered", (F.col("copies") > 1).alias("duplicate"), "missing_identity", F.when(F.col("missing_identity") | F.col("reordered"), 0.5).otherwise(1.0).alias("confidence"),
     )
     refs = edges.select("epoch_us", F.explode(F.array(
         F.struct(F.col("source").alias("node"), F.col("source_kind").alias("kind")), F.struct(F.col("target").alias("node"), F.col("target_kind").alias("kind")),
-        F.struct(node_id(key, F.lit("host"), F.col("host")).alias("node"), F.lit("host").alias("kind")),
+        F.struct(graph_id(key, F.lit("host"), of, F.col("host"), F.lit("host")).alias("node"), F.lit("host").alias("kind")),
     )).alias("r")).select("epoch_us", "r.*")
     nodes = refs.groupBy("node").agg(F.min("kind").alias("kind"), F.min("epoch_us").alias("first_seen"), F.max("epoch_us").alias("last_seen"))
+    undefined = (F.col("source") == CDM) & ((F.col("actor_defined") == False) | (F.col("object_defined") == False))  # noqa: E712
     counted = related.agg(
-        F.sum("copies").alias("input"), F.sum(F.col("copies") - 1).alias("duplicates"), F.count_if(F.col("relation").isNull()).alias("unsupported"), F.count("relation").alias("accepted")
+        F.sum("copies").alias("input"), F.sum(F.col("copies") - 1).alias("duplicates"), F.count_if(F.col("relation").isNull()).alias("unsupported"),
+        F.count("relation").alias("accepted"), F.count_if(undefined).alias("unresolved"),
     )
     marks = edges.agg(F.count_if("reordered").alias("reordered"), F.count_if("missing_identity").alias("missing_identity"))
     return nodes, edges, counted.crossJoin(F.broadcast(marks))

@@ -6,13 +6,15 @@ function of its value; bucket counts, one row a bucket, give each bucket's first
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a global order.
 BUCKETS = 64
+#: Distinct values of a bucket that may be counted on the driver; a bucket of more is cut again.
+COUNTED = 200_000
 
 
 def with_position(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "pos", buckets: int = BUCKETS) -> DataFrame:
@@ -48,15 +50,56 @@ def quantiles_by(df: DataFrame, group: str, value: str, qs: dict[str, float], nu
     )
 
 
+def order_statistics(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[int], Sequence[int]]) -> dict[str, list[float]]:
+    """Of each named value, what stands at the ranks that ranks(n) asks for among its n rows that are not null, exactly; [] for no rows.
+
+    One pass finds cuts for all values, one counts the rows up to every cut; then only the values between the two cuts around a rank
+    are counted, and cut again while they are too many.  No task sorts more than a bucket's distinct values."""
+    plain = df.select(*[v.cast("double").alias(name) for name, v in values.items()])
+    sizes = plain.agg(*[F.count(name).alias(name) for name in values]).first()
+    wanted = {name: list(ranks(sizes[name])) if sizes[name] else [] for name in values}
+    open_ = {name: (None, None, 0) for name in values if wanted[name]}  # between these values, after so many rows
+    found: dict[str, dict[int, float]] = {name: {} for name in values}
+    names = list(open_)
+    cuts = dict(zip(names, plain.approxQuantile(names, [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS) if names else [], strict=True))
+    edges = {name: sorted(set(cuts[name])) for name in names}
+    upto = plain.agg(*[F.count_if(F.col(n) <= c).alias(f"{n}@{i}") for n in names for i, c in enumerate(edges[n])]).first() if names else {}
+    for name in names:
+        for rank in sorted(set(wanted[name])):
+            below = [(c, upto[f"{name}@{i}"]) for i, c in enumerate(edges[name])]
+            low = max((x for x in below if x[1] <= rank), default=(None, 0))
+            high = min((x for x in below if x[1] > rank), default=(None, sizes[name]))
+            found[name][rank] = _at_rank(plain.select(F.col(name).alias("v")).where("v is not null"), rank, low, high)
+    return {name: [found[name][r] for r in wanted[name]] for name in values}
+
+
+def _at_rank(rows: DataFrame, rank: int, low: tuple[float | None, int], high: tuple[float | None, int]) -> float:
+    """The value at rank, which lies above low and up to high; each is a value and the number of rows up to it."""
+    while True:
+        part = rows
+        if low[0] is not None:
+            part = part.where(F.col("v") > F.lit(low[0]))
+        if high[0] is not None:
+            part = part.where(F.col("v") <= F.lit(high[0]))
+        counted = part.groupBy("v").agg(F.count("*").alias("c"))
+        if high[1] - low[1] <= COUNTED or counted.count() <= COUNTED:
+            values = counted.toPandas().sort_values("v")
+            return float(values["v"].iloc[int((values["c"].cumsum() <= rank - low[1]).sum())])
+        cuts = sorted(set(part.approxQuantile("v", [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS)))
+        row = part.agg(*[F.count_if(F.col("v") <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        below = [(c, low[1] + row[f"c{i}"]) for i, c in enumerate(cuts)]
+        low, high = max((x for x in below if x[1] <= rank), default=low), min((x for x in below if x[1] > rank), default=high)
+
+
+def middle(n: int) -> list[int]:
+    """The ranks whose mean is the true median."""
+    return [(n - 1) // 2, n // 2]
+
+
 def order_statistic(df: DataFrame, value: str, q: float) -> float:
     """The nearest-rank quantile of a whole column, exactly; 0 for no rows."""
-    rows = df.where(F.col(value).isNotNull()).select(value)
-    n = rows.count()
-    if not n:
-        return 0.0
-    rank = round((n - 1) * q)
-    found = with_position(rows, value).where(F.col("pos") == min(max(rank, 0), n - 1)).first()
-    return float(found[value])
+    found = order_statistics(df, {"v": F.col(value)}, lambda n: [min(max(round((n - 1) * q), 0), n - 1)])["v"]
+    return found[0] if found else 0.0
 
 
 def chronological_split(df: DataFrame, key: str, ties: Sequence[str], formula: str = "sizes") -> DataFrame:

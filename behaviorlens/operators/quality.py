@@ -98,22 +98,44 @@ def clean_windows(scored: DataFrame, noisy: Sequence[str]) -> DataFrame:
     return scored.where((F.coalesce(F.col("event_collector_error_count"), F.lit(0)) == 0) & ~loud)
 
 
-def readiness(windows: Column, invalid: Column, warnings: Column, span: Column, least: int = 1440, full: int = 10080) -> Column:
-    """insufficient, invalid, preliminary, ready_with_warnings or ready, in this precedence."""
-    return F.when(windows < least, "insufficient").when(invalid > 0, "invalid").when(span < full, "preliminary").when(warnings > 0, "ready_with_warnings").otherwise("ready")
-
-
-def health_report(metrics: DataFrame, events: DataFrame, scores: DataFrame, interval: float = 60.0, by: str = "host") -> DataFrame:
-    """Per host: records, coverage (at most 1), gaps above 1.5 intervals, the largest gap, errors, anomalies and state."""
-    seconds = F.col("epoch_us") / 1e6
-    gap = seconds - F.lag(seconds).over(Window.partitionBy(by).orderBy("epoch_us"))
-    measured = metrics.withColumn("__gap", gap).groupBy(by).agg(
-        F.count("*").alias("records"), F.count_if(F.col("__gap") > interval * 1.5).alias("gap_count"), F.coalesce(F.max("__gap"), F.lit(0.0)).alias("largest_gap"),
-        (F.floor((F.max(seconds) - F.min(seconds)) / interval) + 1).alias("expected"),
+def readiness(clean: Column, blockers: Column, warnings: Column, least: int = 1440, full: int = 10080) -> Column:
+    """State of a history by its clean windows: insufficient, invalid, preliminary, ready_with_warnings or ready, in this precedence."""
+    return F.when(clean < least, "insufficient").when(blockers > 0, "invalid").when(clean < full, "preliminary").when(warnings > 0, "ready_with_warnings").otherwise("ready")
+
+
+def health_report(metrics: DataFrame, events: DataFrame, scores: DataFrame, alerts: DataFrame, interval: float = 60.0, stale: float = 180.0, now: float | None = None) -> DataFrame:
+    """One row on the whole monitoring: records, coverage (at most 1), gaps above 1.5 intervals, the largest gap, age of the latest metric, errors, heartbeats,
+    scores with anomalies and ratios, alerts by severity, rules that fired, the reasons of a degraded state and the state.
+
+    metrics has epoch_us, events event_type, scores ratio, is_anomaly and rules, alerts severity; hosts are not told apart.  Times are put in
+    order by buckets, each of which knows the last time before it."""
+    from behaviorlens.operators.ordering import order_statistics, with_position
+
+    placed = with_position(metrics.where("epoch_us is not null").select("epoch_us"), "epoch_us")
+    part = F.floor(F.col("pos") / 100_000)
+    ends = placed.groupBy(part.alias("part")).agg(F.max("epoch_us").alias("last"))
+    before = ends.select((F.col("part") + 1).alias("part"), F.col("last").alias("before"))
+    gap = (F.col("epoch_us") - F.coalesce(F.lag("epoch_us").over(Window.partitionBy("part").orderBy("pos")), "before")) / 1e6
+    times = placed.withColumn("part", part).join(before, "part", "left").withColumn("gap", gap)
+    m = times.agg(F.count("*").alias("n"), F.min("epoch_us").alias("a"), F.max("epoch_us").alias("b"), F.count_if(F.col("gap") > interval * 1.5).alias("gaps"), F.max("gap").alias("most")).first()
+    e = events.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "collector_error").alias("errors"), F.count_if(F.col("event_type") == "agent_heartbeat").alias("beats")).first()
+    s = scores.agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalies"), F.max("ratio").alias("most")).first()
+    rank = lambda n: [min(n - 1, max(0, round((n - 1) * q))) for q in (0.5, 0.95)]
+    p50, p95 = order_statistics(scores, {"r": F.coalesce("ratio", F.lit(0.0))}, rank)["r"] or (None, None)
+    counted = lambda df: ",".join(f"{r[0]}:{r[1]}" for r in sorted(tuple(r) for r in df.collect()))  # noqa: E731  few names
+    fired = counted(scores.select(F.explode("rules.rule_id").alias("k")).groupBy("k").count())
+    severities = counted(alerts.groupBy(F.coalesce("severity", F.lit("unknown")).alias("k")).count())
+    seconds = (m["b"] - m["a"]) / 1e6 if m["n"] else 0.0
+    covered = min(1.0, m["n"] / (max(1, int(seconds // interval) + 1))) if m["n"] else 0.0
+    age = max(0.0, now - m["b"] / 1e6) if m["n"] and now is not None else None
+    reasons = [text for text, bad in (
+        ("no completed monitoring evidence", not m["n"] or not s["n"]), ("latest metric is stale", age is not None and age > stale),
+        ("collector errors were recorded", e["errors"] > 0), ("metric coverage is below 98 percent", covered < 0.98 and m["n"] > 2),
+    ) if bad]
+    row = (
+        m["n"], covered, m["gaps"], m["most"] or 0.0, age, e["n"], e["errors"], e["beats"], s["n"], s["anomalies"], p50, p95, s["most"], fired, severities, "; ".join(reasons), "degraded" if reasons else "healthy",
     )
-    errors = events.groupBy(by).agg(F.count_if(F.col("event_type") == "collector_error").alias("collector_errors"))
-    scored = scores.groupBy(by).agg(F.count("*").alias("windows"), F.count_if("is_anomaly").alias("anomalies"), F.max("ratio").alias("ratio_max"))
-    joined = measured.join(errors, by, "left").join(scored, by, "left").fillna(0, ["collector_errors", "windows", "anomalies"])
-    joined = joined.withColumn("coverage", F.least(F.lit(1.0), F.col("records") / F.col("expected")))
-    bad = (F.col("windows") == 0) | (F.col("collector_errors") > 0) | ((F.col("coverage") < 0.98) & (F.col("records") > 2))
-    return joined.withColumn("state", F.when(bad, "degraded").otherwise("healthy"))
+    return metrics.sparkSession.createDataFrame([row], (
+        "records long, coverage double, gap_count long, largest_gap double, latest_age double, events long, collector_errors long, heartbeats long, windows long, anomalies long, "
+        "ratio_p50 double, ratio_p95 double, ratio_max double, rule_triggers string, severities string, reasons string, state string"
+    ))

@@ -96,7 +96,7 @@ def q_scored_windows(spark, sf_dir):
 
 def q_rule_calibration(spark, sf_dir):
     found = rules.calibrate_rules(combined(spark, sf_dir), 0.995)
-    return found.select("rule_id", "quantile", "threshold", F.round("default_exceedance", 6).alias("default_exceedance"), F.round("calibrated_exceedance", 6).alias("calibrated_exceedance"))
+    return found.select("rule_id", "quantile", "p50", "p95", "p99", "threshold", F.round("default_exceedance", 6).alias("default_exceedance"), F.round("calibrated_exceedance", 6).alias("calibrated_exceedance"))
 
 
 def q_quantiles(spark, sf_dir):
@@ -272,7 +272,7 @@ def q_readiness(spark, sf_dir):
     noisy = [r["rule_id"] for r in quality.noisy_rules(w).where("noisy").collect()]
     clean = quality.clean_windows(w, noisy).groupBy("host").agg(F.count("*").alias("clean"))
     found = w.groupBy("host").agg(F.count("*").alias("windows"), F.sum(F.size("rules").cast("long")).alias("hits")).join(clean, "host", "left").fillna(0, ["clean"])
-    return found.withColumn("state", quality.readiness(F.col("windows"), F.lit(0), F.col("windows") - F.col("clean"), F.col("clean"), 5, 20))
+    return found.withColumn("state", quality.readiness(F.col("clean"), F.lit(0), F.col("windows") - F.col("clean"), 5, 20))
 
 
 def q_split(formula):
@@ -304,7 +304,7 @@ def q_disagreement(spark, sf_dir):
 
 def q_detection_delay(spark, sf_dir):
     ev = ev_norm(spark, sf_dir)
-    return evaluation.detection_delay(ev, F.col("event_type").startswith("process"), F.col("value") >= 60, ["host"], ["epoch_us", "event_id"])
+    return evaluation.detection_delay(ev, F.col("event_type").startswith("process"), F.col("value") >= 60, "epoch_us", ["event_id"])
 
 
 def q_poisoning_guard(spark, sf_dir):
@@ -345,9 +345,9 @@ def q_counter_rate(spark, sf_dir):
 
 
 def q_health(spark, sf_dir):
-    ev = ev_norm(spark, sf_dir)
-    found = quality.health_report(ev, ev, scored(spark, sf_dir), float(DAY))
-    return found.select("host", "records", "gap_count", F.round("largest_gap", 6).alias("largest_gap"), F.round("coverage", 6).alias("coverage"), "anomalies", F.round("ratio_max", 6).alias("ratio_max"), "state")
+    ev, w = ev_norm(spark, sf_dir), scored(spark, sf_dir)
+    found = quality.health_report(ev, ev, w, alerts(spark, sf_dir), 600.0, now=1_800_000_000.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "largest_gap", "latest_age", "ratio_p50", "ratio_p95", "ratio_max")})
 
 
 def q_downsample(spark, sf_dir):
@@ -369,6 +369,7 @@ def q_autoencoder_train(spark, sf_dir):
 
 
 ITEM_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, l_shipdate FROM lineitem" for f in ITEM)
+RECURSIVE = EV.replace("WITH e0", "WITH RECURSIVE e0", 1)
 SESSION = """
     , a0 AS (SELECT *, CASE WHEN value >= 150 THEN 4 WHEN value >= 100 THEN 3 WHEN value >= 50 THEN 2 ELSE 1 END AS rk, host || '|' || event_type AS fp
              FROM ev WHERE event_type IN ('authentication_failure', 'privilege_elevation', 'package_installed'))
@@ -442,8 +443,9 @@ def _calibration() -> str:
     values = {"authentication_failure_burst": ("fx", 5), "package_change_burst": ("pi", 3), "process_start_burst": ("ps", 20), "privilege_elevation_burst": ("pe", 3)}
     rows = " UNION ALL ".join(f"SELECT '{k}' AS rule_id, {c} AS v, {d} AS d FROM w" for k, (c, d) in values.items())
     return EV + f""", x AS ({rows}), y AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY rule_id) AS n FROM x),
-    q AS (SELECT rule_id, max(v) AS q, max(d) AS d FROM y WHERE r = round_even((n - 1) * 0.995, 0) GROUP BY rule_id)
-    SELECT rule_id, q::DOUBLE AS quantile, greatest(max(q.d), max(q) + 1)::INT AS threshold, round(avg((v >= x.d)::INT), 6) AS default_exceedance,
+    q AS (SELECT rule_id, max(v) FILTER (r = round_even((n - 1) * 0.995, 0)) AS q, max(v) FILTER (r = round_even((n - 1) * 0.5, 0)) AS p50, max(v) FILTER (r = round_even((n - 1) * 0.95, 0)) AS p95,
+        max(v) FILTER (r = round_even((n - 1) * 0.99, 0)) AS p99, max(d) AS d FROM y GROUP BY rule_id)
+    SELECT rule_id, q::DOUBLE AS quantile, max(p50)::DOUBLE AS p50, max(p95)::DOUBLE AS p95, max(p99)::DOUBLE AS p99, greatest(max(q.d), max(q) + 1)::INT AS threshold, round(avg((v >= x.d)::INT), 6) AS default_exceedance,
            round(avg((v >= greatest(q.d, q + 1))::INT), 6) AS calibrated_exceedance FROM x JOIN q USING (rule_id) GROUP BY rule_id, q"""
 
 
@@ -534,16 +536,16 @@ CATALOGUE = {
         ny AS (SELECT rule_id FROM u GROUP BY rule_id HAVING count(*) > 0.05 * (SELECT count(*) FROM z)),
         c AS (SELECT host, count(*) AS windows, sum(CASE WHEN rules = '' THEN 0 ELSE len(string_split(rules, ',')) END)::BIGINT AS hits,
               count(*) FILTER (rules = '' OR list_has_all(coalesce(names, []), string_split(rules, ','))) AS clean FROM z, (SELECT list(rule_id) AS names FROM ny) GROUP BY host)
-        SELECT host, windows, hits, clean, CASE WHEN windows < 5 THEN 'insufficient' WHEN clean < 20 THEN 'preliminary' WHEN windows > clean THEN 'ready_with_warnings' ELSE 'ready' END AS state FROM c"""),
+        SELECT host, windows, hits, clean, CASE WHEN clean < 5 THEN 'insufficient' WHEN clean < 20 THEN 'preliminary' WHEN windows > clean THEN 'ready_with_warnings' ELSE 'ready' END AS state FROM c"""),
     "chrono_split_a": (q_split("sizes"), _split("n - 2 * greatest(1, (n * 0.15)::DOUBLE // 1)", "n - greatest(1, (n * 0.15)::DOUBLE // 1)")),
     "chrono_split_b": (q_split("cuts"), _split("(n * 0.70)::DOUBLE // 1", "(n * 0.85)::DOUBLE // 1")),
     "confusion_metrics_zero": (q_confusion(0.0), _confusion("0")),
     "confusion_metrics_null": (q_confusion(None), _confusion("NULL")),
     "disagreement": (q_disagreement, JUDGED + "SELECT p AS model_flag, long AS rule_flag, count(*) AS windows FROM j GROUP BY ALL"),
     "detection_delay": (q_detection_delay, EV + """
-        , o AS (SELECT host, event_type LIKE 'process%' AS a, value >= 60 AS hit, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS n FROM ev),
-        g AS (SELECT *, n - row_number() OVER (PARTITION BY host ORDER BY n) AS run FROM o WHERE a)
-        SELECT host, min(n)::INT AS first, count(*) AS rows, (min(n) FILTER (hit) - min(n))::INT AS delay FROM g GROUP BY host, run"""),
+        , o AS (SELECT event_type LIKE 'process%' AS a, value >= 60 AS hit, row_number() OVER (ORDER BY us, event_id) - 1 AS n FROM ev),
+        g AS (SELECT *, n - row_number() OVER (ORDER BY n) AS run FROM o WHERE a)
+        SELECT min(n) AS first, count(*) AS rows, min(n) FILTER (hit) - min(n) AS delay FROM g GROUP BY run"""),
     "poisoning_guard": (q_poisoning_guard, EV + "SELECT host, count(*) AS rows, sum(k)::BIGINT AS k FROM ev WHERE k % 3 = 0 GROUP BY host"),
     "review_merge": (q_review_merge, REVIEWS + "SELECT *, CASE WHEN label = 'unreviewed' THEN '' ELSE 'seen' END AS analyst_note FROM rv"),
     "review_precision": (q_review_precision, REVIEWS + """
@@ -559,15 +561,28 @@ CATALOGUE = {
     "counter_rate": (q_counter_rate, EV + """
         , o AS (SELECT host, round(coalesce(greatest((k - lag(k) OVER h) / nullif((us - lag(us) OVER h) / 1e6, 0), 0), 0), 9) AS rate FROM ev WINDOW h AS (PARTITION BY host ORDER BY us, event_id))
         SELECT host, round(sum(rate), 6) AS rate, count(*) FILTER (rate > 0) AS rises FROM o GROUP BY host"""),
-    "health_report": (q_health, EV + RULES + """
-        , o AS (SELECT host, us, us / 1e6 - lag(us / 1e6) OVER (PARTITION BY host ORDER BY us) AS gap FROM ev),
-        m AS (SELECT host, count(*) AS records, count(*) FILTER (gap > 129600) AS gap_count, round(coalesce(max(gap), 0), 6) AS largest_gap,
-              least(1, count(*) / (floor((max(us) / 1e6 - min(us) / 1e6) / 86400) + 1)) AS cov FROM o GROUP BY host),
-        x AS (SELECT host, count(*) FILTER (ratio >= 1) AS anomalies, round(max(ratio), 6) AS ratio_max FROM z GROUP BY host)
-        SELECT host, records, gap_count, largest_gap, round(cov, 6) AS coverage, anomalies, ratio_max, CASE WHEN cov < 0.98 AND records > 2 THEN 'degraded' ELSE 'healthy' END AS state FROM m JOIN x USING (host)"""),
+    "health_report": (q_health, EV + RULES + f"""
+        , o AS (SELECT us, (us - lag(us) OVER (ORDER BY us)) / 1e6 AS gap FROM ev),
+        m AS (SELECT count(*) AS records, count(*) FILTER (gap > 900) AS gap_count, round(coalesce(max(gap), 0), 6) AS largest_gap, least(1, count(*) / (floor((max(us) - min(us)) / 1e6 / 600) + 1)) AS cov,
+              round(greatest(0, 1800000000 - max(us) / 1e6), 6) AS latest_age FROM o),
+        q AS (SELECT ratio, row_number() OVER (ORDER BY ratio) - 1 AS r, count(*) OVER () AS n FROM z),
+        x AS (SELECT count(*) AS windows, count(*) FILTER (ratio >= 1) AS anomalies, round(max(ratio), 6) AS ratio_max, round(max(ratio) FILTER (r = round_even((n - 1) * 0.5, 0)), 6) AS ratio_p50,
+              round(max(ratio) FILTER (r = round_even((n - 1) * 0.95, 0)), 6) AS ratio_p95 FROM q),
+        u AS (SELECT unnest(string_split(rules, ',')) AS k FROM z WHERE rules <> ''),
+        t AS (SELECT coalesce(string_agg(k || ':' || c, ',' ORDER BY k), '') AS rule_triggers FROM (SELECT k, count(*) AS c FROM u GROUP BY k)),
+        l AS (SELECT string_agg(lev || ':' || c, ',' ORDER BY lev) AS severities FROM (SELECT CASE WHEN value >= 150 THEN 'critical' WHEN value >= 100 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS lev, count(*) AS c
+              FROM ev WHERE event_type IN ('authentication_failure', 'privilege_elevation', 'package_installed') GROUP BY lev))
+        SELECT records, round(cov, 6) AS coverage, gap_count, largest_gap, latest_age, records AS events, 0::BIGINT AS collector_errors, 0::BIGINT AS heartbeats, windows, anomalies, ratio_p50, ratio_p95, ratio_max,
+            rule_triggers, severities, concat_ws('; ', CASE WHEN latest_age > 180 THEN 'latest metric is stale' END, CASE WHEN cov < 0.98 AND records > 2 THEN 'metric coverage is below 98 percent' END) AS reasons,
+            CASE WHEN latest_age > 180 OR cov < 0.98 AND records > 2 THEN 'degraded' ELSE 'healthy' END AS state FROM m, x, t, l"""),
     "downsample": (q_downsample, EV + """
         , o AS (SELECT event_id, row_number() OVER (ORDER BY us, event_id) - 1 AS pos, count(*) OVER () AS n FROM ev), t AS (SELECT * FROM o WHERE pos % greatest(1, n // 480) = 0 OR pos = n - 1)
         SELECT event_id, pos FROM t QUALIFY row_number() OVER (ORDER BY pos DESC) <= 480"""),
-    "ewma_scores": (q_ewma, None),
+    "ewma_scores": (q_ewma, RECURSIVE + """
+        , o AS (SELECT event_id, host, value AS x, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS n FROM ev),
+        r AS (SELECT event_id, host, n, 0::DOUBLE AS score, x AS mean, 1e-6::DOUBLE AS var FROM o WHERE n = 1
+            UNION ALL SELECT o.event_id, o.host, o.n, abs(o.x - mean) / greatest(sqrt(var), 0.01 * abs(mean), 1e-6), mean + 0.05 * (o.x - mean),
+                greatest(0.95 * (var + 0.05 * (o.x - mean) * (o.x - mean)), 1e-6) FROM r JOIN o ON o.host = r.host AND o.n = r.n + 1)
+        SELECT event_id, round(score, 4) AS ewma_score FROM r"""),
     "autoencoder_train_eval": (q_autoencoder_train, None),
 }

@@ -91,11 +91,12 @@ def segment_order(paths: list[str], live: str) -> list[str]:
     return [*sorted(p for p in paths if p != live), *([live] if live in paths else [])]
 
 
-def archive_lines(spark: SparkSession, path: str, most_bytes: int = 512 << 20, most_rows: int = 10_000) -> DataFrame:
-    """(member, line_no, value): the first lines of every regular member of tar or tar.gz archives.
+def archive_lines(spark: SparkSession, path: str, most_bytes: int = 512 << 20, most_rows: int | None = None) -> DataFrame:
+    """(member, line_no, value): the lines of every regular member of tar or tar.gz archives, only the first most_rows of each where that is given.
 
     Each archive is read by Spark and unpacked in one task; one above most_bytes fails, and unsafe member names are refused."""
     import io
+    import itertools
     import tarfile
 
     import pandas as pd
@@ -111,7 +112,7 @@ def archive_lines(spark: SparkSession, path: str, most_bytes: int = 512 << 20, m
                         if member.name.startswith("/") or ".." in member.name.split("/"):
                             raise ValueError(f"unsafe member name in {name}")
                         if member.isfile():
-                            for no, line in zip(range(most_rows), io.TextIOWrapper(archive.extractfile(member), encoding="utf-8"), strict=False):
+                            for no, line in enumerate(itertools.islice(io.TextIOWrapper(archive.extractfile(member), encoding="utf-8"), most_rows)):
                                 rows.append((member.name, no, line.rstrip("\n")))
                 yield pd.DataFrame(rows, columns=["member", "line_no", "value"])
 

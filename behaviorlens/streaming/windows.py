@@ -22,16 +22,17 @@ def stream_windows(events: DataFrame, seconds: int, delay: str = "60 seconds") -
 
 
 def stream_ewma(events: DataFrame, key: str, value: str, threshold: float, alpha: float = 0.05, floor: float = 1e-6) -> DataFrame:
-    """Each row's z against its key's running mean and variance, which only normal rows update; order column is ts."""
+    """Each row's z against its key's running mean and variance, which only normal rows update; order column is ts.
+
+    A trigger's rows of a key come in several frames; they are put in order together, as many as one trigger holds for one key."""
 
     def run(k, frames, state: GroupState):
         mean, var = state.get if state.exists else (None, floor)
-        for frame in frames:
-            frame = frame.sort_values("ts")
+        for frame in [pd.concat(list(frames)).sort_values("ts", kind="stable")]:
             scores = []
             for x in frame[value].astype(float):
                 mean = x if mean is None else mean
-                z = abs(x - mean) / max(var, floor) ** 0.5
+                z = abs(x - mean) / max(var**0.5, 0.01 * abs(mean), floor)
                 scores.append(z)
                 if z < threshold:
                     diff = x - mean
@@ -52,8 +53,7 @@ def stream_cooldown(alerts: DataFrame, key: str, seconds: float) -> DataFrame:
 
     def run(k, frames, state: GroupState):
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("ts")
+        for frame in [pd.concat(list(frames)).sort_values("ts", kind="stable")]:
             keep = []
             for t in frame["ts"].astype("int64") / 1e9 if str(frame["ts"].dtype).startswith("datetime64[ns") else frame["ts"].map(lambda x: x.timestamp()):
                 emit = last is None or t - last >= seconds
