@@ -62,6 +62,34 @@ def conflicting_events(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.min(body).alias("low"), F.max(body).alias("high")).where("low != high").select("event_id")
 
 
+def admission_faults(events: DataFrame, sources: tuple[str, ...] = ("dataset.optc", CDM)) -> DataFrame:
+    """(event_id, fault) of events that a graph does not admit: an id that is no UUID, a host that is no pseudonym of 16 hex digits, a source that is not
+    known, a missing time, or an envelope (class_uid, activity_id, type_uid) that contradicts itself or the event's type."""
+    classes = F.create_map(*[F.lit(x) for kv in {"process_started": 1007, "process_stopped": 1007, "file_activity": 1001, "network_activity": 4001, "authentication_activity": 3002}.items() for x in kv])
+    uid, expected = F.col("class_uid"), F.element_at(classes, F.col("event_type"))
+    checks = {
+        "event_id must be a UUID": ~F.coalesce(F.lower(F.col("event_id").cast("string")).rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"), F.lit(False)),
+        "host must be a pseudonymous token": ~F.coalesce(F.col("host").rlike("^[0-9a-f]{16}$"), F.lit(False)),
+        "unsupported normalized source": ~F.coalesce(F.col("source").isin(*sources), F.lit(False)), "event time is missing": F.col("epoch_us").isNull(),
+        "class and activity identifiers are invalid": ~F.coalesce((uid >= 0) & (F.col("activity_id") >= 0) & (F.col("type_uid") == uid * 100 + F.col("activity_id")), F.lit(False)),
+        "event type disagrees with its class": expected.isNotNull() & (uid != expected),
+    }
+    return events.select("event_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]))).alias("fault"))
+
+
+def admitted(events: DataFrame, most: int | None = None) -> DataFrame:
+    """events, or a ValueError: for a fault of one of them, for one id on different events, or for more than ``most`` of them."""
+    if most is not None and events.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} events")
+    fault = admission_faults(events).first()
+    if fault:
+        raise ValueError(f"{fault['fault']}: {fault['event_id']}")
+    clash = conflicting_events(events).first()
+    if clash:
+        raise ValueError(f"conflicting duplicate event_id: {clash['event_id']}")
+    return events
+
+
 def build_graph(events: DataFrame, key: bytes, dataset: str = "dataset") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, stats).  Repeated events count once, in order of row_no; unsupported events do not advance a host's clock;
     an edge with a missing identity or out of time order has confidence 0.5.  Identities hold within their host.
@@ -94,6 +122,11 @@ def build_graph(events: DataFrame, key: bytes, dataset: str = "dataset") -> tupl
     return nodes, edges, counted.crossJoin(F.broadcast(marks))
 
 
+def in_order(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes by id, edges by time and id."""
+    return nodes.orderBy("node"), edges.orderBy("epoch_us", "edge_id")
+
+
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ends of edges that are no nodes; a valid graph has none."""
     ends = edges.select("event_id", F.explode(F.array("source", "target")).alias("node"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorlens.plans import behaviour, records
+from behaviorlens.plans import behaviour, records, reviewing
 
-CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE)
+CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE, reviewing.CATALOGUE)
 
 
 def queries():

@@ -86,6 +86,48 @@ def socket_summary(lines: DataFrame) -> DataFrame:
     )
 
 
+def netstat_summary(lines: DataFrame) -> DataFrame:
+    """States and distinct remote ports of netstat lines; lines count as often as they stand, LISTENING is LISTEN, port 0 is none."""
+    states = ("ESTABLISHED", "LISTEN", "LISTENING", "SYN_SENT", "CLOSE_WAIT")
+    parts = F.split(F.trim("value"), r"\s+")
+    upper = F.transform(parts, lambda p: F.replace(F.upper(p), F.lit("-"), F.lit("_")))
+    at = F.array_min(F.array(*[F.nullif(F.array_position(upper, s), F.lit(0)) for s in states]))
+    rows = lines.where(F.lower(parts[0]).startswith("tcp")).select(upper.alias("u"), parts.alias("p"), at.alias("at")).where("at is not null")
+    state = F.element_at("u", F.col("at").cast("int"))
+    port = F.nullif(F.regexp_extract(F.when(F.col("at") > 1, F.element_at("p", (F.col("at") - 1).cast("int"))), r"[.:](\d+)$", 1), F.lit("")).cast("int")
+    return rows.agg(
+        F.count_if(state == "ESTABLISHED").alias("tcp_established"), F.count_if(state.isin("LISTEN", "LISTENING")).alias("tcp_listen"), F.count_if(state == "SYN_SENT").alias("tcp_syn_sent"),
+        F.count_if(state == "CLOSE_WAIT").alias("tcp_close_wait"), F.count_distinct(F.when(port != 0, port)).alias("unique_remote_ports"),
+    )
+
+
+def process_summary(lines: DataFrame, user: str | None = None) -> DataFrame:
+    """Processes, those whose owner's name holds user, and threads of ps lines (value, line_no from 0); the first line is the header."""
+    parts = F.split(F.trim("value"), r"\s+")
+    threads = F.coalesce(F.element_at(parts, -1).try_cast("int"), F.lit(0))
+    rows = lines.where((F.col("line_no") > 0) & (F.size(parts) >= 3))
+    own = parts[0].contains(user) if user else F.lit(False)
+    return rows.agg(F.count("*").alias("process_count"), F.count_if(own).alias("user_process_count"), F.coalesce(F.sum(F.greatest(threads, F.lit(0))), F.lit(0)).alias("thread_count"))
+
+
+def listed_packages(lines: DataFrame, manager: str, architecture: str = "unknown") -> DataFrame:
+    """(manager, name, version, architecture) of homebrew lists (name and versions, apart by spaces) or pkgutil lists (a name a line)."""
+    parts = F.split(F.trim("value"), r"\s+")
+    versions = F.coalesce(F.nullif(F.array_join(F.slice(parts, 2, 1_000), ","), F.lit("")), F.lit("unknown"))
+    name, version = (parts[0], versions) if manager == "homebrew" else (F.trim("value"), F.lit("unknown"))
+    return lines.where(F.trim("value") != "").select(F.lit(manager).alias("manager"), name.alias("name"), version.alias("version"), F.lit(architecture).alias("architecture"))
+
+
+def json_packages(documents: DataFrame) -> DataFrame:
+    """The same of JSON texts (value): an object or a list of objects with Name, Version and ProviderName; objects without a Name go."""
+    fields = "struct<Name: string, Version: string, ProviderName: string>"
+    text = F.trim("value")
+    listed = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<{fields}>")
+    rows = documents.where(text != "").select(F.inline(listed)).where("Name != ''")
+    filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    return rows.select(filled("ProviderName", "powershell").alias("manager"), F.col("Name").alias("name"), filled("Version", "unknown").alias("version"), F.lit("unknown").alias("architecture"))
+
+
 def segment_order(paths: list[str], live: str) -> list[str]:
     """Rotated segments by name, then the live file."""
     return [*sorted(p for p in paths if p != live), *([live] if live in paths else [])]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from behaviorlens.operators.rules import fuse
 from behaviorlens.operators.windows import COUNTS, EVENT_TYPES
 
 
@@ -21,6 +24,19 @@ def stream_windows(events: DataFrame, seconds: int, delay: str = "60 seconds") -
     )
 
 
+def stream_scores(metrics: DataFrame, events: DataFrame, feature: str, full: float, seconds: int, thresholds: Mapping[str, int] | None = None, delay: str = "60 seconds") -> DataFrame:
+    """Scored windows of metrics (ts, host, feature) and events (ts, host, event_type): both kinds are counted in one grouped stream, the model's ratio
+    is the feature's mean over ``full``, rules and severity follow; windows without metrics are none.  Rows with is_anomaly are the alerts."""
+    value = metrics.select("ts", "host", F.col(feature).cast("double").alias("x"), F.lit(None).cast("string").alias("event_type"), F.lit(True).alias("metric"))
+    kind = events.select("ts", "host", F.lit(None).cast("double").alias("x"), "event_type", F.lit(False).alias("metric"))
+    counts = [F.count_if(F.col("event_type") == t).alias(c) for t, c in zip(EVENT_TYPES, COUNTS, strict=True)]
+    grouped = value.unionByName(kind).withWatermark("ts", delay).groupBy("host", F.window("ts", f"{seconds} seconds"))
+    mean = F.sum(F.when(F.col("metric"), F.coalesce("x", F.lit(0.0)))) / F.count_if("metric")
+    found = grouped.agg(F.count_if("metric").alias("metric_sample_count"), mean.alias(feature), *counts).where("metric_sample_count > 0")
+    found = found.select("host", F.unix_seconds("window.start").alias("window_start"), "metric_sample_count", feature, *COUNTS)
+    return fuse(found, F.col(feature) / full, thresholds)
+
+
 def stream_ewma(events: DataFrame, key: str, value: str, threshold: float, alpha: float = 0.05, floor: float = 1e-6) -> DataFrame:
     """Each row's z against its key's running mean and variance, which only normal rows update; order column is ts.
 
