@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections.abc import Sequence
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.functions.columns import dot, vectorise
+from behaviorlens.functions.columns import vectorise
 from behaviorlens.operators.ordering import middle, order_statistic, order_statistics
 
 #: Documented bound of the autoencoder's training frame, chosen by hash of host and time.
@@ -154,23 +155,20 @@ class Autoencoder:
         model.threshold = max(order_statistic(errors, "model_error", quantile), row["m"] + 3 * row["s"], 1e-9)
         return model
 
-    def score(self, top: int = 5) -> Column:
-        """struct(error, ratio, top_features) of a row, as built-in expressions over literal weights."""
-        floats = lambda row: F.array(*[F.lit(float(v)) for v in row])
-        z = standardise(self.features, self.scaler)
-        hidden = F.array(*[F.tanh(dot(floats(w), F.col("__z")) + float(b)) for w, b in zip(self.w1, self.b1, strict=True)])
-        squares = F.array(*[
-            F.struct(
-                F.lit(f).alias("feature"), F.pow(dot(floats(w), F.col("__h")) + float(b) - F.element_at("__z", i + 1), F.lit(2.0)).alias("contribution")
-            ) for i, (f, w, b) in enumerate(zip(self.features, self.w2, self.b2, strict=True))
-        ])
-        return z, hidden, squares, top
-
     def apply(self, df: DataFrame, top: int = 5) -> DataFrame:
-        """df with model_error, model_ratio and top_features (largest contributions first, equal ones in feature order)."""
-        z, hidden, squares, _ = self.score(top)
-        df = df.withColumn("__z", z).withColumn("__h", hidden).withColumn("__c", squares)
-        error = F.aggregate("__c", F.lit(0.0), lambda s, x: s + x["contribution"]) / len(self.features)
-        place = F.transform("__c", lambda x, i: F.struct((-x["contribution"]).alias("k"), i.alias("i"), x["feature"].alias("feature"), x["contribution"].alias("contribution")))
-        best = F.transform(F.slice(F.array_sort(place), 1, top), lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
-        return df.withColumn("model_error", error).withColumn("model_ratio", error / self.threshold).withColumn("top_features", best).drop("__z", "__h", "__c")
+        """df with model_error, model_ratio and top_features (largest contributions first, equal ones in feature order).
+
+        Layers are sums of columns times literal weights, one column for each unit, so that all of it compiles."""
+        total = lambda terms: functools.reduce(lambda a, b: a + b, terms)
+        value = {f: F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) for f in self.features}
+        names = df.columns
+        df = df.withColumns({f"__z{i}": (value[f] - self.scaler[f][0]) / self.scaler[f][1] for i, f in enumerate(self.features)})
+        df = df.withColumns({f"__h{j}": F.tanh(total([F.col(f"__z{i}") * float(x) for i, x in enumerate(w)]) + float(b)) for j, (w, b) in enumerate(zip(self.w1, self.b1, strict=True))})
+        miss = [total([F.col(f"__h{j}") * float(x) for j, x in enumerate(w)]) + float(b) - F.col(f"__z{i}") for i, (w, b) in enumerate(zip(self.w2, self.b2, strict=True))]
+        df = df.withColumns({f"__c{i}": m * m for i, m in enumerate(miss)})
+        parts = [F.col(f"__c{i}") for i in range(len(self.features))]
+        error = total(parts) / len(self.features)
+        # By falling contribution, equal ones by their place: in ascending order of (-contribution, place).
+        ranked = F.array_sort(F.array(*[F.struct((-c).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("feature"), c.alias("contribution")) for i, (f, c) in enumerate(zip(self.features, parts, strict=True))]))
+        best = F.transform(F.slice(ranked, 1, top), lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
+        return df.select(*names, error.alias("model_error"), (error / self.threshold).alias("model_ratio"), best.alias("top_features"))
