@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns to the system what this process's allocators hold but no object uses.
+
+    Python workers outlive their tasks and share an executor's memory with its JVM.  After encoding 20 MB of text and dropping the encoder a worker
+    had 245 MB; 29 MB of them were Arrow's free blocks and 41 MB the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches of a task, which gives memory back at its end."""
+    yield from batches
+    give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; one of this machine only where the whole session runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -92,14 +114,11 @@ def member_filter(values: DataFrame, *columns: str):
     bits = _filter_bits(values.select(F.xxhash64(*columns).alias("h")))
     carried = values.sparkSession.sparkContext.broadcast(bits)
 
-    import pandas as pd  # here, so that tasks without it do not load it
-
-    def member(h):
-        return pd.Series(_in_filter(carried.value, h.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def member(h: pa.Array) -> pa.Array:
+        return pa.array(_in_filter(carried.value, h.to_numpy(zero_copy_only=False)))
 
-    member.__annotations__ = {"h": pd.Series, "return": pd.Series}
-    udf = F.pandas_udf(member, "boolean")
-    return lambda *cols: udf(F.xxhash64(*cols))
+    return lambda *cols: member(F.xxhash64(*cols))
 
 
 def dropped(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:

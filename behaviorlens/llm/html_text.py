@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, member_filter, table
+from behaviorlens.llm.common import materialize, member_filter, table, trimmed
 
 #: A subtree is a template when it stands on at least so many distinct pages of its host and this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.1
@@ -280,7 +280,7 @@ def extract_text(
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hashed = materialize(
         pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.col(html_col).alias("html"))
-        .mapInArrow(_hash_task, "page_id long, host string, hashes array<long>, shown array<long>, digest long").withColumn("row", F.monotonically_increasing_id()), "subtrees",
+        .mapInArrow(lambda it: trimmed(_hash_task(it)), "page_id long, host string, hashes array<long>, shown array<long>, digest long").withColumn("row", F.monotonically_increasing_id()), "subtrees",
     )
     # Copies of a page under any url count once, or they would make templates of their own text.
     firsts = hashed.groupBy("host", "digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -296,7 +296,7 @@ def extract_text(
     joined = marked.where("maybe").join(own, F.col("page_id").eqNullSafe(F.col("own_id")), "left").select("page_id", "url", "html", "templates")
     others = marked.where("not maybe").select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("templates"))
     schema = "page_id long, url string, text string"
-    return joined.mapInArrow(_text_task, schema).unionByName(others.mapInArrow(_text_task, schema))
+    return joined.mapInArrow(lambda it: trimmed(_text_task(it)), schema).unionByName(others.mapInArrow(lambda it: trimmed(_text_task(it)), schema))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

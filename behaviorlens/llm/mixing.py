@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import dropped, materialize, table
+from behaviorlens.llm.common import dropped, give_back, materialize, table, trimmed
 
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of tokens.  The total is what the first domain's supply allows.
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
     rows = rows.groupBy("doc_id").agg(F.max("domain").alias("domain"))  # of conflicting labels the last by name counts: toxic, low, clean
     sample = rows.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "domain")
-    counts = texts.mapInArrow(_document_counts, "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
+    counts = texts.mapInArrow(lambda it: trimmed(_document_counts(it)), "word string, domain string, n long").groupBy("word").pivot("domain", list(DOMAINS)).sum("n").fillna(0)
     counts = materialize(counts.where(" + ".join(DOMAINS) + f" >= {LEAST_DOCS} or word = ''"), "mix-counts")
     sizes = counts.where("word = ''").first()
     n = np.array([sizes[d] if sizes else 0 for d in DOMAINS], float)
@@ -122,6 +122,7 @@ def memberships(docs: DataFrame, classifier: Classifier) -> Column:
                 tokens.append(len(words))
                 p.append(classifier.posteriors(set(words)))
             yield pd.DataFrame({"tokens": tokens, "p": p})
+        give_back()
 
     return member(docs["text"])
 

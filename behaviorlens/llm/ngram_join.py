@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import FILTER_BITS, components, discard, dropped, materialize, member_filter, table, token_filter
+from behaviorlens.llm.common import FILTER_BITS, components, discard, dropped, materialize, member_filter, table, token_filter, trimmed
 
 #: Stored prefixes that may share a token before it counts as frequent.
 FREQUENT = 16
@@ -176,7 +176,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 sets = [t.astype(np.int64) for t in token_sets(part.column(1).to_pylist(), n)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return rows.select("doc_id", "text").mapInArrow(task, "node long, tokens array<long>")
+    return rows.select("doc_id", "text").mapInArrow(lambda it: trimmed(task(it)), "node long, tokens array<long>")
 
 
 def _halves(column: str) -> Column:
@@ -212,9 +212,9 @@ def _signed(docs: DataFrame, nodes: DataFrame, often, n: int, percent: int) -> D
                 )
 
     schema = "node long, n long, sigs array<long>, short boolean"
-    first = materialize(nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: task(it, False), schema), "signatures")
+    first = materialize(nodes.select("node", "n", F.col("prefix").alias("tokens")).mapInArrow(lambda it: trimmed(task(it, False)), schema), "signatures")
     sets = _sets_of(docs, first.where("short").select("node"), n).select("node", F.size("tokens").cast("long").alias("n"), "tokens")
-    signed = first.unionByName(sets.mapInArrow(lambda it: task(it, True), schema)).select(F.explode("sigs").alias("sig"), "node", "n")
+    signed = first.unionByName(sets.mapInArrow(lambda it: trimmed(task(it, True)), schema)).select(F.explode("sigs").alias("sig"), "node", "n")
     many = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     own = size_class(F.col("n"), percent)
     met = materialize(signed.join(many, "sig").select(F.explode(F.array(own, own + 1)).alias("class"), "sig", "node").select(F.xxhash64("sig", "class").alias("sig"), "node"), "signed")
@@ -263,7 +263,7 @@ def _groups(rows: DataFrame, keys: list[str], work: Callable[[_Group], Iterable[
         if held:
             yield run(held, True)[0]
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: trimmed(task(it)), schema)
 
 
 def _met(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -384,7 +384,7 @@ def ngram_components(
     taken whole, other columns are not read.  percent lies between 1 and 100.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    plain = materialize(docs.mapInArrow(lambda it: _plain_task(it, n, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    plain = materialize(docs.mapInArrow(lambda it: trimmed(_plain_task(it, n, percent)), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
     rest = materialize(plain.drop("prefix"), "rows")
     usable = plain.where("doc_id is not null and n > 0")
     ids = rest.where("doc_id is not null and n > 0")
