@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table
+from behaviorlens.llm.common import materialize, table, trimmed
 from behaviorlens.llm.encoding import SLICE, Encoder, slices
 
 MAGIC = b"RPGS"
@@ -31,6 +31,8 @@ MAGIC = b"RPGS"
 SHARD_TOKENS = 500_000
 #: A pair becomes a rule when it occurs this often in its shard: a rule takes 12 bytes, a pair that it replaces saves two.
 FREQUENT = 8
+#: Pieces that a task remembers while it encodes.
+REMEMBERED = 400_000
 #: Buckets in which pairs are counted before they are counted exactly.
 BUCKET_BITS = 19
 
@@ -175,7 +177,7 @@ def _write_task(batches: Iterable[pa.RecordBatch], path: str, end: int, shard_to
     sizes: list[np.ndarray] = []
     docs: list[int] = []
     total = made = before = 0
-    encoder = Encoder(path)  # lives as long as the task: workers that wait hold no pieces
+    encoder = Encoder(path, REMEMBERED)  # lives as long as the task: workers that wait hold no pieces
 
     def shard() -> pa.RecordBatch:
         data = compress(docs, np.concatenate(sizes), np.concatenate(ids))
@@ -215,7 +217,7 @@ def write_tokens(
     parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     shards = ordered.mapInArrow(
-        lambda it: _write_task(it, tokenizer, end_id, shard_tokens), "part int, shard int, n_tokens long, before long, data binary"
+        lambda it: trimmed(_write_task(it, tokenizer, end_id, shard_tokens)), "part int, shard int, n_tokens long, before long, data binary"
     )
     return materialize(shards, "tokens")
 
@@ -246,7 +248,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         total += n
     begins = F.broadcast(spark.createDataFrame(starts, "part int, begin long"))
     return shards.join(begins, "part").select((F.col("begin") + F.col("before")).alias("begin"), "data").mapInArrow(
-        _read_task, "doc_id long, start long, n_tokens long, ids binary"
+        lambda it: trimmed(_read_task(it)), "doc_id long, start long, n_tokens long, ids binary"
     )
 
 
