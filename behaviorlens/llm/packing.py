@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import materialize, table, trimmed
-from behaviorlens.llm.encoding import Encoder, slices
+from behaviorlens.llm.encoding import REMEMBERED, SLICE, Encoder, slices
 
 #: Tokens of a window.
 CAPACITY = 1024
@@ -132,12 +132,14 @@ class Shards:
         )
 
 
-def _pack_task(batches: Iterable[pa.RecordBatch], path: str, end: int, capacity: int, windows: int) -> Iterator[pa.RecordBatch]:
+def _pack_task(
+    batches: Iterable[pa.RecordBatch], path: str, end: int, capacity: int, windows: int, remembered: int, slice_bytes: int
+) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     shards = Shards(capacity, windows, (context.partitionId() if context else 0) << 40)
-    encoder = Encoder(path)  # lives as long as the task: workers that wait hold no pieces
+    encoder = Encoder(path, remembered)  # lives as long as the task: workers that wait hold no pieces
     for batch in batches:
-        for first, stop in slices(batch.column(1)):
+        for first, stop in slices(batch.column(1), slice_bytes):
             ids, sizes = encoder.encode(batch.column(1).slice(first, stop - first))
             ids = np.insert(ids, np.cumsum(sizes), end).astype("<u4", copy=False)
             ends = np.cumsum(sizes + 1).tolist()
@@ -151,10 +153,12 @@ def _pack_task(batches: Iterable[pa.RecordBatch], path: str, end: int, capacity:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, windows: int = WINDOWS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, slice_bytes: int = SLICE,
 ) -> DataFrame:
     """Pack every document's ids, with end_id after each, into windows of at most ``capacity`` tokens.
 
+    A task remembers the ids of so many pieces and encodes slices of about slice_bytes; both only weigh time against memory.
+
     Returns the pieces: doc_id, start, length, doc_tokens, sequence_id, offset, and ids
     (little-endian unsigned 32-bit).  The pieces of a document cover its ids once.
     A null or empty text is the end id alone.  Rows that repeat a doc_id, with a null one
@@ -162,15 +166,15 @@ def pack_documents(
     pieces.  Other columns are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: trimmed(_pack_task(it, tokenizer, end_id, capacity, windows)), PIECES
+        lambda it: trimmed(_pack_task(it, tokenizer, end_id, capacity, windows, remembered, slice_bytes)), PIECES
     )
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, remembered: int = REMEMBERED, slice_bytes: int = SLICE) -> DataFrame:
     """The pieces with a checksum in place of their ids, written and read back."""
     import public_tokenizers
 
-    pieces = pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), remembered=remembered, slice_bytes=slice_bytes)
     return materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "pieces")
 
 
