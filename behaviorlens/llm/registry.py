@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from behaviorlens.llm import (
     bm25,
+    byte_bpe,
     chat_format,
     exact_dedup,
     html_text,
@@ -17,6 +18,7 @@ from behaviorlens.llm import (
 
 MODULES = (
     bm25,
+    byte_bpe,
     chat_format,
     exact_dedup,
     html_text,
