@@ -7,8 +7,10 @@ from behaviorlens.llm import (
     byte_bpe,
     chat_format,
     exact_dedup,
+    hard_negatives,
     html_text,
     line_dedup,
+    maxscore,
     mixing,
     ngram_join,
     packing,
@@ -21,8 +23,10 @@ MODULES = (
     byte_bpe,
     chat_format,
     exact_dedup,
+    hard_negatives,
     html_text,
     line_dedup,
+    maxscore,
     mixing,
     ngram_join,
     packing,
