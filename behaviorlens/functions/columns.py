@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -92,8 +93,8 @@ def uuid5(*parts: Column) -> Column:
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
-    """Hex HMAC-SHA256 with a literal key of at most 64 bytes."""
-    block = key.ljust(64, b"\0")
+    """Hex HMAC-SHA256 with a literal key of any length."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytes(b ^ x for b in block).hex() for x in (0x36, 0x5C))
     first = F.sha2(F.concat(F.unhex(F.lit(inner)), F.encode(message, "UTF-8")), 256)
     return F.sha2(F.concat(F.unhex(F.lit(outer)), F.unhex(first)), 256)
@@ -103,9 +104,22 @@ def severity(ratio: Column) -> Column:
     return F.when(ratio >= 5, "critical").when(ratio >= 2.5, "high").when(ratio >= 1, "medium").otherwise("normal")
 
 
+# Severities and their ranks.
+SEVERITIES = {"normal": 0, "informational": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+
+
+def severity_name(name: Column) -> Column:
+    """The severity in lower case; informational where it is missing or none of the known ones."""
+    lower = F.lower(name)
+    return F.when(lower.isin(*SEVERITIES), lower).otherwise("informational")
+
+
 def severity_rank(name: Column) -> Column:
-    ranks = {"low": 1, "medium": 2, "high": 3, "critical": 4, "fatal": 5}
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.lower(name)), F.lit(0))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), severity_name(name))
+
+
+def severity_of_rank(rank: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in SEVERITIES if x != "normal"]), rank + 1)
 
 
 def vectorise(columns: Sequence[str], strict: bool = False) -> Column:

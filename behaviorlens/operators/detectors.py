@@ -9,14 +9,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.functions.columns import vectorise
 from behaviorlens.operators.ordering import middle, order_statistic, order_statistics
+from behaviorlens.sources.store import stored
 
-#: Documented bound of the autoencoder's training frame, chosen by hash of host and time.
-MAX_TRAIN = 10_000
+#: Rows that one task descends over, about, and how often the parts' weights are averaged.
+PART_ROWS, ROUNDS = 2_000, 4
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -103,6 +105,42 @@ def ewma_scores(df: DataFrame, key: str, features: Sequence[str], order: Sequenc
     return ordered.mapInPandas(run, schema)
 
 
+def _descend(z: np.ndarray, weights: list[np.ndarray], epochs: range, of: int, seed: int, rate: float = 0.015) -> list[np.ndarray]:
+    """Stochastic descent over standardised rows, one row a step, in the given epochs of ``of``; the step falls with the epoch.
+
+    The generator has drawn the starting weights before it orders the rows, as a run from the first epoch does."""
+    w1, b1, w2, b2 = weights
+    rng = random.Random(seed)
+    for _ in range(w1.size + w2.size):
+        rng.random()
+    order = list(range(len(z)))
+    for epoch in range(epochs.stop):
+        rng.shuffle(order)
+        if epoch < epochs.start:
+            continue
+        step = rate / (1 + epoch / of)
+        for i in order:
+            h = np.tanh(w1 @ z[i] + b1)
+            out = w2 @ h + b2 - z[i]
+            back = (w2.T @ out) * (1 - h * h)
+            w2 -= step * np.outer(out, h)
+            b2 -= step * out
+            w1 -= step * np.outer(back, z[i])
+            b1 -= step * back
+    return [w1, b1, w2, b2]
+
+
+def _part_descent(start: list[np.ndarray], epochs: range, of: int, seed: int):
+    """A function on the rows of one part: their number, and the weights after the descent times that number."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(part.sort_values("h", kind="stable")["z"].to_numpy())
+        own = _descend(z, [w.copy() for w in start], epochs, of, seed)
+        return pd.DataFrame({"n": [float(len(part))], "w": [np.concatenate([w.ravel() for w in own]) * len(part)]})
+
+    return run
+
+
 class Autoencoder:
     """One hidden tanh layer, linear output, mean squared error over standardised features."""
 
@@ -113,8 +151,7 @@ class Autoencoder:
     @classmethod
     def fit(cls, rows: pd.DataFrame, features: Sequence[str], epochs: int = 220, rate: float = 0.015, quantile: float = 0.995, seed: int = 42,
             scaler: dict[str, tuple[float, float]] | None = None) -> Autoencoder:
-        """Stochastic descent over a bounded training frame; sequential by nature, so one frame is one task.
-        Scaler, unless given, and threshold are those of the frame; fit_windows takes both from all rows."""
+        """Stochastic descent over a frame that a caller holds.  Scaler, unless given, and threshold are those of the frame; fit_windows takes all rows of a table."""
         x = rows[list(features)].apply(pd.to_numeric, errors="coerce").fillna(0.0).to_numpy(float)
         if scaler is None:
             mean, std = x.mean(0), x.std(0)
@@ -122,53 +159,83 @@ class Autoencoder:
         else:
             mean, std = (np.array([scaler[f][i] for f in features]) for i in (0, 1))
         z = (x - mean) / std
-        d = z.shape[1]
-        hidden = max(3, min(12, d // 2))
-        rng = random.Random(seed)
-        draw = lambda n, m: np.array([[rng.uniform(-1 / math.sqrt(m), 1 / math.sqrt(m)) for _ in range(m)] for _ in range(n)])
-        w1, w2, b1, b2 = draw(hidden, d), draw(d, hidden), np.zeros(hidden), np.zeros(d)
-        order = list(range(len(z)))
-        for epoch in range(epochs):
-            rng.shuffle(order)
-            step = rate / (1 + epoch / epochs)
-            for i in order:
-                h = np.tanh(w1 @ z[i] + b1)
-                out = w2 @ h + b2 - z[i]
-                back = (w2.T @ out) * (1 - h * h)
-                w2 -= step * np.outer(out, h)
-                b2 -= step * out
-                w1 -= step * np.outer(back, z[i])
-                b1 -= step * back
-        model = cls(features, {f: (float(m), float(s)) for f, m, s in zip(features, mean, std, strict=True)}, w1, b1, w2, b2)
+        model = cls.drawn(features, {f: (float(m), float(s)) for f, m, s in zip(features, mean, std, strict=True)}, seed)
+        model.w1, model.b1, model.w2, model.b2 = w1, b1, w2, b2 = _descend(z, model.weights(), range(epochs), epochs, seed, rate)
         errors = np.sort(((np.tanh(z @ w1.T + b1) @ w2.T + b2 - z) ** 2).mean(1))
         at = min(max(round((len(errors) - 1) * quantile), 0), len(errors) - 1)
         model.threshold = max(float(errors[at]), float(errors.mean() + 3 * errors.std()), 1e-9)
         return model
 
     @classmethod
-    def fit_windows(cls, clean: DataFrame, features: Sequence[str], epochs: int = 220, quantile: float = 0.995, seed: int = 42, max_train: int = MAX_TRAIN) -> Autoencoder:
-        """Scaler and threshold of all clean windows; only the descent takes at most max_train of them."""
-        sample = clean.orderBy(F.xxhash64("host", "window_start"), "host", "window_start").limit(max_train).select(*features)
-        model = cls.fit(sample.toPandas(), features, epochs, quantile=quantile, seed=seed, scaler=fit_scaler(clean, features))
-        errors = model.apply(clean).select("model_error")
+    def fit_windows(cls, clean: DataFrame, features: Sequence[str], epochs: int = 220, quantile: float = 0.995, seed: int = 42, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> Autoencoder:
+        """Scaler, weights and threshold of all clean windows.
+
+        The rows are dealt by hash to parts of about ``part_rows``.  In every round each part descends over its own rows from the common weights, for its share of
+        the epochs, and the parts' weights are averaged by their rows: one part is the plain descent over all of them.  What reaches the driver is
+        one model a group of parts."""
+        scaler = fit_scaler(clean, features)
+        keyed = clean.select(F.xxhash64("host", "window_start").alias("h"), standardise(features, scaler).alias("z"))
+        rows = stored(keyed, "autoencoder-rows")
+        n = rows.count()
+        parts = max(1, -(-n // part_rows))
+        model = cls.drawn(features, scaler, seed)
+        shape = [x.shape for x in model.weights()]
+        dealt = rows.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+        done = 0
+        for turn in range(rounds):
+            stop = epochs * (turn + 1) // rounds
+            descend = _part_descent(model.weights(), range(done, stop), epochs, seed)
+            found = dealt.groupBy("part").applyInPandas(descend, "n double, w array<double>")
+            # Sums of weights in two steps, so that many parts do not meet in one task.
+            summed = found.select(F.posexplode("w").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")) if n else None
+            if summed is not None:
+                flat = np.array([x / n for _, x in sorted(tuple(r) for r in summed.collect())])  # one number a weight
+                model.w1, model.b1, model.w2, model.b2 = (x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([math.prod(s) for s in shape])[:-1]), shape, strict=True))
+            done = stop
+        return model.calibrated(clean, quantile)
+
+    @classmethod
+    def drawn(cls, features: Sequence[str], scaler: dict[str, tuple[float, float]], seed: int) -> Autoencoder:
+        """A model of random weights."""
+        d = len(features)
+        hidden = max(3, min(12, d // 2))
+        rng = random.Random(seed)
+        draw = lambda n, m: np.array([[rng.uniform(-1 / math.sqrt(m), 1 / math.sqrt(m)) for _ in range(m)] for _ in range(n)])
+        return cls(features, scaler, draw(hidden, d), np.zeros(hidden), draw(d, hidden), np.zeros(d))
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.w1, self.b1, self.w2, self.b2]
+
+    def calibrated(self, rows: DataFrame, quantile: float = 0.995) -> Autoencoder:
+        """The model with the threshold of these rows: the quantile of their errors or their mean and three deviations, whichever is more.  The errors are written once."""
+        errors = stored(self.apply(rows).select("model_error"), "autoencoder-errors")
         row = errors.agg(F.avg("model_error").alias("m"), F.stddev_pop("model_error").alias("s")).first()
-        model.threshold = max(order_statistic(errors, "model_error", quantile), row["m"] + 3 * row["s"], 1e-9)
-        return model
+        threshold = max(order_statistic(errors, "model_error", quantile), (row["m"] or 0.0) + 3 * (row["s"] or 0.0), 1e-9)
+        return Autoencoder(self.features, self.scaler, *self.weights(), threshold)
+
+    def errors(self, values: np.ndarray) -> np.ndarray:
+        """Squared misses of every feature of rows of plain values.  Sums run feature by feature, so that they do not depend on how many rows there are."""
+        mean, std = (np.array([self.scaler[f][i] for f in self.features]) for i in (0, 1))
+        z = (values - mean) / std
+        total = lambda x, w: functools.reduce(lambda a, b: a + b, [x[:, i, None] * w[:, i] for i in range(x.shape[1])])
+        miss = total(np.tanh(total(z, self.w1) + self.b1), self.w2) + self.b2 - z
+        return miss * miss
 
     def apply(self, df: DataFrame, top: int = 5) -> DataFrame:
         """df with model_error, model_ratio and top_features (largest contributions first, equal ones in feature order).
 
-        Layers are sums of columns times literal weights, one column for each unit, so that all of it compiles."""
-        total = lambda terms: functools.reduce(lambda a, b: a + b, terms)
-        value = {f: F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) for f in self.features}
-        names = df.columns
-        df = df.withColumns({f"__z{i}": (value[f] - self.scaler[f][0]) / self.scaler[f][1] for i, f in enumerate(self.features)})
-        df = df.withColumns({f"__h{j}": F.tanh(total([F.col(f"__z{i}") * float(x) for i, x in enumerate(w)]) + float(b)) for j, (w, b) in enumerate(zip(self.w1, self.b1, strict=True))})
-        miss = [total([F.col(f"__h{j}") * float(x) for j, x in enumerate(w)]) + float(b) - F.col(f"__z{i}") for i, (w, b) in enumerate(zip(self.w2, self.b2, strict=True))]
-        df = df.withColumns({f"__c{i}": m * m for i, m in enumerate(miss)})
-        parts = [F.col(f"__c{i}") for i in range(len(self.features))]
-        error = total(parts) / len(self.features)
-        # By falling contribution, equal ones by their place: in ascending order of (-contribution, place).
-        ranked = F.array_sort(F.array(*[F.struct((-c).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("feature"), c.alias("contribution")) for i, (f, c) in enumerate(zip(self.features, parts, strict=True))]))
-        best = F.transform(F.slice(ranked, 1, top), lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution")))
-        return df.select(*names, error.alias("model_error"), (error / self.threshold).alias("model_ratio"), best.alias("top_features"))
+        One Arrow function scores a batch of rows.  It is marked as not deterministic, so a filter on its result stays above it and is never a second call."""
+        threshold, names, errors = self.threshold, np.array(self.features, object), self.errors
+        kind = pa.struct([("feature", pa.string()), ("contribution", pa.float64())])
+
+        @F.arrow_udf("struct<error: double, ratio: double, top: array<struct<feature: string, contribution: double>>>")
+        def scored(rows: pa.Array) -> pa.Array:
+            part = errors(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(names)))
+            error = functools.reduce(lambda a, b: a + b, part.T, np.zeros(len(part))) / len(names)
+            best = np.argsort(-part, axis=1, kind="stable")[:, :top]
+            flat = pa.StructArray.from_arrays([pa.array(names[best.ravel()].tolist(), pa.string()), pa.array(np.take_along_axis(part, best, 1).ravel())], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * best.shape[1]), flat)
+            return pa.StructArray.from_arrays([pa.array(error), pa.array(error / threshold), lists], ["error", "ratio", "top"])
+
+        held = df.withColumn("__model", scored.asNondeterministic()(vectorise(self.features)))
+        return held.select(*df.columns, F.col("__model.error").alias("model_error"), F.col("__model.ratio").alias("model_ratio"), F.col("__model.top").alias("top_features"))

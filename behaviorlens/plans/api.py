@@ -29,7 +29,6 @@ EVENT_SCHEMA = (
     "event_id string, timestamp string, host string, category_name string, class_name string, activity_name string, event_type string, source string, status string, "
     "severity string, schema_version string, data struct<process: struct<name: string>, actor: struct<user: struct<name: string>>, source_endpoint: struct<ip: string, hostname: string>>"
 )
-MAX_TRAIN = detectors.MAX_TRAIN
 
 
 def load_metrics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -54,9 +53,9 @@ def build_combined(metrics: DataFrame, events: DataFrame, seconds: int = 60) ->
     return combined.join(labels, windows.KEYS, "left").withColumn("window_seconds", F.lit(seconds)).withColumn("timestamp", iso_z(F.col("window_start") * 1_000_000))
 
 
-def train(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, seed: int = 42, max_train: int = MAX_TRAIN) -> detectors.Autoencoder:
-    """An autoencoder of normal windows (labelled ones are left out as the guard says): scaler and threshold of all, weights fitted to at most max_train of them."""
-    return detectors.Autoencoder.fit_windows(evaluation.poisoning_guard(combined, "scenario"), features, epochs, seed=seed, max_train=max_train)
+def train(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, seed: int = 42) -> detectors.Autoencoder:
+    """An autoencoder of all normal windows (labelled ones are left out as the guard says)."""
+    return detectors.Autoencoder.fit_windows(evaluation.poisoning_guard(combined, "scenario"), features, epochs, seed=seed)
 
 
 def score(combined: DataFrame, model: detectors.Autoencoder, thresholds: Mapping[str, int] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from behaviorlens.functions import ocsf
 from behaviorlens.operators import graph, quality
 from behaviorlens.plans.behaviour import DAY, EV, RECURSIVE, ev_norm, read
 from behaviorlens.sources import adapters, files
+from behaviorlens.sources.store import shared_dir
 from behaviorlens.streaming import windows as streaming
 
 KEY = b"behaviorlens-example-key"
@@ -158,25 +159,12 @@ def streamed(spark, run, sf_dir, columns):
     kinds = {"click": "process_started", "view": "process_stopped", "error": "authentication_failure", "signup": "authentication_success"}
     mapped = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.when(F.col("value") >= 100, "privilege_elevation").otherwise("package_installed"))
     rows = source.select("event_id", F.concat(F.lit("u"), "user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"), mapped.alias("event_type"), "value")
-    path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = run(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out").select(*columns)
 
 
-def checkpoint_root(spark) -> str:
-    """The shared folder of spark.checkpoint.dir; one of this machine only where the whole session runs on it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def q_stream_windows(spark, sf_dir):
     return streamed(spark, lambda rows: streaming.stream_windows(rows, DAY), sf_dir, ["host", "window_start", "metric_sample_count", F.round("value", 6).alias("value"), "event_process_started_count"])
 
