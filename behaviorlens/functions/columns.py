@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-# Redaction patterns, in the order in which they apply, and the names that are sensitive.
+# Redaction patterns, in the order in which they apply, and the names that are sensitive.  KEY_VALUE has no alternatives for quoted
+# values: what is not white space, a comma or a semicolon takes the quotes in already.
 URL_CREDENTIALS = (r"(?i)(\b[a-z][a-z0-9+.-]*://[^\s/:@]+:)([^\s@]+)(@)", "$1[REDACTED]$3")
 AUTHORIZATION = (r"(?i)(\bauthorization\s*:\s*(?:bearer|basic)\s+)[^\s,;]+", "$1[REDACTED]")
 KEY_VALUE = (
@@ -36,6 +39,52 @@ def redact_map(data: Column) -> Column:
     return F.transform_values(data, lambda k, v: F.when(is_sensitive_key(k), F.lit("[REDACTED]")).otherwise(redact_text(v)))
 
 
+def redact_nested(value: Column, kind: DataType) -> Column:
+    """A value of any type: what stands under a sensitive name of a struct or map is hidden (as text where it is text, else null), all other text is redacted, at any depth."""
+    if isinstance(kind, StringType):
+        return redact_text(value)
+    if isinstance(kind, StructType):
+        hidden = lambda f: F.lit("[REDACTED]").cast(f.dataType) if isinstance(f.dataType, StringType) else F.lit(None).cast(f.dataType)
+        fields = [(hidden(f) if is_sensitive_name(f.name) else redact_nested(value.getField(f.name), f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, MapType):
+        hidden = F.lit("[REDACTED]") if isinstance(kind.valueType, StringType) else F.lit(None).cast(kind.valueType)
+        return F.transform_values(value, lambda k, v: F.when(is_sensitive_key(k.cast("string")), hidden).otherwise(redact_nested(v, kind.valueType)))
+    return value
+
+
+def exposures_nested(value: Column, kind: DataType, path: Column | None = None) -> Column:
+    """Array of struct(path, reason) of what redaction would still hide in a value of any type; paths as $.name[3].name."""
+    path = F.lit("$") if path is None else path
+    none = F.array().cast("array<struct<path:string,reason:string>>")
+    one = lambda at, reason: F.array(F.struct(at.alias("path"), F.lit(reason).alias("reason")))
+    bare = lambda v, t: v.isNull() | v.isin("", "[REDACTED]") if isinstance(t, StringType) else v.isNull()
+    if isinstance(kind, StringType):
+        return F.when(F.coalesce((value != "[REDACTED]") & (redact_text(value) != value), F.lit(False)), one(path, "secret-like text")).otherwise(none)
+    if isinstance(kind, StructType):
+        parts = []
+        for f in kind.fields:
+            item, at = value.getField(f.name), F.concat(path, F.lit(f".{f.name}"))
+            inner = exposures_nested(item, f.dataType, at)
+            parts.append(F.when(~bare(item, f.dataType), one(at, "unredacted sensitive field")).otherwise(inner) if is_sensitive_name(f.name) else inner)
+        return F.coalesce(F.flatten(F.array(*parts)) if parts else none, none)
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x, i: exposures_nested(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))), none)
+    if isinstance(kind, MapType):
+        def entry(e):
+            at = F.concat(path, F.lit("."), e["key"].cast("string"))
+            loud = is_sensitive_key(e["key"].cast("string")) & ~bare(e["value"], kind.valueType)
+            return F.when(loud, one(at, "unredacted sensitive field")).otherwise(exposures_nested(e["value"], kind.valueType, at))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), entry)), none)
+    return none
+
+
+def is_sensitive_name(name: str) -> bool:
+    return re.match(SENSITIVE_KEY, name.replace("-", "_")) is not None
+
+
 def redact_arguments(args: Column) -> Column:
     """A command line: the token after a bare sensitive option is hidden; a hidden token hides nothing itself."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("hide"))

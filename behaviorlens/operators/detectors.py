@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import math
 import random
@@ -10,15 +11,17 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from behaviorlens.functions.columns import vectorise
-from behaviorlens.operators.ordering import middle, order_statistic, order_statistics
+from behaviorlens.operators.ordering import middle, order_statistic, order_statistics, with_position
 from behaviorlens.sources.store import stored
 
 #: Rows that one task descends over, about, and how often the parts' weights are averaged.
 PART_ROWS, ROUNDS = 2_000, 4
+#: Rows of one key that a task takes in order.
+CHUNK_ROWS = 100_000
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -58,6 +61,57 @@ def robust_score(features: Sequence[str], profile: dict[str, tuple[float, float]
     return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / min(top, len(features))
 
 
+@dataclasses.dataclass(frozen=True)
+class Robust:
+    """Robust z-scores: medians and scales of each feature, and the score from which a row is an anomaly."""
+
+    profile: dict[str, tuple[float, float]]
+    threshold: float = 1.0
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: Sequence[str]) -> Robust:
+        found = {r["feature"]: (r["center"], r["scale"]) for r in fit_robust(rows, features).collect()}
+        if not found:
+            raise ValueError("need at least one training row")
+        return cls({f: found[f] for f in features})
+
+    def score(self) -> Column:
+        return robust_score(list(self.profile), self.profile)
+
+    def calibrated(self, rows: DataFrame, quantile: float = 0.995) -> Robust:
+        return dataclasses.replace(self, threshold=max(order_statistic(rows.select(self.score().alias("s")), "s", quantile), 1e-9))
+
+
+@dataclasses.dataclass(frozen=True)
+class Ewma:
+    """One running state over all rows in order, and the score from which a row is an anomaly."""
+
+    features: Sequence[str]
+    order: Sequence[str]
+    state: tuple[list[float], list[float]]
+    alpha: float = 0.05
+    threshold: float = 1.0
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: Sequence[str], order: Sequence[str], alpha: float = 0.05) -> Ewma:
+        if not 0.0 < alpha <= 1.0:
+            raise ValueError("alpha must be between zero and one")
+        last = ewma_scores(rows, None, features, order, alpha)[1].first()
+        if not last:
+            raise ValueError("need at least one training row")
+        return cls(list(features), list(order), (last["mean"], last["var"]), alpha)
+
+    def calibrated(self, rows: DataFrame, quantile: float = 0.995) -> Ewma:
+        """Scores rows and learns them; the threshold is the quantile of their scores."""
+        scored, last = ewma_scores(rows, None, self.features, self.order, self.alpha, start=self.state)
+        state = last.first()
+        return dataclasses.replace(self, state=(state["mean"], state["var"]), threshold=max(order_statistic(scored, "ewma_score", quantile), 1e-9))
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with ewma_score; rows whose score reaches the threshold are not learnt."""
+        return ewma_scores(rows, None, self.features, self.order, self.alpha, threshold=self.threshold, start=self.state)[0]
+
+
 def drift_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, med, mad, low, high) with true medians."""
     mean = lambda pair: sum(pair) / len(pair)
@@ -76,33 +130,70 @@ def drift_compare(reference: DataFrame, current: DataFrame, features: Sequence[s
     return found.select("feature", F.col("med").alias("reference_median"), "current_median", "robust_shift", (F.col("robust_shift") >= shift).alias("drifted"))
 
 
-def ewma_scores(df: DataFrame, key: str, features: Sequence[str], order: Sequence[str], alpha: float = 0.05, floor: float = 1e-6) -> DataFrame:
-    """Scores each row of a key against running means and variances, then updates them.  The scale of a feature is
-    its deviation, at least one hundredth of its mean and ``floor``.
-
-    The recursion runs over one key at a time, in order, as a stream of sorted batches: a task keeps the state
-    of a single key, however many rows it has."""
-    names = list(features)
-    ordered = df.repartition(key).sortWithinPartitions(key, *order)
-    fields = [f for f in ordered.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ewma_score double"
-
-    def run(batches):
-        current, mean, var = object(), None, None
-        for batch in batches:
-            scores = []
-            values = batch[names].astype(float).fillna(0.0).to_numpy()
-            for k, x in zip(batch[key].tolist(), values, strict=True):
-                if k != current:
-                    current, mean, var = k, x.copy(), np.full(len(names), floor)
-                z = np.sort(np.abs(x - mean) / np.maximum(np.maximum(np.sqrt(var), 0.01 * np.abs(mean)), floor))[::-1][:3]
-                scores.append(float(z.mean()))
-                diff = x - mean
-                mean = mean + alpha * diff
-                var = np.maximum((1 - alpha) * (var + alpha * diff * diff), floor)
-            yield batch.assign(ewma_score=scores)
-
-    return ordered.mapInPandas(run, schema)
+def _ewma_chunk(x: np.ndarray, mean: np.ndarray, var: np.ndarray, alpha: float, floor: float, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of rows in order, and the means and variances after them.  A row whose score reaches the threshold is scored but not learnt."""
+    scores, most = np.empty(len(x)), min(3, x.shape[1])
+    for i, row in enumerate(x):
+        diff = row - mean
+        z = np.abs(diff) / np.maximum(np.maximum(np.sqrt(var), 0.01 * np.abs(mean)), floor)
+        scores[i] = np.sort(z)[::-1][:most].sum() / most
+        if threshold is None or scores[i] < threshold:
+            mean = mean + alpha * diff
+            var = np.maximum((1 - alpha) * (var + alpha * diff * diff), floor)
+    return scores, mean, var
+
+
+def ewma_scores(df: DataFrame, key: str | None, features: Sequence[str], order: Sequence[str], alpha: float = 0.05, floor: float = 1e-6, threshold: float | None = None,
+                start: tuple[Sequence[float], Sequence[float]] | None = None, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(scored, states): df with ewma_score, and each key's mean and variance after its last row.
+
+    Each row is scored against the running means and variances of its key (of all rows, if key is None), which then learn it, unless its score reaches
+    ``threshold``.  The scale of a feature is its deviation, at least one hundredth of its mean and ``floor``; the score is the mean of the three largest |z|.
+    ``start`` is the state before the first row; without it a key starts at its own first row.
+
+    A key of more than ``chunk_rows`` rows is cut into chunks of the global order, which run in parallel from a guess, the state
+    that their own first row gives.  Then a chunk whose start is not what the chunk before it ended with runs again, until all agree: the result
+    is that of one pass over the key.  The state forgets quickly, so two or three rounds do; the first chunk that is wrong is mended in every round."""
+    names, own = list(features), key or "__all"
+    rows = df if key else df.withColumn(own, F.lit(0))
+    rows = with_position(rows, order[0], [*order[1:]], "__pos")
+    many = rows.groupBy(own).agg(F.count("*").alias("__n"))
+    chunk = F.when(F.col("__n") > chunk_rows, F.floor(F.col("__pos") / chunk_rows)).otherwise(F.lit(0))
+    rows = stored(rows.join(many, own).withColumn("__chunk", chunk).withColumn("__x", vectorise(names)).drop("__n"), "ewma-rows")
+    kind = rows.schema[own].dataType.simpleString()
+    first = None if start is None else [np.array(s, float) for s in start]
+
+    def run(part: pd.DataFrame, state: pd.DataFrame, scored: bool) -> pd.DataFrame:
+        part = part.sort_values("__pos")
+        x = np.stack(part["__x"].to_numpy()).astype(float)
+        given = len(state) and state["mean"].iloc[0] is not None
+        mean, var = (np.array(state[c].iloc[0], float) for c in ("mean", "var")) if given else (x[0].copy(), np.full(x.shape[1], floor)) if first is None else first
+        scores, mean, var = _ewma_chunk(x, mean, var, alpha, floor, threshold)
+        if scored:
+            return pd.DataFrame({"__pos": part["__pos"], "ewma_score": scores})
+        return pd.DataFrame({own: part[own].iloc[:1], "__chunk": part["__chunk"].iloc[:1], "mean": [mean.tolist()], "var": [var.tolist()]})
+
+    light = rows.select(own, "__chunk", "__pos", "__x")
+    none = F.lit(None).cast("array<double>")
+    schema = f"`{own}` {kind}, __chunk long, mean array<double>, var array<double>"
+    lag = lambda c: F.lag(c).over(Window.partitionBy(own).orderBy("__chunk")).alias(c)
+    used = stored(rows.select(own, "__chunk").distinct().withColumns({"mean": none, "var": none}), "ewma-starts")
+    again, ends = used, None
+    while True:
+        part = light.join(again.select(own, "__chunk"), [own, "__chunk"], "left_semi") if ends is not None else light
+        done = part.groupBy(own, "__chunk").cogroup(again.groupBy(own, "__chunk")).applyInPandas(lambda a, b: run(a, b, False), schema)
+        done = done if ends is None else done.unionByName(ends.join(again.select(own, "__chunk"), [own, "__chunk"], "left_anti"))
+        ends = stored(done, "ewma-ends")
+        now = stored(ends.select(own, "__chunk", lag("mean"), lag("var")), "ewma-starts")
+        differs = now.alias("n").join(used.alias("u"), [own, "__chunk"]).where(~F.col("n.mean").eqNullSafe(F.col("u.mean")) | ~F.col("n.var").eqNullSafe(F.col("u.var")))
+        again = stored(differs.select(own, "__chunk", "n.mean", "n.var"), "ewma-again")
+        used = now
+        if not again.count():
+            break
+    scores = light.groupBy(own, "__chunk").cogroup(used.groupBy(own, "__chunk")).applyInPandas(lambda a, b: run(a, b, True), "__pos long, ewma_score double")
+    scored = rows.drop("__x", "__chunk").join(scores, "__pos").drop("__pos")
+    last = ends.groupBy(own).agg(F.max_by("mean", "__chunk").alias("mean"), F.max_by("var", "__chunk").alias("var"))
+    return (scored, last) if key else (scored.drop(own), last.drop(own))
 
 
 def _descend(z: np.ndarray, weights: list[np.ndarray], epochs: range, of: int, seed: int, rate: float = 0.015) -> list[np.ndarray]:

@@ -31,6 +31,23 @@ def confusion(df: DataFrame, actual: Column, predicted: Column, empty: float | N
     )
 
 
+def method_metrics(df: DataFrame, actual: Column, predicted: Column, empty: float | None) -> DataFrame:
+    """One row: windows, anomalies, anomaly_rate and labelled_windows of all rows, and the confusion metrics of those with a label (null if none has)."""
+    named = df.select(actual.alias("__a"), predicted.alias("__p"))
+    whole = named.agg(
+        F.count("*").alias("windows"), F.count_if("__p").alias("anomalies"), F.coalesce(F.count_if("__p") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("anomaly_rate"), F.count("__a").alias("labelled_windows")
+    )
+    return whole.crossJoin(F.broadcast(confusion(named, F.col("__a"), F.col("__p"), empty)))  # one row each
+
+
+def clean_rows(df: DataFrame, label: str, normal: str = "normal") -> DataFrame:
+    """The rows that ``poisoning_guard`` keeps, or a ValueError if none is left."""
+    kept = poisoning_guard(df, label, normal)
+    if not kept.take(1):
+        raise ValueError("no normal rows remain after labelled attacks are left out")
+    return kept
+
+
 def disagreement(df: DataFrame, model: Column, rules: Column) -> DataFrame:
     """Rows by whether the model and the rules flag them."""
     return df.groupBy(model.alias("model_flag"), rules.alias("rule_flag")).agg(F.count("*").alias("windows"))

@@ -6,15 +6,19 @@ function of its value; bucket counts, one row a bucket, give each bucket's first
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from behaviorlens.sources.store import discard, stored
+
 #: Buckets of a global order.
 BUCKETS = 64
-#: Distinct values of a bucket that may be counted on the driver; a bucket of more is cut again.
-COUNTED = 200_000
+#: Values of a range that are read whole; a range of more is cut again.  Bits of a digit.
+COUNTED, DIGIT_BITS = 20_000, 12
 
 
 def with_position(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "pos", buckets: int = BUCKETS) -> DataFrame:
@@ -50,45 +54,85 @@ def quantiles_by(df: DataFrame, group: str, value: str, qs: dict[str, float], nu
     )
 
 
+def _sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers of the same order."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))).view(np.uint64)
+
+
+def _digits_task(batches: Iterable[pa.RecordBatch], open_: Sequence[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """How many values of each open range begin with each next digit; a range is a column and the bits that its values begin with."""
+    counts = np.zeros((len(open_), 1 << DIGIT_BITS), np.int64)
+    for batch in batches:
+        keys = {}
+        for n, (i, known, prefix) in enumerate(open_):
+            if i not in keys:
+                keys[i] = _sortable(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+            own = keys[i] if not known else keys[i][keys[i] >> np.uint64(64 - known) == np.uint64(prefix)]
+            digit = own >> np.uint64(64 - known - DIGIT_BITS) & np.uint64((1 << DIGIT_BITS) - 1)
+            counts[n] += np.bincount(digit.astype(np.int64), minlength=1 << DIGIT_BITS)
+    n, digit = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(digit), pa.array(counts[n, digit])], ["range", "digit", "count"])
+
+
+def _values_task(batches: Iterable[pa.RecordBatch], wanted: Sequence[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """The distinct values of each wanted range and how often each occurs."""
+    for batch in batches:
+        for n, (i, known, prefix) in enumerate(wanted):
+            values = batch.column(i).drop_null().to_numpy(zero_copy_only=False) + 0.0
+            own, counts = np.unique(values[_sortable(values) >> np.uint64(64 - known) == np.uint64(prefix)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n)), pa.array(own), pa.array(counts)], ["range", "value", "count"])
+
+
 def order_statistics(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[int], Sequence[int]]) -> dict[str, list[float]]:
     """Of each named value, what stands at the ranks that ranks(n) asks for among its n rows that are not null, exactly; [] for no rows.
 
-    One pass finds cuts for all values, one counts the rows up to every cut; then only the values between the two cuts around a rank
-    are counted, and cut again while they are too many.  No task sorts more than a bucket's distinct values."""
-    plain = df.select(*[v.cast("double").alias(name) for name, v in values.items()])
-    sizes = plain.agg(*[F.count(name).alias(name) for name in values]).first()
-    wanted = {name: list(ranks(sizes[name])) if sizes[name] else [] for name in values}
-    open_ = {name: (None, None, 0) for name in values if wanted[name]}  # between these values, after so many rows
-    found: dict[str, dict[int, float]] = {name: {} for name in values}
-    names = list(open_)
-    cuts = dict(zip(names, plain.approxQuantile(names, [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS) if names else [], strict=True))
-    edges = {name: sorted(set(cuts[name])) for name in names}
-    upto = plain.agg(*[F.count_if(F.col(n) <= c).alias(f"{n}@{i}") for n in names for i, c in enumerate(edges[n])]).first() if names else {}
-    for name in names:
-        for rank in sorted(set(wanted[name])):
-            below = [(c, upto[f"{name}@{i}"]) for i, c in enumerate(edges[name])]
-            low = max((x for x in below if x[1] <= rank), default=(None, 0))
-            high = min((x for x in below if x[1] > rank), default=(None, sizes[name]))
-            found[name][rank] = _at_rank(plain.select(F.col(name).alias("v")).where("v is not null"), rank, low, high)
-    return {name: [found[name][r] for r in wanted[name]] for name in values}
-
-
-def _at_rank(rows: DataFrame, rank: int, low: tuple[float | None, int], high: tuple[float | None, int]) -> float:
-    """The value at rank, which lies above low and up to high; each is a value and the number of rows up to it."""
-    while True:
-        part = rows
-        if low[0] is not None:
-            part = part.where(F.col("v") > F.lit(low[0]))
-        if high[0] is not None:
-            part = part.where(F.col("v") <= F.lit(high[0]))
-        counted = part.groupBy("v").agg(F.count("*").alias("c"))
-        if high[1] - low[1] <= COUNTED or counted.count() <= COUNTED:
-            values = counted.toPandas().sort_values("v")
-            return float(values["v"].iloc[int((values["c"].cumsum() <= rank - low[1]).sum())])
-        cuts = sorted(set(part.approxQuantile("v", [i / BUCKETS for i in range(1, BUCKETS)], 0.5 / BUCKETS)))
-        row = part.agg(*[F.count_if(F.col("v") <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-        below = [(c, low[1] + row[f"c{i}"]) for i, c in enumerate(cuts)]
-        low, high = max((x for x in below if x[1] <= rank), default=low), min((x for x in below if x[1] > rank), default=high)
+    A selection by digits: one pass over all values at once counts how they begin, by sign, exponent and so on down their bits, and keeps for every
+    rank the range of values it lies in; ranges of few values are then read whole.  Two passes do for small tables and at most six for any; no task
+    sorts, and the driver gets counts by range and digit only.  The values are written once, so that what made them runs once."""
+    rows = stored(df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())]), "order-statistics")
+    names = list(values)
+
+    def counted(ranges: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
+        found = rows.mapInArrow(lambda it: _digits_task(it, ranges), "range long, digit long, count long").groupBy("range", "digit").agg(F.sum("count").alias("count"))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for r in sorted(tuple(r) for r in found.collect()):
+            out.setdefault(r[0], []).append((r[1], r[2]))
+        return out
+
+    ranges = [(i, 0, 0) for i in range(len(names))]
+    counts = counted(ranges)
+    wanted = {i: list(ranks(sum(c for _, c in counts.get(i, [])))) if counts.get(i) else [] for i in range(len(names))}
+    # Each rank's range so far, and its rank within that range.
+    at = {(i, rank): ((i, 0, 0), rank) for i in wanted for rank in wanted[i]}
+    few: dict[tuple[int, int], tuple[tuple[int, int, int], int]] = {}
+    while at:
+        deeper = {}
+        for key, (range_, rank) in at.items():
+            i, known, prefix = range_
+            for digit, count in counts[ranges.index(range_)]:
+                if rank < count:
+                    break
+                rank -= count
+            inside = (i, known + DIGIT_BITS, prefix << DIGIT_BITS | digit), rank
+            (few if count <= COUNTED or known + 2 * DIGIT_BITS > 60 else deeper)[key] = inside
+        at, ranges = deeper, sorted({r for r, _ in deeper.values()})
+        counts = counted(ranges) if at else {}
+    asked = sorted({r for r, _ in few.values()})
+    held: dict[int, list[tuple[float, int]]] = {}
+    if asked:
+        found = rows.mapInArrow(lambda it: _values_task(it, asked), "range long, value double, count long").groupBy("range", "value").agg(F.sum("count").alias("count"))
+        for r in sorted(tuple(r) for r in found.collect()):
+            held.setdefault(r[0], []).append((r[1], r[2]))
+    discard(rows)
+    out = {}
+    for key, (range_, rank) in few.items():
+        for value, count in held[asked.index(range_)]:
+            if rank < count:
+                break
+            rank -= count
+        out[key] = value
+    return {name: [out[i, rank] for rank in wanted[i]] for i, name in enumerate(names)}
 
 
 def middle(n: int) -> list[int]:

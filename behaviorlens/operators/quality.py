@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from behaviorlens.functions.columns import is_sensitive_key, parse_timestamp, redact_text
+from behaviorlens.functions.columns import exposures_nested, is_sensitive_key, parse_timestamp, redact_text
 from behaviorlens.operators.sessions import behind_running_max
 
 
@@ -16,7 +16,9 @@ def timestamp_audit(df: DataFrame, text: str = "timestamp", identity: Sequence[s
     value = F.col(text)
     missing = value.isNull() | (value == "")
     known = F.concat_ws("", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]) != ""
-    nth = F.row_number().over(Window.partitionBy(*identity).orderBy(F.lit(1)))
+    # Rows without an identity repeat nothing, so they are spread.
+    spread = F.when(~known, F.xxhash64(*df.columns))
+    nth = F.row_number().over(Window.partitionBy(*identity, spread).orderBy(F.lit(1)))
     return df.withColumn("__t", parse_timestamp(value)).withColumn("__again", (nth > 1) & known).groupBy("host").agg(
         F.count("*").alias("rows"), F.count_if(missing).alias("missing"), F.count_if(~missing & F.col("__t").isNull()).alias("invalid"),
         F.count("__t").alias("usable"), F.count_if("__again").alias("duplicates"), F.min("__t").alias("first"), F.max("__t").alias("last"),
@@ -52,17 +54,18 @@ def record_issues(df: DataFrame, required: Sequence[str], features: Sequence[str
             found.append(when(finite & (number > 100), "warning", "percent_out_of_range"))
     found += [when(has_secret(F.col(c)), "error", "secret_exposure") for c in secrets]
     found += [when(F.col("__late"), "warning", "out_of_order"), when(F.col("__again"), "warning", "duplicate_identity")]
-    nth = F.row_number().over(Window.partitionBy("event_id").orderBy(order))
+    unnamed = F.coalesce(F.col("event_id").cast("string"), F.lit("")) == ""
+    nth = F.row_number().over(Window.partitionBy("event_id", F.when(unnamed, F.col(order))).orderBy(order))
     rows = df.withColumn("__t", parse_timestamp(F.col("timestamp"))).withColumn("__again", (nth > 1) & (F.coalesce(F.col("event_id").cast("string"), F.lit("")) != ""))
     rows = rows.withColumn("__late", behind_running_max(rows, ["host"], "__t", [order]))
     return rows.select(order, F.explode(F.array_compact(F.array(*found))).alias("issue")).select(order, "issue.*")
 
 
 def issue_summary(issues: DataFrame, order: str = "row_no", examples: int = 5) -> DataFrame:
-    """(level, code, n, examples): the first rows of each code, chosen by rank."""
+    """(level, code, n, examples): the first rows of each code.  Each task keeps its own first rows of a code before any are shuffled."""
     nth = F.row_number().over(Window.partitionBy("level", "code").orderBy(order))
-    few = F.array_sort(F.collect_list(F.when(F.col("__n") <= examples, F.col(order))))
-    return issues.withColumn("__n", nth).groupBy("level", "code").agg(F.count("*").alias("n"), few.alias("examples"))
+    few = issues.withColumn("__n", nth).where(F.col("__n") <= examples).groupBy("level", "code").agg(F.array_sort(F.collect_list(order)).alias("examples"))
+    return issues.groupBy("level", "code").agg(F.count("*").alias("n")).join(few, ["level", "code"])
 
 
 def quality_score(rows: Column, errors: Column, warnings: Column) -> Column:
@@ -84,6 +87,41 @@ def secret_exposures(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return long.withColumn("reason", reason).where("reason is not null").select(key, "path", "reason")
 
 
+def nested_exposures(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, reason) of every secret in a column of any type, at any depth."""
+    found = exposures_nested(F.col(column), df.schema[column].dataType)
+    return df.select(key, F.explode(found).alias("e")).select(key, "e.path", "e.reason")
+
+
+#: Characters of a raw value that must not survive; shorter values are not looked for.
+SURVIVING = 8
+
+
+def own_survivors(df: DataFrame, key: str, values: Column, output: Column) -> DataFrame:
+    """(key, value) of every raw value (array of strings) of 8 characters or more that stands in the output text of its own row."""
+    left = F.filter(values, lambda v: (F.length(v) >= SURVIVING) & F.contains(output, v))
+    return df.select(key, F.explode(F.array_distinct(left)).alias("value"))
+
+
+def survivors(values: DataFrame, outputs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, value) of every raw value of 8 characters or more that stands anywhere in any output text.
+
+    Values and texts meet by 8 characters: a value by its first 8, a text by every 8 of its characters that follow each other, once each.  A filter of fixed
+    size over the values' beginnings keeps the others from being shuffled; what meets is compared whole."""
+    heads = values.select(F.col("value")).where(F.length("value") >= SURVIVING).distinct().withColumn("h", F.xxhash64(F.substring("value", 1, SURVIVING)))
+    words = F.transform(F.sequence(F.lit(1), F.length(text) - (SURVIVING - 1)), lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(SURVIVING))))
+    grams = outputs.where(F.length(text) >= SURVIVING).select(key, text, F.explode(F.array_distinct(words)).alias("h"))
+    n = heads.count()
+    if n <= FILTER_MOST:  # a bounded list; with more values everything meets in the join
+        bits = heads.select((F.col("h").bitwiseAND(FILTER_BITS - 1)).alias("p")).distinct()
+        grams = grams.withColumn("p", F.col("h").bitwiseAND(FILTER_BITS - 1)).join(F.broadcast(bits), "p", "left_semi").drop("p")
+    return grams.join(heads, "h").where(F.contains(text, "value")).select(key, "value").distinct()
+
+
+#: Places of the filter over values, and values beyond which it is left out: its broadcast has at most so many numbers.
+FILTER_BITS, FILTER_MOST = 1 << 24, 100_000
+
+
 def noisy_rules(scored: DataFrame, most: float = 0.05) -> DataFrame:
     """(rule_id, windows, ratio, noisy): noisy where more than ``most`` of all windows fire it."""
     n = scored.agg(F.count("*").alias("__n"))

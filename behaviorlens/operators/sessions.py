@@ -100,10 +100,18 @@ def behind_running_max(df: DataFrame, keys: Sequence[str], time: str, order: Seq
     return F.coalesce(F.col(time) < F.max(time).over(seen), F.lit(False))
 
 
+#: Rows of the global order that a task compares with their neighbours.
+PART_ROWS = 100_000
+
+
 def behind_previous(df: DataFrame, time: str, pos: str = "pos") -> DataFrame:
-    """df with out_of_order: the time lies before that of the row at the position before."""
-    before = df.select((F.col(pos) + 1).alias(pos), F.col(time).alias("__before"))
-    return df.join(before, pos, "left").withColumn("out_of_order", F.coalesce(F.col(time) < F.col("__before"), F.lit(False))).drop("__before")
+    """df with out_of_order: the time lies before that of the row at the position before.  Positions go in parts of bounded size, each of which knows the last time before it."""
+    part = F.floor(F.col(pos) / PART_ROWS)
+    ends = df.groupBy((part + 1).alias("__part")).agg(F.max_by(F.struct(time), pos).alias("__end"))
+    rows = df.withColumn("__part", part).join(ends, "__part", "left")
+    order = Window.partitionBy("__part").orderBy(pos)
+    before = F.when(F.col(pos) % PART_ROWS > 0, F.lag(time).over(order)).otherwise(F.col("__end")[time])
+    return rows.withColumn("out_of_order", F.coalesce(F.col(time) < before, F.lit(False))).drop("__part", "__end")
 
 
 def first_wins(df: DataFrame, identity: Sequence[str], order: Sequence[str]) -> DataFrame:

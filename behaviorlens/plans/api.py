@@ -5,6 +5,7 @@ Paths go to Spark's readers only, so they may lie in any store that Spark reads.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Mapping, Sequence
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from behaviorlens.functions.columns import iso_z, parse_timestamp
 from behaviorlens.operators import detectors, evaluation, ordering, quality, rules, sessions, windows
 from behaviorlens.sources import files
+from behaviorlens.sources.store import stored
 
 # The metric features in their order, and those that are percentages.
 FEATURES = [
@@ -55,7 +57,11 @@ def build_combined(metrics: DataFrame, events: DataFrame, seconds: int = 60) ->
 
 def train(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, seed: int = 42) -> detectors.Autoencoder:
     """An autoencoder of all normal windows (labelled ones are left out as the guard says)."""
-    return detectors.Autoencoder.fit_windows(evaluation.poisoning_guard(combined, "scenario"), features, epochs, seed=seed)
+    return train_on(evaluation.poisoning_guard(combined, "scenario"), features, epochs, seed)
+
+
+def train_on(normal: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, seed: int = 42) -> detectors.Autoencoder:
+    return detectors.Autoencoder.fit_windows(normal, features, epochs, seed=seed)
 
 
 def score(combined: DataFrame, model: detectors.Autoencoder, thresholds: Mapping[str, int] | None = None) -> DataFrame:
@@ -87,18 +93,66 @@ def audit(metrics: DataFrame, events: DataFrame, seconds: int = 60, least: int =
     }
 
 
-def compare_detectors(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, quantile: float = 0.995, epochs: int = 60) -> DataFrame:
-    """Confusion metrics on the last 15 % of the windows of detectors fitted to the first 70 %."""
-    rows = ordering.chronological_split(combined, "window_start", ["host"], "cuts")
-    fit, test = evaluation.poisoning_guard(rows.where("split = 'train'"), "scenario"), rows.where("split = 'test'")
-    profile = {r["feature"]: (r["center"], r["scale"]) for r in detectors.fit_robust(fit, features).collect()}
-    robust = detectors.robust_score(features, profile)
-    limit = ordering.order_statistic(fit.withColumn("__s", robust), "__s", quantile)
-    model = train(fit, features, epochs)
+def compare_detectors(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, quantile: float = 0.995, epochs: int = 80, seed: int = 42, evaluation_rows: DataFrame | None = None) -> DataFrame:
+    """(method, threshold, windows, anomalies, confusion metrics) of the autoencoder, robust z-scores and EWMA.
+
+    In time order the first 70 % fit, the next 15 % set all three thresholds, the last 15 % are judged; with rows of their own to judge, 85 % fit and the rest set the
+    thresholds.  Labelled attacks neither fit nor calibrate.  Fewer than 20 rows are refused."""
+    n = combined.count()
+    if n < 20:
+        raise ValueError("need at least 20 rows for model comparison")
+    if evaluation_rows is None:
+        rows = stored(ordering.chronological_split(combined, "window_start", ["host"], "cuts"), "compare-rows")
+        test = rows.where("split = 'test'")
+    else:
+        cut = max(1, int(n * 0.85))
+        placed = ordering.with_position(combined, "window_start", ["host"])
+        rows = stored(placed.withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("validation")), "compare-rows")
+        test = evaluation_rows
+    fit, calm = (evaluation.clean_rows(rows.where(F.col("split") == x), "scenario") for x in ("train", "validation"))
+    order = ["window_start", "host"]
+    model = train_on(fit, features, epochs, seed).calibrated(calm, quantile)
+    robust = detectors.Robust.fit(fit, features).calibrated(calm, quantile)
+    ewma = detectors.Ewma.fit(fit, features, order).calibrated(calm, quantile)
     attack = F.when(F.col("scenario").isNotNull(), F.col("scenario") != "normal")
-    judged = model.apply(test).withColumn("__r", robust >= limit).withColumn("__m", F.col("model_ratio") >= 1).withColumn("__t", F.size(rules.security_rules()) > 0)
-    parts = [evaluation.confusion(judged, attack, F.col(c), None).withColumn("method", F.lit(name)) for name, c in (("robust", "__r"), ("autoencoder", "__m"), ("rules", "__t"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    judged = {"autoencoder": (model.apply(test), F.col("model_ratio") >= 1, model), "robust_zscore": (test, robust.score() >= robust.threshold, robust), "ewma": (ewma.predict(test), F.col("ewma_score") >= ewma.threshold, ewma)}
+    parts = [evaluation.method_metrics(df, attack, flag, None).select(F.lit(name).alias("method"), F.lit(float(m.threshold)).alias("threshold"), "*") for name, (df, flag, m) in judged.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def evaluate_combined(combined: DataFrame, features: Sequence[str] = MODEL_FEATURES, epochs: int = 220, quantile: float = 0.995, rule_quantile: float = 0.995, seed: int = 42, model: detectors.Autoencoder | None = None) -> dict[str, DataFrame]:
+    """A whole evaluation in time order: train on 70 %, calibrate model and rules, judge the last 15 % by the model, the rules and both.
+
+    Gives 'dataset' (rows by split and how many of them trained and calibrated), 'rules' (calibrated thresholds), 'methods' (confusion metrics), 'disagreement',
+    'delays' (runs of attacks and windows until each method saw them; no rows without labels), and 'scores' (the judged windows).  A given model is only calibrated.
+    Fewer than 10 windows are refused; without normal windows to calibrate on, the whole validation split calibrates."""
+    rows = stored(ordering.chronological_split(combined, "window_start", ["host"]), "evaluate-rows")
+    labelled = F.col("scenario").isNotNull() & (F.col("scenario") != "")
+    head = rows.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(labelled).alias("labelled"), F.count_if(F.col("scenario") == "normal").alias("normal")).collect()
+    counts = {r["split"]: r for r in head}
+    if sum(r["rows"] for r in head) < 10:
+        raise ValueError("need at least 10 combined windows for chronological evaluation")
+    any_label = any(r["labelled"] for r in head)
+    normal = lambda split: rows.where(F.col("split") == split) if not any_label else rows.where((F.col("split") == split) & (F.col("scenario") == "normal"))
+    usable = lambda split: counts[split]["normal"] if any_label else counts[split]["rows"]
+    if not usable("train"):
+        raise ValueError("the training split contains no normal windows")
+    calm = normal("validation") if usable("validation") else rows.where("split = 'validation'")
+    model = (model or train_on(normal("train"), features, epochs, seed)).calibrated(calm, quantile)
+    thresholds = rules.calibrate_rules(normal("train"), rule_quantile)
+    limits = {r["rule_id"]: r["threshold"] for r in thresholds.select("rule_id", "threshold").collect()}
+    scored = rules.fuse(model.apply(rows.where("split = 'test'")), F.col("model_ratio"), limits)
+    label = F.when(labelled, F.col("scenario") != "normal")
+    flags = {"ml": F.col("model_ratio") >= 1, "rules": F.size("rules") > 0, "combined": F.col("is_anomaly")}
+    scored = stored(scored.withColumns({"attack": label, **{f"{k}_flag": v for k, v in flags.items()}}), "evaluate-scores")
+    one = functools.reduce(DataFrame.unionByName, [evaluation.method_metrics(scored, F.col("attack"), F.col(f"{k}_flag"), 0.0).select(F.lit(k).alias("method"), "*") for k in flags])
+    hits = functools.reduce(DataFrame.unionByName, [
+        evaluation.detection_delay(scored, F.coalesce("attack", F.lit(False)), F.col(f"{k}_flag"), "window_start", ["host"]).agg(
+            F.count("*").alias("attack_runs"), F.count("delay").alias("detected_runs"), F.count_if(F.col("delay").isNull()).alias("missed_runs"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay"),
+        ).select(F.lit(k).alias("method"), "*") for k in flags
+    ])
+    used = rows.groupBy("split").agg(F.count("*").alias("rows"), (F.count("*") if not any_label else F.count_if(F.col("scenario") == "normal")).alias("normal_rows"))
+    return {"dataset": used, "rules": thresholds, "methods": one, "disagreement": evaluation.disagreement(scored, F.col("ml_flag"), F.col("rules_flag")), "delays": hits.where(F.lit(any_label)), "scores": scored}
 
 
 def release_gate(evidence: Mapping[str, float | bool | None]) -> dict[str, bool]:

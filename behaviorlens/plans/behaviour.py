@@ -356,7 +356,7 @@ def q_downsample(spark, sf_dir):
 
 def q_ewma(spark, sf_dir):
     ev = ev_norm(spark, sf_dir).select("host", "epoch_us", "event_id", "value")
-    return detectors.ewma_scores(ev, "host", ["value"], ["epoch_us", "event_id"]).select("event_id", F.round("ewma_score", 4).alias("ewma_score"))
+    return detectors.ewma_scores(ev, "host", ["value"], ["epoch_us", "event_id"])[0].select("event_id", F.round("ewma_score", 4).alias("ewma_score"))
 
 
 def q_autoencoder_train(spark, sf_dir):

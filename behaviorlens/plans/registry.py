@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorlens.plans import behaviour, records, reviewing
+from behaviorlens.plans import behaviour, records, reports, reviewing
 
-CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE, reviewing.CATALOGUE)
+CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE, reviewing.CATALOGUE, reports.CATALOGUE)
 
 
 def queries():

@@ -19,15 +19,37 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType |
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths)
 
 
+def physical_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, order, line, kind) of every physical line: blank, malformed, non_object or valid.  Lines end at \\n, \\r or both, as in binary files; order is a
+    struct that grows along a file, so that its last line can be told."""
+    rows = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value"),
+    )
+    parts = rows.select("path", "block", "id", F.posexplode(F.split(F.regexp_replace("value", r"\r$", ""), "\r", -1)).alias("part", "line"), F.endswith("value", F.lit("\r")).alias("ended"))
+    line = F.col("line")
+    parsed = F.when(F.is_valid_utf8(line), F.try_parse_json(line))
+    kind = F.when(F.trim(F.regexp_replace(line, r"[\t\x0b\f]", " ")) == "", "blank").when(parsed.isNull(), "malformed").when(F.schema_of_variant(parsed).startswith("OBJECT"), "valid").otherwise("non_object")
+    return parts.select("path", F.struct("block", "id", "part").alias("order"), "line", "ended", kind.alias("kind"))
+
+
 def scan_diagnostics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row: total, blank, malformed, non_object and valid lines."""
-    line = F.col("value")
-    blank = F.trim(line) == ""
-    parsed = F.try_parse_json(line)
-    kind = F.schema_of_variant(parsed)
-    return spark.read.text(paths).agg(
-        F.count("*").alias("total"), F.count_if(blank).alias("blank"), F.count_if(~blank & parsed.isNull()).alias("malformed"),
-        F.count_if(~blank & parsed.isNotNull() & ~kind.startswith("OBJECT")).alias("non_object"), F.count_if(~blank & kind.startswith("OBJECT")).alias("valid"),
+    """One row on the physical lines of all segments: segments, bytes, total, blank, malformed, non_object, trailing_partial and valid lines.
+
+    The last line of a segment is a partial one if it is no JSON and no line end follows it, as its bytes and the file's tell; compressed segments
+    are rotated ones and count as ended.  Spark's readers pass over empty files, which are no segments here; a path without files is an error of theirs."""
+    sizes = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))  # without the content column
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    lines = physical_lines(spark, paths).groupBy(name("path").alias("path")).agg(
+        F.count("*").alias("total"), count("blank"), count("malformed"), count("non_object"), count("valid"), F.sum(F.octet_length("line") + 1 + F.when(F.col("order.part") == 0, F.col("ended").cast("int")).otherwise(0)).alias("length"),
+        F.max_by(F.struct("kind", "ended"), "order").alias("last"),
+    )
+    found = sizes.withColumn("path", name("path")).join(lines, "path", "left").fillna(0, ["total", "blank", "malformed", "non_object", "valid"])
+    open_ = ~F.col("path").endswith(".gz") & (F.col("length") > F.col("bytes")) & ~F.col("last.ended") & (F.col("last.kind") == "malformed")
+    found = found.withColumn("trailing_partial", F.coalesce(open_, F.lit(False)).cast("long"))
+    return found.agg(
+        F.count("*").alias("segments"), F.sum("bytes").alias("bytes"), F.sum("total").alias("total"), F.sum("blank").alias("blank"), F.sum(F.col("malformed") - F.col("trailing_partial")).alias("malformed"),
+        F.sum("non_object").alias("non_object"), F.sum("trailing_partial").alias("trailing_partial"), F.sum("valid").alias("valid"),
     )
 
 
@@ -113,7 +135,7 @@ def process_summary(lines: DataFrame, user: str | None = None) -> DataFrame:
 def listed_packages(lines: DataFrame, manager: str, architecture: str = "unknown") -> DataFrame:
     """(manager, name, version, architecture) of homebrew lists (name and versions, apart by spaces) or pkgutil lists (a name a line)."""
     parts = F.split(F.trim("value"), r"\s+")
-    versions = F.coalesce(F.nullif(F.array_join(F.slice(parts, 2, 1_000), ","), F.lit("")), F.lit("unknown"))
+    versions = F.coalesce(F.nullif(F.array_join(F.slice(parts, 2, size(parts)), ","), F.lit("")), F.lit("unknown"))
     name, version = (parts[0], versions) if manager == "homebrew" else (F.trim("value"), F.lit("unknown"))
     return lines.where(F.trim("value") != "").select(F.lit(manager).alias("manager"), name.alias("name"), version.alias("version"), F.lit(architecture).alias("architecture"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import json
 import uuid
 
 import pytest
@@ -109,7 +110,58 @@ def test_autoencoder_learns_and_scores_natively(spark):
 def test_scan_diagnostics(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n[1]\nnot json\n{"a":')
     r = files.scan_diagnostics(spark, str(tmp_path)).first()
-    assert (r["total"], r["blank"], r["malformed"], r["non_object"], r["valid"]) == (5, 1, 2, 1, 1)
+    assert tuple(r) == (1, 28, 5, 1, 1, 1, 1, 1)  # segments, bytes, total, blank, malformed, non_object, trailing_partial, valid
+
+
+@pytest.mark.parametrize("parts", [[b'{"a": 1}\r\n\r\n[1]\rnot json\n{"a":'], [b'{"a":\n', b'{"b": 1}\n{"a":', b""], [b'{"a": 1}', b'\xff\xfe\n{"a": "\xc3\xa9"}\n'], [b" \t \n5\n{"]])
+def test_physical_lines_are_those_of_the_bytes(spark, tmp_path, parts):
+    want = dict.fromkeys(("total", "blank", "malformed", "non_object", "trailing_partial", "valid"), 0)
+    for i, data in enumerate(parts):
+        (tmp_path / f"s.{i}.jsonl").write_bytes(data)
+        lines = data.splitlines(keepends=True)
+        for j, line in enumerate(lines):
+            want["total"] += 1
+            try:
+                value = json.loads(line.decode()) if line.strip() else None
+                kind = "blank" if not line.strip() else "valid" if isinstance(value, dict) else "non_object"
+            except ValueError:
+                kind = "trailing_partial" if j == len(lines) - 1 and not line.endswith((b"\n", b"\r")) else "malformed"
+            want[kind] += 1
+    got = files.scan_diagnostics(spark, str(tmp_path)).first().asDict()
+    assert got == want | {"segments": sum(map(bool, parts)), "bytes": sum(map(len, parts))}
+
+
+def test_nested_redaction_at_any_depth(spark):
+    from behaviorlens.functions import columns as fn
+
+    schema = "m map<string,struct<token:string,list:array<map<string,string>>,n:int>>, password struct<x:int>, t array<array<string>>"
+    value = ({"a": ("s1", [{"cookie": "c", "k": "pwd=1"}, {"k": "fine"}], 3), "secret": ("x", None, 1), "b": None}, (4,), [["token=1", "ok"], None])
+    df = spark.createDataFrame([(1, value), (2, None)], f"id int, v struct<{schema.replace(' ', ':', 1).replace(', password ', ',password:').replace(', t ', ',t:')}>")
+    found = {r["path"]: r["reason"] for r in quality.nested_exposures(df, "id", "v").collect()}
+    hidden, text = "unredacted sensitive field", "secret-like text"
+    assert found == {"$.m.a.token": hidden, "$.m.a.list[0].cookie": hidden, "$.m.a.list[0].k": text, "$.m.secret": hidden, "$.password": hidden, "$.t[0][0]": text}
+    shown = df.select("id", fn.redact_nested(F.col("v"), df.schema["v"].dataType).alias("v"))
+    r = {x["id"]: x["v"] for x in shown.collect()}
+    assert r[2] is None and r[1]["m"]["a"]["token"] == "[REDACTED]" and r[1]["m"]["a"]["list"] == [{"cookie": "[REDACTED]", "k": "pwd=[REDACTED]"}, {"k": "fine"}]
+    assert r[1]["m"]["secret"] is None and r[1]["password"] is None and r[1]["t"] == [["token=[REDACTED]", "ok"], None] and quality.nested_exposures(shown, "id", "v").count() == 0
+
+
+def test_survivors_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    values, texts = [word(rng.randrange(5, 14)) for _ in range(60)] + [None, ""], [(i, word(rng.randrange(0, 60))) for i in range(50)] + [(99, None)]
+    v, o = spark.createDataFrame([(x,) for x in values], "value string"), spark.createDataFrame(texts, "id long, text string")
+    want = sorted({(i, x) for i, t in texts for x in values if t and x and len(x) >= 8 and x in t})
+    assert sorted(map(tuple, quality.survivors(v, o, "id", "text").collect())) == want and want
+    few, quality.FILTER_MOST = quality.FILTER_MOST, 1
+    try:
+        assert sorted(map(tuple, quality.survivors(v, o, "id", "text").collect())) == want
+    finally:
+        quality.FILTER_MOST = few
+    rows = spark.createDataFrame([(1, ["abcdefgh", "short", "abcdefgh", None], "x abcdefgh short"), (2, None, "y")], "id int, v array<string>, t string")
+    assert [tuple(r) for r in quality.own_survivors(rows, "id", F.col("v"), F.col("t")).collect()] == [(1, "abcdefgh")]
 
 
 def test_auth_lines(spark):
