@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from behaviorlens.llm.common import discard, give_back, materialize, table, trimmed
 
 #: Rotations of a vector: one bit of the code for each of them and coordinate.  Bit planes of an anchor's coordinates.
-ROTATIONS, PLANES, SEED = 4, 5, 11
+ROTATIONS, PLANES, SEED = 16, 6, 11
 #: Rows and anchors that meet in a task, about; anchors whose popcounts are taken at once.
 BLOCK_ROWS, BLOCK_ANCHORS, TOGETHER = 4096, 4096, 64
 #: Components that 64-bit arithmetic can hold: 100 * length * LARGEST ** 2 stays below 2 ** 63 up to 5000 components.

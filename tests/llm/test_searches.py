@@ -64,7 +64,7 @@ def test_intervals_hold_and_filter():
     low, high = hard_negatives.intervals(rows, slice(0, 60), rows, turn)
     score = v[:60] @ v.T
     assert (low <= score).all() and (score <= high).all()
-    assert ((high - low) / (rows.norm[:60, None] * rows.norm)).mean() < 1.0
+    assert ((high - low) / (rows.norm[:60, None] * rows.norm)).mean() < 0.6
 
 
 def brute_search(docs, items, k=10):
