@@ -135,7 +135,7 @@ def process_summary(lines: DataFrame, user: str | None = None) -> DataFrame:
 def listed_packages(lines: DataFrame, manager: str, architecture: str = "unknown") -> DataFrame:
     """(manager, name, version, architecture) of homebrew lists (name and versions, apart by spaces) or pkgutil lists (a name a line)."""
     parts = F.split(F.trim("value"), r"\s+")
-    versions = F.coalesce(F.nullif(F.array_join(F.slice(parts, 2, size(parts)), ","), F.lit("")), F.lit("unknown"))
+    versions = F.coalesce(F.nullif(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ","), F.lit("")), F.lit("unknown"))
     name, version = (parts[0], versions) if manager == "homebrew" else (F.trim("value"), F.lit("unknown"))
     return lines.where(F.trim("value") != "").select(F.lit(manager).alias("manager"), name.alias("name"), version.alias("version"), F.lit(architecture).alias("architecture"))
 

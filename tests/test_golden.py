@@ -97,7 +97,7 @@ def test_graph(spark):
 
 def test_smoothing_scale_and_fingerprint(spark):
     df = spark.createDataFrame([("h", 1, 1000.0), ("h", 2, 1005.0)], "host string, t long, v double")
-    assert [r["ewma_score"] for r in detectors.ewma_scores(df, "host", ["v"], ["t"]).orderBy("t").collect()] == [0.0, 0.5]
+    assert [r["ewma_score"] for r in detectors.ewma_scores(df, "host", ["v"], ["t"])[0].orderBy("t").collect()] == [0.0, 0.5]
     names = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     row = df.limit(1).select(fn.fingerprint(F.col("host"), names("b", "a"), names(), F.lit("t")), fn.fingerprint(F.lit(None).cast("string"), names(), names("z", "y", "x", "a"), F.lit("t"))).first()
     assert tuple(row) == ("h|a|b", "unknown|x|y|z")
