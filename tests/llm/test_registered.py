@@ -107,23 +107,6 @@ def test_mixing_covers_every_document(spark, tables):
     assert all(0 <= r["rate"] <= 1 and r["copies"] in (0, 1) and abs(r["p_clean"] + r["p_low"] + r["p_toxic"] - 1) < 1e-9 for r in rows)
 
 
-def test_mixing_is_least_squares_and_reaches_its_goals(spark):
-    """On sf0.01, against the same descent over single documents, without cells."""
-    from behaviorlens.llm import mixing
-
-    plan = QUERIES["op4_mixing"](spark, "/root/testdata/sf0.01")
-    rows = plan.toPandas()
-    p, tokens = rows[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(float), rows["n_tokens"].to_numpy(float)
-    share = mixing.goals(tokens @ p, mixing.TARGETS)
-    own = mixing.descend(p, tokens, share)
-    cost = lambda x: ((((x * tokens) @ (p - share)) / np.maximum(share, 1e-3) / tokens.sum()) ** 2).sum() + mixing.RIDGE * (tokens * (x - 1) ** 2).sum() / tokens.sum()
-    assert cost(rows["rate"].to_numpy(float)) <= 1.02 * cost(own) + 1e-9
-    for r in mixing.reached(plan).collect():
-        assert abs(r["residual"]) <= 0.01 * r["goal"], r
-    kept = (own * tokens).sum()
-    assert abs((rows["rate"] * tokens).sum() - kept) <= 0.02 * kept
-
-
 def test_pipeline(spark, tables):
     import corpus_pipeline
 
