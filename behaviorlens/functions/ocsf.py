@@ -58,6 +58,13 @@ def activity_caption(uid: Column, activity: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(_lookup(table, uid, ""), F.lit("")), F.nullif(_lookup(captions, F.concat_ws(":", uid.cast("string"), activity.cast("string")), ""), F.lit("")), plain)
 
 
+def epoch_ms(text: Column, fallback: Column | None = None) -> Column:
+    """Milliseconds of an ISO 8601 time (UTC where it names no zone); the fallback, by default now, where the text is none."""
+    micros = F.unix_micros(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text)))
+    fallback = F.unix_millis(F.current_timestamp()) if fallback is None else fallback
+    return F.coalesce((micros.cast("double") / 1e6 * 1000).cast("long"), fallback)
+
+
 def envelope(class_name: Column, activity_name: Column, severity: Column, status: Column, time_ms: Column, uid: Column, product: str) -> Column:
     """The core of an event as a struct; severity and status ids are 99 for names outside the schema."""
     cls = class_uid(class_name)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorlens.plans import behaviour, records, reports, reviewing
+from behaviorlens.plans import behaviour, records, reports, reviewing, standards
 
-CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE, reviewing.CATALOGUE, reports.CATALOGUE)
+CATALOGUES = (behaviour.CATALOGUE, records.CATALOGUE, reviewing.CATALOGUE, reports.CATALOGUE, standards.CATALOGUE)
 
 
 def queries():
