@@ -103,6 +103,16 @@ def reviewed_baseline(windows: DataFrame, merged: DataFrame, keys: Sequence[str]
     return windows.join(merged.where(F.col("label").isin("suspicious", "confirmed_attack")).select(*keys), list(keys), "left_anti")
 
 
+def review_selection(windows: DataFrame, merged: DataFrame, keys: Sequence[str], maximum_unreviewed: int = 0) -> DataFrame:
+    """One row on a reviewed baseline: windows in, selected and excluded, the review's counts, and whether it is blocked: more alerts without a review
+    than allowed, or no window left."""
+    counts = windows.agg(F.count("*").alias("input_windows"))
+    kept = reviewed_baseline(windows, merged, keys).agg(F.count("*").alias("selected_windows"))
+    row = counts.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(review_summary(merged)))  # one row each
+    blocked = (F.col("alerts") - F.col("reviewed") > maximum_unreviewed) | (F.col("selected_windows") == 0)
+    return row.withColumn("excluded_windows", F.col("input_windows") - F.col("selected_windows")).withColumn("unreviewed", F.col("alerts") - F.col("reviewed")).withColumn("blocked", blocked)
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """added, removed or updated entries between two snapshots."""
     old, new = before.select(*keys, F.col(version).alias("old_version")), after.select(*keys, F.col(version).alias("new_version"))

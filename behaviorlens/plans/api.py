@@ -155,6 +155,27 @@ def evaluate_combined(combined: DataFrame, features: Sequence[str] = MODEL_FEATU
     return {"dataset": used, "rules": thresholds, "methods": one, "disagreement": evaluation.disagreement(scored, F.col("ml_flag"), F.col("rules_flag")), "delays": hits.where(F.lit(any_label)), "scores": scored}
 
 
+def retrain_reviewed(
+    combined: DataFrame, alerts: DataFrame, reviews: DataFrame, current: detectors.Autoencoder | None = None, maximum_unreviewed: int = 0, features: Sequence[str] = MODEL_FEATURES,
+    epochs: int = 220, rule_quantile: float = 0.995, seed: int = 42,
+) -> dict[str, object]:
+    """A model and rule thresholds of the windows that no alert under suspicion covers: 'model', 'rules' (a table, None if blocked), 'selection' (its figures) and 'accepted'.
+
+    alerts has alert_id, host and window_start; reviews alert_id, label and analyst_note.  Alerts of one window may be many; a missing host is 'unknown' on both sides.  The gate
+    refuses reviews of unknown alerts, more alerts without a review than ``maximum_unreviewed`` and an empty baseline: then the current model stays, and without one it raises."""
+    host = F.coalesce(F.nullif(F.col("host"), F.lit("")), F.lit("unknown"))
+    keys = ["host", "window_start"]
+    rows, merged = stored(combined.withColumn("host", host), "reviewed-windows"), stored(evaluation.merge_reviews(alerts.withColumn("host", host), reviews), "reviewed-alerts")
+    selection = evaluation.review_selection(rows, merged, keys, maximum_unreviewed).head().asDict()
+    selection["unknown_reviews"] = evaluation.unknown_reviews(alerts, reviews).count()
+    if selection["blocked"] or selection["unknown_reviews"]:
+        if current is None:
+            raise ValueError(f"review gate failed: {selection}")
+        return {"model": current, "rules": None, "selection": selection, "accepted": False}
+    baseline = stored(evaluation.reviewed_baseline(rows, merged, keys), "reviewed-baseline")
+    return {"model": train_on(baseline, features, epochs, seed), "rules": rules.calibrate_rules(baseline, rule_quantile), "selection": selection, "accepted": True}
+
+
 def release_gate(evidence: Mapping[str, float | bool | None]) -> dict[str, bool]:
     """Mandatory controls from collected figures; a figure that is missing fails its control, a missing false positive rate counts as 0."""
     e = dict(evidence)

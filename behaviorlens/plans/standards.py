@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.functions import columns as fn
-from behaviorlens.operators import detectors, envelopes
-from behaviorlens.plans.behaviour import DAY, EV, LIMITS, ev_norm, read
+from behaviorlens.operators import detectors, envelopes, evaluation
+from behaviorlens.plans.behaviour import DAY, EV, LIMITS, REVIEWS, combined, ev_norm, reviews
 from behaviorlens.plans.records import pick
 from behaviorlens.sources.store import shared_dir
 from behaviorlens.streaming import replay
@@ -59,6 +59,11 @@ def q_envelope_audit(spark, sf_dir):
     return envelopes.audit_lines(records(spark, sf_dir), "behaviorlens", fallback_ms=F.lit(0))
 
 
+def q_review_selection(spark, sf_dir):
+    merged = evaluation.merge_reviews(*reviews(spark, sf_dir))
+    return evaluation.review_selection(combined(spark, sf_dir), merged, ["host", "window_start"], 3).drop("alert_precision")
+
+
 STREAM_FEATURES = ("value", "event_process_started_count", "event_unique_processes", "event_total_count")
 STREAM_SCALER = {"value": (50.0, 40.0), "event_process_started_count": (1.0, 2.0), "event_unique_processes": (2.0, 1.5), "event_total_count": (4.0, 2.5)}
 STREAM_W1 = np.array([[0.3, -0.2, 0.1, 0.4], [-0.5, 0.2, 0.6, 0.1]])
@@ -112,6 +117,11 @@ _STREAMED = EV + f"""
     y AS (SELECT *, CASE WHEN ratio >= 5 THEN 'critical' WHEN ratio >= 2.5 THEN 'high' WHEN ratio >= 1 THEN 'medium' ELSE 'normal' END AS severity FROM s)
 """
 CATALOGUE = {
+    "review_selection": (q_review_selection, REVIEWS + """
+        , g AS (SELECT count(*) AS alerts, count(*) FILTER (label <> 'unreviewed') AS reviewed, count(*) FILTER (label = 'benign') AS benign, count(*) FILTER (label = 'suspicious') AS suspicious,
+            count(*) FILTER (label = 'confirmed_attack') AS confirmed_attack FROM rv),
+        l AS (SELECT count(*) AS input_windows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rv WHERE rv.host = w.host AND rv.window_start = w.window_start AND label IN ('suspicious', 'confirmed_attack'))) AS selected_windows FROM w)
+        SELECT *, input_windows - selected_windows AS excluded_windows, alerts - reviewed AS unreviewed, alerts - reviewed > 3 OR selected_windows = 0 AS blocked FROM l, g"""),
     "envelope_upgrade": (q_envelope_upgrade, _RECORDS + """
         SELECT i AS event_id, native, CASE WHEN native THEN CASE WHEN k % 2 = 0 THEN 4001 ELSE 1007 END ELSE cu END::BIGINT AS class_uid, CASE WHEN native THEN CASE WHEN k % 2 = 0 THEN 400101 ELSE 100701 END ELSE cu * 100 + ai END::BIGINT AS type_uid,
             CASE WHEN native THEN ms_own ELSE ms END AS time, 1::BIGINT AS severity_id,
