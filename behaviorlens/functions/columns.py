@@ -116,6 +116,12 @@ def iso_z(micros: Column) -> Column:
     )
 
 
+def iso_micros(text: Column) -> Column:
+    """A time that names its zone as ISO 8601 in UTC with six digits and Z; null where the text is no time or names no zone."""
+    aware = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(?:Z|[+-]\d{2}:?\d{2})$")
+    return F.date_format(F.when(aware, F.try_to_timestamp(text)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def window_start(micros: Column, seconds: int) -> Column:
     """Epoch seconds of the tumbling window; fractions are cut towards zero first."""
     second = (micros / 1_000_000).cast("long")

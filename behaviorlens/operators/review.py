@@ -84,3 +84,16 @@ def demo_metrics(scores: DataFrame) -> DataFrame:
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     row = row.withColumn("recall", share("true_positives", "injected_anomalies")).withColumn("false_positive_rate", share("false_positives", "normal_samples"))
     return row.crossJoin(F.broadcast(named))  # one row each
+
+
+def metric_trends(metrics: DataFrame) -> DataFrame:
+    """Rows for a chart of metrics: percentages, processes, kB/s of the network and MB/s of the disks; what is missing or no finite number is 0."""
+    def number(name: str) -> Column:
+        x = F.col(name).try_cast("double")
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+
+    return metrics.select(
+        "timestamp", number("cpu_percent").alias("cpu"), number("memory_percent").alias("memory"), number("process_count").alias("processes"),
+        ((number("net_bytes_sent_per_sec") + number("net_bytes_recv_per_sec")) / 1024).alias("network_kbps"),
+        ((number("disk_read_bytes_per_sec") + number("disk_write_bytes_per_sec")) / (1024 * 1024)).alias("disk_mbps"),
+    )

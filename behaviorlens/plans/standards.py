@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.functions import columns as fn
-from behaviorlens.operators import detectors, envelopes, evaluation
+from behaviorlens.operators import detectors, envelopes, evaluation, review
 from behaviorlens.plans.behaviour import DAY, EV, LIMITS, REVIEWS, combined, ev_norm, reviews
 from behaviorlens.plans.records import pick
 from behaviorlens.sources.store import shared_dir
@@ -64,6 +64,16 @@ def q_review_selection(spark, sf_dir):
     return evaluation.review_selection(combined(spark, sf_dir), merged, ["host", "window_start"], 3).drop("alert_precision")
 
 
+def q_metric_trends(spark, sf_dir):
+    ev = ev_norm(spark, sf_dir)
+    odd = F.when(F.col("k") % 7 == 0, "nan").when(F.col("k") % 7 == 1, "bad").otherwise(F.col("k").cast("string"))
+    rows = ev.select(
+        "event_id", fn.iso_z(F.col("epoch_us")).alias("timestamp"), F.col("value").alias("cpu_percent"), odd.alias("memory_percent"), F.col("k").alias("process_count"), F.col("value").alias("net_bytes_sent_per_sec"),
+        F.when(F.col("k") % 3 > 0, F.col("k")).alias("net_bytes_recv_per_sec"), (F.col("value") * 1000).alias("disk_read_bytes_per_sec"), F.lit(None).cast("double").alias("disk_write_bytes_per_sec"),
+    )
+    return review.metric_trends(rows)
+
+
 STREAM_FEATURES = ("value", "event_process_started_count", "event_unique_processes", "event_total_count")
 STREAM_SCALER = {"value": (50.0, 40.0), "event_process_started_count": (1.0, 2.0), "event_unique_processes": (2.0, 1.5), "event_total_count": (4.0, 2.5)}
 STREAM_W1 = np.array([[0.3, -0.2, 0.1, 0.4], [-0.5, 0.2, 0.6, 0.1]])
@@ -149,6 +159,9 @@ CATALOGUE = {
         t AS (SELECT count(*) AS records, count(*) FILTER (native) AS native_envelopes, count(*) FILTER (NOT native) AS legacy_records_migrated, count(*) FILTER (bad) + (SELECT count(*) FROM f) AS invalid_records FROM b)
         SELECT kind, name, count(*) AS n FROM x GROUP BY ALL
         UNION ALL SELECT 'total', name, n FROM (SELECT *, (records > 0 AND invalid_records = 0)::BIGINT AS valid FROM t) UNPIVOT (n FOR name IN (records, native_envelopes, legacy_records_migrated, invalid_records, valid))"""),
+    "metric_trends": (q_metric_trends, EV + """
+        SELECT CASE WHEN us % 1000000 = 0 THEN strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ') END AS timestamp, value AS cpu,
+            CASE WHEN k % 7 < 2 THEN 0 ELSE k END::DOUBLE AS memory, k::DOUBLE AS processes, (value + CASE WHEN k % 3 > 0 THEN k ELSE 0 END) / 1024 AS network_kbps, value * 1000 / 1048576 AS disk_mbps FROM ev"""),
     "stream_model_scores": (q_stream_model_scores, _STREAMED + """
         SELECT host, window_start, metric_sample_count, round(value, 6) AS value, event_unique_processes, event_total_count, round(model_ratio, 6) AS model_ratio, round(ratio, 6) AS ratio, rules, top_feature, severity FROM y"""),
     "stream_alerts": (q_stream_alerts, _STREAMED + "SELECT host, severity, count(*) AS alerts, min(window_start) AS first, max(window_start) AS last FROM y WHERE ratio >= 1 GROUP BY host, severity"),

@@ -70,6 +70,23 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header a part; quotes inside values are doubled, nulls are empty."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A small report as JSON lines in one part, keys in order and nulls kept."""
+    write_jsonl(df.coalesce(1), path, mode)
+
+
+def dataset_manifest(path: str, source: DataFrame, events: DataFrame, dataset: str, facts: dict[str, str]) -> DataFrame:
+    """A row a file of path: the dataset and its facts (licence and the like), rows read and rows made, and the file's bytes and SHA-256."""
+    counts = source.agg(F.count("*").alias("source_rows")).crossJoin(events.agg(F.count("*").alias("normalized_rows")))  # one row each
+    named = [F.lit(dataset).alias("dataset"), *[F.lit(v).alias(k) for k, v in facts.items()]]
+    return file_hashes(source.sparkSession, path).crossJoin(F.broadcast(counts)).select(*named, F.col("path").alias("input"), "bytes", F.col("sha256").alias("input_sha256"), "source_rows", "normalized_rows")
+
+
 def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, bytes, sha256) of whole files."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
