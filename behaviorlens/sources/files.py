@@ -187,15 +187,14 @@ def archive_lines(spark: SparkSession, path: str, most_bytes: int = 512 << 20, m
             for name, size, content in zip(batch["path"], batch["length"], batch["content"], strict=True):
                 if size > most_bytes:
                     raise ValueError(f"{name} is larger than {most_bytes} bytes")
-                rows = []
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
                     for member in archive:
                         if member.name.startswith("/") or ".." in member.name.split("/"):
                             raise ValueError(f"unsafe member name in {name}")
                         if member.isfile():
-                            for no, line in enumerate(itertools.islice(io.TextIOWrapper(archive.extractfile(member), encoding="utf-8"), most_rows)):
-                                rows.append((member.name, no, line.rstrip("\n")))
-                yield pd.DataFrame(rows, columns=["member", "line_no", "value"])
+                            lines = enumerate(itertools.islice(io.TextIOWrapper(archive.extractfile(member), encoding="utf-8"), most_rows))
+                            while rows := [(member.name, no, line.rstrip("\n")) for no, line in itertools.islice(lines, 4096)]:
+                                yield pd.DataFrame(rows, columns=["member", "line_no", "value"])
 
     return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(unpack, "member string, line_no long, value string")
 
