@@ -18,8 +18,8 @@ from behaviorlens.functions.columns import vectorise
 from behaviorlens.operators.ordering import middle, order_statistic, order_statistics, with_position
 from behaviorlens.sources.store import stored
 
-#: Rows that one task descends over, about, and how often the parts' weights are averaged.
-PART_ROWS, ROUNDS = 2_000, 4
+#: Rows of a part, about, how often the parts' weights are averaged, and parts that a task descends over side by side.
+PART_ROWS, ROUNDS, TOGETHER = 2_000, 4, 128
 #: Rows of one key that a task takes in order.
 CHUNK_ROWS = 100_000
 
@@ -221,13 +221,59 @@ def _descend(z: np.ndarray, weights: list[np.ndarray], epochs: range, of: int, s
     return [w1, b1, w2, b2]
 
 
-def _part_descent(start: list[np.ndarray], epochs: range, of: int, seed: int):
-    """A function on the rows of one part: their number, and the weights after the descent times that number."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(part.sort_values("h", kind="stable")["z"].to_numpy())
-        own = _descend(z, [w.copy() for w in start], epochs, of, seed)
-        return pd.DataFrame({"n": [float(len(part))], "w": [np.concatenate([w.ravel() for w in own]) * len(part)]})
+def _orders(size: int, drawn: int, epochs: range, seed: int) -> list[np.ndarray]:
+    """The orders in which ``_descend`` takes a part of this size, of the given epochs."""
+    rng = random.Random(seed)
+    for _ in range(drawn):
+        rng.random()
+    order, found = list(range(size)), []
+    for epoch in range(epochs.stop):
+        rng.shuffle(order)
+        if epoch >= epochs.start:
+            found.append(np.array(order))
+    return found
+
+
+def _descend_together(parts: list[np.ndarray], weights: list[np.ndarray], epochs: range, of: int, seed: int, rate: float = 0.015) -> list[list[np.ndarray]]:
+    """What ``_descend`` gives for each part from the same weights.  A step takes the next row of every part at once; parts of fewer rows stop earlier."""
+    most = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    sizes = np.array([len(parts[i]) for i in most])
+    first = np.cumsum(sizes) - sizes
+    rows = np.concatenate([parts[i] for i in most])
+    w1, b1, w2, b2 = (np.repeat(w[..., None], len(parts), -1) for w in weights)  # parts are the last axis
+    drawn = weights[0].size + weights[2].size
+    orders = {n: _orders(n, drawn, epochs, seed) for n in set(sizes.tolist())}
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left").tolist()  # parts of more rows than the step's number
+    for turn, epoch in enumerate(epochs):
+        step = rate / (1 + epoch / of)
+        places = np.zeros((sizes[0], len(parts)), np.int64)
+        for p, n in enumerate(sizes.tolist()):
+            places[:n, p] = first[p] + orders[n][turn]
+        for i, n in enumerate(active):
+            v1, c1, v2, c2 = w1[..., :n], b1[..., :n], w2[..., :n], b2[..., :n]
+            z = rows[places[i, :n]].T
+            h = np.tanh((v1 * z).sum(1) + c1)
+            out = (v2 * h).sum(1) + c2 - z
+            back = (v2 * out[:, None]).sum(0) * (1 - h * h)
+            out *= step
+            back *= step
+            v2 -= out[:, None] * h
+            c2 -= out
+            v1 -= back[:, None] * z
+            c1 -= back
+    found: list[list[np.ndarray]] = [[]] * len(parts)
+    for place, i in enumerate(most):
+        found[i] = [w[..., place] for w in (w1, b1, w2, b2)]
+    return found
+
+
+def _parts_descent(start: list[np.ndarray], epochs: range, of: int, seed: int):
+    """A function on the rows of some parts: the sum of the weights after each part's descent times its number of rows."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.stack(part["z"].to_numpy()) for _, part in rows.sort_values(["part", "h"], kind="stable").groupby("part")]
+        found = _descend_together(parts, start, epochs, of, seed)
+        return pd.DataFrame({"w": [sum(np.concatenate([w.ravel() for w in own]) * len(part) for own, part in zip(found, parts, strict=True))]})
 
     return run
 
@@ -262,8 +308,8 @@ class Autoencoder:
         """Scaler, weights and threshold of all clean windows.
 
         The rows are dealt by hash to parts of about ``part_rows``.  In every round each part descends over its own rows from the common weights, for its share of
-        the epochs, and the parts' weights are averaged by their rows: one part is the plain descent over all of them.  What reaches the driver is
-        one model a group of parts."""
+        the epochs, and the parts' weights are averaged by their rows: one part is the plain descent over all of them.  A task takes a bounded number of parts
+        side by side.  What reaches the driver is one number a weight."""
         scaler = fit_scaler(clean, features)
         keyed = clean.select(F.xxhash64("host", "window_start").alias("h"), standardise(features, scaler).alias("z"))
         rows = stored(keyed, "autoencoder-rows")
@@ -272,11 +318,13 @@ class Autoencoder:
         model = cls.drawn(features, scaler, seed)
         shape = [x.shape for x in model.weights()]
         dealt = rows.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+        tasks = min(parts, max(-(-parts // TOGETHER), clean.sparkSession.sparkContext.defaultParallelism))
+        dealt = dealt.withColumn("task", F.pmod("part", F.lit(tasks))).repartitionById(tasks, F.col("task"))
         done = 0
         for turn in range(rounds):
             stop = epochs * (turn + 1) // rounds
-            descend = _part_descent(model.weights(), range(done, stop), epochs, seed)
-            found = dealt.groupBy("part").applyInPandas(descend, "n double, w array<double>")
+            descend = _parts_descent(model.weights(), range(done, stop), epochs, seed)
+            found = dealt.groupBy("task").applyInPandas(descend, "w array<double>")
             # Sums of weights in two steps, so that many parts do not meet in one task.
             summed = found.select(F.posexplode("w").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")) if n else None
             if summed is not None:

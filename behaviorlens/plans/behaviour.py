@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens.functions import columns as fn
 from behaviorlens.operators import detectors, evaluation, ordering, quality, rules, sessions, windows
+from behaviorlens.sources.store import stored
 
 DAY = 86_400
 #: Rule thresholds at which days of these tables fire.
@@ -360,8 +361,8 @@ def q_ewma(spark, sf_dir):
 
 
 def q_autoencoder_train(spark, sf_dir):
-    """Trains on the windows, the descent on a bounded sample by hash, and reports how its flags and the rules agree over all."""
-    w = combined(spark, sf_dir)
+    """Trains on all windows, which are written once, and reports how its flags and the rules agree over all."""
+    w = stored(combined(spark, sf_dir), "windows")
     features = ["value", "k", "event_process_started_count", "event_process_stopped_count", "event_total_count"]
     model = detectors.Autoencoder.fit_windows(w, features)
     out = rules.fuse(model.apply(w, 5), F.col("model_ratio"), LIMITS)

@@ -54,3 +54,22 @@ def test_scores_with_filters_keep_a_small_plan(spark):
     for i, r in found.items():
         assert abs(r["model_error"] - want[i].mean()) < 1e-12 and [t["feature"] for t in r["top_features"]] == [names[j] for j in np.argsort(-want[i], kind="stable")[:5]]
     assert {r["id"] for r in kept.collect()} == {i for i in range(50) if want[i].mean() > 0.5}
+
+
+def test_parts_descend_side_by_side_as_alone():
+    rng = np.random.default_rng(1)
+    parts = [rng.normal(size=(n, 5)) for n in (40, 1, 57, 57)]
+    model = detectors.Autoencoder.drawn(list("abcde"), {}, 42)
+    together = detectors._descend_together(parts, model.weights(), range(2, 5), 8, 42)
+    for part, found in zip(parts, together, strict=True):
+        alone = detectors._descend(part, [w.copy() for w in model.weights()], range(2, 5), 8, 42)
+        assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(alone, found, strict=True))
+
+
+def test_a_task_takes_many_parts(spark, monkeypatch):
+    """Small parts share a task's steps, with the weights that one part a task gives."""
+    rows = spark.range(300).select(F.lit("h").alias("host"), F.col("id").alias("window_start"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    many = detectors.Autoencoder.fit_windows(rows, ["x", "y"], epochs=8, part_rows=30)
+    monkeypatch.setattr(detectors, "TOGETHER", 1)
+    one = detectors.Autoencoder.fit_windows(rows, ["x", "y"], epochs=8, part_rows=30)
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(many.weights(), one.weights(), strict=True))
