@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from behaviorlens.functions.columns import exposures_nested, is_sensitive_key, parse_timestamp, redact_text
 from behaviorlens.operators.sessions import behind_running_max
+from behaviorlens.sources.store import stored
 
 
 def timestamp_audit(df: DataFrame, text: str = "timestamp", identity: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -103,23 +107,76 @@ def own_survivors(df: DataFrame, key: str, values: Column, output: Column) -> Da
     return df.select(key, F.explode(F.array_distinct(left)).alias("value"))
 
 
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every SURVIVING characters that follow each other within a text, and the number of the text they stand in."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    n = max(0, len(codes) - SURVIVING + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SURVIVING):
+        h = (h ^ codes[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    whole = left[:n] >= SURVIVING
+    return h[whole].view(np.int64), owner[:n][whole]
+
+
+def _head(value: Column) -> Column:
+    """The hash of the first SURVIVING characters of values of at least so many."""
+    @F.arrow_udf("long")
+    def hashed(values: pa.Array) -> pa.Array:
+        return pa.array(_windows([v[:SURVIVING] for v in values.to_pylist()])[0])
+
+    return hashed(value)
+
+
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """The two places of a hash in the filter."""
+    return [h >> s & (FILTER_BITS - 1) for s in (0, 32)]
+
+
+def _suspects(batches: Iterable[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """key, text and hash of every window of a text that passes the filter, once each."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        start = 0
+        while start < len(texts):  # about SLICE characters at once; a longer text alone
+            stop, held = start, 0
+            while stop < len(texts) and (stop == start or held + len(texts[stop] or "") <= SLICE):
+                held += len(texts[stop] or "")
+                stop += 1
+            h, owner = _windows([t or "" for t in texts[start:stop]])
+            maybe = np.logical_and(*[bits[p >> 5] >> (p & 31).astype(np.uint32) & 1 == 1 for p in _places(h)])
+            found = pa.table({"o": owner[maybe] + start, "h": h[maybe]}).group_by(["o", "h"]).aggregate([])
+            for k in range(0, len(found), 1000):  # each carries its text
+                part = found.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([*[c.take(part["o"].combine_chunks()) for c in batch.columns], part["h"].combine_chunks()], [*batch.schema.names, "h"])
+            start = stop
+
+
 def survivors(values: DataFrame, outputs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, value) of every raw value of 8 characters or more that stands anywhere in any output text.
 
-    Values and texts meet by 8 characters: a value by its first 8, a text by every 8 of its characters that follow each other, once each.  A filter of fixed
-    size over the values' beginnings keeps the others from being shuffled; what meets is compared whole."""
-    heads = values.select(F.col("value")).where(F.length("value") >= SURVIVING).distinct().withColumn("h", F.xxhash64(F.substring("value", 1, SURVIVING)))
-    words = F.transform(F.sequence(F.lit(1), F.length(text) - (SURVIVING - 1)), lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(SURVIVING))))
-    grams = outputs.where(F.length(text) >= SURVIVING).select(key, text, F.explode(F.array_distinct(words)).alias("h"))
-    n = heads.count()
-    if n <= FILTER_MOST:  # a bounded list; with more values everything meets in the join
-        bits = heads.select((F.col("h").bitwiseAND(FILTER_BITS - 1)).alias("p")).distinct()
-        grams = grams.withColumn("p", F.col("h").bitwiseAND(FILTER_BITS - 1)).join(F.broadcast(bits), "p", "left_semi").drop("p")
+    Values and texts meet by 8 characters: a value by its first 8, a text by every 8 of its characters that follow each other, hashed in one pass over it.  A
+    filter of fixed size over the values' beginnings keeps the others from being shuffled; what meets is compared whole."""
+    heads = stored(values.select(F.col("value")).where(F.length("value") >= SURVIVING).distinct().withColumn("h", _head(F.col("value"))), "survivors-values")
+    bits = np.full(FILTER_BITS // 32, 0xFFFFFFFF, np.uint32)
+    if heads.count() <= FILTER_MOST:
+        places = heads.select(F.explode(F.array(*[F.shiftright("h", s).bitwiseAND(FILTER_BITS - 1) for s in (0, 32)])).alias("p"))
+        words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toPandas()
+        bits[:] = 0
+        bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    carried = heads.sparkSession.sparkContext.broadcast(bits)
+    texts = outputs.select(key, F.col(text).cast("string").alias(text))
+    schema = StructType([*texts.schema.fields, StructField("h", LongType())])
+    grams = texts.mapInArrow(lambda it: _suspects(it, carried.value), schema)
     return grams.join(heads, "h").where(F.contains(text, "value")).select(key, "value").distinct()
 
 
-#: Places of the filter over values, and values beyond which it is left out: its broadcast has at most so many numbers.
-FILTER_BITS, FILTER_MOST = 1 << 24, 100_000
+#: Places of the filter over values: its broadcast has 2 MB, whatever the input.  Values beyond which it would let most windows pass and is left open.
+FILTER_BITS, FILTER_MOST = 1 << 24, 1 << 23
+#: Characters of texts that are hashed at once.
+SLICE = 500_000
 
 
 def noisy_rules(scored: DataFrame, most: float = 0.05) -> DataFrame:

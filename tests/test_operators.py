@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import time
 import uuid
 
 import pytest
@@ -178,3 +179,13 @@ def test_json_lines_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "é")], "b long, a string")
     files.write_jsonl(df, str(tmp_path / "out"))
     assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "out"), "a string, b long").collect()), key=repr) == [("é", 2), (None, 1)]
+
+
+def test_survivors_of_long_texts_take_one_pass(spark):
+    """A text of 300,000 characters: windows cut one by one from its start would take as many steps as its square."""
+    text = "é" * 150_000 + "kept😀secret" + "x" * 150_000
+    o = spark.createDataFrame([(1, text), (2, "kept😀secre"), (3, None), (4, "")], "id long, text string")
+    v = spark.createDataFrame([("kept😀secret",), ("kept😀sec",), ("short",), (None,)], "value string")
+    start = time.time()
+    assert sorted(map(tuple, quality.survivors(v, o, "id", "text").collect())) == [(1, "kept😀sec"), (1, "kept😀secret"), (2, "kept😀sec")]
+    assert time.time() - start < 30
