@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,20 @@ def alert_id(timestamp: Column, host: Column, category: Column, rules: Column, f
     return F.concat(F.lit("hwa-"), F.substring(F.sha2(ascii_json(F.to_json(identity, {"ignoreNullFields": "false"})), 256), 1, 16))
 
 
+def six_digits(value: Column) -> Column:
+    """A double with six digits behind the point, rounded by its exact binary value as C and Python do; format_string rounds its shortest decimal form, and halves up."""
+    @F.arrow_udf("string")
+    def printed(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "%.6f" % v for v in x.to_pylist()], pa.string())
+
+    return printed(value)
+
+
 def review_rows(alerts: DataFrame) -> DataFrame:
     """Rows for analysts, all strings; alerts has event_timestamp, host, category, severity, ratio, model_ratio, rules and features (arrays of names)."""
     plain = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     names = lambda c: F.array_join(F.filter(c, lambda x: x != ""), ";")
-    number = lambda *c: F.format_string("%.6f", F.coalesce(*[F.col(x).cast("double") for x in c], F.lit(0.0)))
+    number = lambda *c: six_digits(F.coalesce(*[F.col(x).cast("double") for x in c], F.lit(0.0)))
     return alerts.select(
         alert_id(F.col("event_timestamp"), F.col("host"), F.col("category"), F.col("rules"), F.col("features")).alias("alert_id"), plain("event_timestamp", "").alias("event_timestamp"),
         plain("severity", "unknown").alias("severity"), plain("category", "unknown").alias("category"), number("ratio").alias("ratio"), number("model_ratio", "ratio").alias("model_ratio"),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.functions import columns as fn
-from behaviorlens.operators import detectors, evaluation, ordering, quality, rules, sessions, windows
+from behaviorlens.operators import detectors, evaluation, ordering, quality, review, rules, sessions, windows
 from behaviorlens.sources import files
 
 
@@ -189,3 +189,8 @@ def test_survivors_of_long_texts_take_one_pass(spark):
     start = time.time()
     assert sorted(map(tuple, quality.survivors(v, o, "id", "text").collect())) == [(1, "kept😀sec"), (1, "kept😀secret"), (2, "kept😀sec")]
     assert time.time() - start < 30
+
+
+def test_review_numbers_are_rounded_by_their_exact_value(spark):
+    rows = spark.createDataFrame([(0.5635625,), (0.0000005,), (2.5,), (float("nan"),), (None,), (-1e22,)], "x double")
+    assert [r[0] for r in rows.select(review.six_digits(F.col("x"))).collect()] == [None if x is None else f"{x:.6f}" for x in (0.5635625, 0.0000005, 2.5, float("nan"), None, -1e22)]
