@@ -20,8 +20,8 @@ from behaviorlens.sources.store import stored
 
 #: Rows of a part, about, how often the parts' weights are averaged, and parts that a task descends over side by side.
 PART_ROWS, ROUNDS, TOGETHER = 2_000, 4, 128
-#: Rows of one key that a task takes in order.
-CHUNK_ROWS = 100_000
+#: Rows of one key that a task takes in order, and rows of short keys that meet in a group, about.
+CHUNK_ROWS, GROUP_ROWS = 100_000, 25_000
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -133,6 +133,21 @@ def drift_compare(reference: DataFrame, current: DataFrame, features: Sequence[s
 def _ewma_chunk(x: np.ndarray, mean: np.ndarray, var: np.ndarray, alpha: float, floor: float, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of rows in order, and the means and variances after them.  A row whose score reaches the threshold is scored but not learnt."""
     scores, most = np.empty(len(x)), min(3, x.shape[1])
+    if x.shape[1] == 1:  # plain numbers take the same steps without an array a row
+        m, v, keep, root = float(mean[0]), float(var[0]), 1 - alpha, math.sqrt
+        found = []
+        for value in x[:, 0].tolist():
+            diff = value - m
+            scale, least = root(v), 0.01 * abs(m)
+            scale = least if least > scale else scale
+            score = abs(diff) / (floor if floor > scale else scale)
+            found.append(score)
+            if threshold is None or score < threshold:
+                m += alpha * diff
+                v = keep * (v + alpha * diff * diff)
+                v = floor if floor > v else v
+        scores[:] = found
+        return scores, np.array([m]), np.array([v])
     for i, row in enumerate(x):
         diff = row - mean
         z = np.abs(diff) / np.maximum(np.maximum(np.sqrt(var), 0.01 * np.abs(mean)), floor)
@@ -163,15 +178,25 @@ def ewma_scores(df: DataFrame, key: str | None, features: Sequence[str], order:
     kind = rows.schema[own].dataType.simpleString()
     first = None if start is None else [np.array(s, float) for s in start]
 
+    # Short keys share a group, since a group of its own costs a key more than its rows do.
+    groups = rows.count() // GROUP_ROWS + 1
+    grouped = lambda df: df.withColumn("__group", F.pmod(F.xxhash64(own, "__chunk"), F.lit(groups))).groupBy("__group")
+
     def run(part: pd.DataFrame, state: pd.DataFrame, scored: bool) -> pd.DataFrame:
-        part = part.sort_values("__pos")
-        x = np.stack(part["__x"].to_numpy()).astype(float)
-        given = len(state) and state["mean"].iloc[0] is not None
-        mean, var = (np.array(state[c].iloc[0], float) for c in ("mean", "var")) if given else (x[0].copy(), np.full(x.shape[1], floor)) if first is None else first
-        scores, mean, var = _ewma_chunk(x, mean, var, alpha, floor, threshold)
+        part = part.sort_values([own, "__chunk", "__pos"])
+        x = np.stack(part["__x"].to_numpy()).astype(float) if len(part) else np.zeros((0, len(names)))
+        keys, chunks = part[own].to_numpy(), part["__chunk"].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+        given = {(k, c): (m, v) for k, c, m, v in zip(state[own], state["__chunk"], state["mean"], state["var"], strict=True) if m is not None}
+        scores, ends = np.zeros(len(x)), []
+        for i, j in zip([0, *cuts] if len(x) else [], [*cuts, len(x)], strict=len(x) > 0):
+            found = given.get((keys[i], chunks[i]))
+            mean, var = [np.array(s, float) for s in found] if found else (x[i].copy(), np.full(x.shape[1], floor)) if first is None else first
+            scores[i:j], mean, var = _ewma_chunk(x[i:j], mean, var, alpha, floor, threshold)
+            ends.append((keys[i], chunks[i], mean.tolist(), var.tolist()))
         if scored:
             return pd.DataFrame({"__pos": part["__pos"], "ewma_score": scores})
-        return pd.DataFrame({own: part[own].iloc[:1], "__chunk": part["__chunk"].iloc[:1], "mean": [mean.tolist()], "var": [var.tolist()]})
+        return pd.DataFrame(ends, columns=[own, "__chunk", "mean", "var"])
 
     light = rows.select(own, "__chunk", "__pos", "__x")
     none = F.lit(None).cast("array<double>")
@@ -181,7 +206,7 @@ def ewma_scores(df: DataFrame, key: str | None, features: Sequence[str], order:
     again, ends = used, None
     while True:
         part = light.join(again.select(own, "__chunk"), [own, "__chunk"], "left_semi") if ends is not None else light
-        done = part.groupBy(own, "__chunk").cogroup(again.groupBy(own, "__chunk")).applyInPandas(lambda a, b: run(a, b, False), schema)
+        done = grouped(part).cogroup(grouped(again)).applyInPandas(lambda a, b: run(a, b, False), schema)
         done = done if ends is None else done.unionByName(ends.join(again.select(own, "__chunk"), [own, "__chunk"], "left_anti"))
         ends = stored(done, "ewma-ends")
         now = stored(ends.select(own, "__chunk", lag("mean"), lag("var")), "ewma-starts")
@@ -190,7 +215,7 @@ def ewma_scores(df: DataFrame, key: str | None, features: Sequence[str], order:
         used = now
         if not again.count():
             break
-    scores = light.groupBy(own, "__chunk").cogroup(used.groupBy(own, "__chunk")).applyInPandas(lambda a, b: run(a, b, True), "__pos long, ewma_score double")
+    scores = grouped(light).cogroup(grouped(used)).applyInPandas(lambda a, b: run(a, b, True), "__pos long, ewma_score double")
     scored = rows.drop("__x", "__chunk").join(scores, "__pos").drop("__pos")
     last = ends.groupBy(own).agg(F.max_by("mean", "__chunk").alias("mean"), F.max_by("var", "__chunk").alias("var"))
     return (scored, last) if key else (scored.drop(own), last.drop(own))

@@ -89,3 +89,14 @@ def test_evaluation(spark):
     assert sum(r["windows"] for r in found["disagreement"].collect()) == 18
     with pytest.raises(ValueError):
         api.evaluate_combined(df.limit(9), names)
+
+
+def test_ewma_of_one_feature_takes_the_steps_of_several():
+    """One feature runs on plain numbers; three equal features run on arrays and score alike."""
+    x = np.random.default_rng(1).normal(5, 30, (3000, 1))
+    x[::50] *= 50
+    y = np.concatenate([x, x, x], 1)
+    for threshold in (None, 4.0):
+        one = detectors._ewma_chunk(x, x[0].copy(), np.full(1, 1e-6), 0.05, 1e-6, threshold)
+        three = detectors._ewma_chunk(y, y[0].copy(), np.full(3, 1e-6), 0.05, 1e-6, threshold)
+        assert np.allclose(one[0], three[0], rtol=1e-12) and one[1][0] == three[1][0] and one[2][0] == three[2][0]
