@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import bm25, chat_format, exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, token_store
+from behaviorlens.llm import bm25, chat_format, common, exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, token_store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, node string, keep_id string"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -389,6 +389,33 @@ def test_quality_equals_a_brute_force_model(spark):
     assert abs(sum(brute.p((*context, s)) for s in symbols) - 1) < 1e-9
 
 
+def test_quality_learns_from_all_trusted_texts(spark):
+    """No trusted text is left out of the model, and all of them set thresholds, each measured by the half it is not in."""
+    docs, marks = corpus(spark)
+    trusted = marks.where("quality = 1").select("doc_id")
+    whole = quality.train(docs.join(trusted, "doc_id", "left_semi"))
+    by_id = lambda rows: {r["doc_id"]: r["log_p"] for r in rows.collect()}
+    found, want = by_id(quality.score(docs, quality.fit(docs, marks))), by_id(quality.score(docs, whole))
+    assert found.keys() == want.keys() and all(abs(found[d] - want[d]) < 1e-5 * (1 + abs(want[d])) for d in want)
+    half = {r["doc_id"]: r["h"] for r in trusted.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    brute = [BruteKneserNey([texts[d] for d in sorted(half) if half[d] == h]) for h in (0, 1)]
+    logs = {r["doc_id"]: r["logs"] for r in quality.score(docs, quality.fit(docs, marks)).collect()}
+    for d in list(texts)[:40]:
+        assert all(abs(logs[d][h] - brute[h].log_p(texts[d])) < 1e-5 * (1 + abs(logs[d][h])) for h in (0, 1)), d
+
+
+def test_separator_is_a_semi_join(spark, monkeypatch):
+    docs = spark.range(400).select((F.col("id") % 300).alias("k"), F.col("id").alias("other")).unionByName(spark.sql("select null as k, 1L as other"))
+    members = spark.range(500).where("id % 3 = 0").select(F.col("id").alias("k"))
+    want = sorted(map(tuple, docs.join(members, "k", "left_semi").collect()))
+    for bits, most in ((1 << 23, 1 << 23), (1 << 9, 350), (1 << 9, 50)):  # one filter, several, and the join
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        monkeypatch.setattr(common, "FILTER_MOST", most)
+        assert sorted(map(tuple, common.separator(docs, "k", members).collect())) == want
+    assert common.separator(docs, "k", members.where("k < 0")).count() == 0
+
+
 def test_quality_edges(spark, edge, none):
     docs, marks = corpus(spark)
     got = {r["doc_id"]: r["kept"] for r in quality.classify(docs.unionByName(edge.where("doc_id < 4").withColumn("doc_id", F.col("doc_id") + 1000)), marks).collect()}
