@@ -90,3 +90,12 @@ def test_replay_goes_on_and_closes(spark, tmp_path):
     write([("c", 1000, "h", 4.0)])
     scores, _ = replay.replay(spark, str(tmp_path / "in"), build, str(tmp_path / "run"), 300)
     assert sorted((r["host"], r["window_start"]) for r in scores.collect()) == [("h", 0), ("h", 60), ("h", 960), ("unknown", 0)]
+
+
+def test_narrow_events_are_dealt_out_and_audited_once(spark):
+    from behaviorlens.plans import standards
+
+    sf = "/root/testdata/sf0.001"
+    assert standards.records(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    plan = standards.q_envelope_audit(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1
