@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import materialize, table, trimmed
+from behaviorlens.llm.common import give_back, materialize, table, trimmed
 from behaviorlens.llm.encoding import REMEMBERED, SLICE, Encoder, slices
 
 #: Tokens of a window.
@@ -26,6 +26,10 @@ CAPACITY = 1024
 WINDOWS = 48
 #: Share of a shard's tokens that is cut into small pieces, and the pieces' sizes.
 FILLER, SMALL = 0.03, (32, 16, 8, 4, 2, 1)
+#: Pieces of an Arrow batch, of at most 4 KB of ids each: the task holds a batch several times over, the JVM once more.
+ROWS = 256
+#: Bytes of text after which a task gives back what its allocators keep of earlier slices.
+KEPT_BYTES = 4 << 20
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -122,14 +126,16 @@ class Shards:
         self.next += len(offsets)
         self.items, self.total, self.small = [], 0, 0
 
-    def batch(self) -> pa.RecordBatch:
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The rows so far, in batches of at most ``ROWS``, however many a long document or a shard has."""
         rows, self.rows = self.rows, []
-        doc, start, size, n, seq, at, data = zip(*rows, strict=True) if rows else ((),) * 7
         long = pa.int64()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, long), pa.array(start, long), pa.array(size, long), pa.array(n, long), pa.array(seq, long), pa.array(at, long), pa.array(data, pa.binary())],
-            ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-        )
+        for k in range(0, len(rows), ROWS):
+            doc, start, size, n, seq, at, data = zip(*rows[k : k + ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, long), pa.array(start, long), pa.array(size, long), pa.array(n, long), pa.array(seq, long), pa.array(at, long), pa.array(data, pa.binary())],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
 
 
 def _pack_task(
@@ -138,17 +144,22 @@ def _pack_task(
     context = TaskContext.get()
     shards = Shards(capacity, windows, (context.partitionId() if context else 0) << 40)
     encoder = Encoder(path, remembered)  # lives as long as the task: workers that wait hold no pieces
+    read = 0
     for batch in batches:
         for first, stop in slices(batch.column(1), slice_bytes):
+            read += slice_bytes
+            if read >= KEPT_BYTES:
+                give_back()
+                read = 0
             ids, sizes = encoder.encode(batch.column(1).slice(first, stop - first))
             ids = np.insert(ids, np.cumsum(sizes), end).astype("<u4", copy=False)
             ends = np.cumsum(sizes + 1).tolist()
             for doc, start, n in zip(batch.column(0).slice(first, stop - first).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                 shards.add(doc, ids[start:n])
-                if len(shards.rows) > 2000:
-                    yield shards.batch()
+                if len(shards.rows) >= ROWS:
+                    yield from shards.batches()
     shards.close()
-    yield shards.batch()
+    yield from shards.batches()
 
 
 def pack_documents(
