@@ -72,3 +72,23 @@ def test_registered(spark, library):
         ids = library.encode_ordinary(t or "")
         want[d] = (len(ids), hexed(",".join(map(str, ids)).encode()), hexed((t or "").encode()))
     assert got == want
+
+
+def test_words_of_any_length_are_folded_without_python(spark, library):
+    """Possible merges are found and merged by higher-order functions alone, of words of more than 62 bytes too."""
+    import pyarrow as pa
+
+    ranks = byte_bpe._ranks_of(byte_bpe.RANKS)
+    words = [w.encode() for w in (" wörterbuch", "x" * 700, "a", "internationalization", "ab" * 31, "ab" * 31 + "c", "中文字符" * 40, "é" * 150, "the" * 90, " " * 65, "y", "z" * 61, "xyzzy" * 60)]
+    given = spark.createDataFrame(pa.table(byte_bpe._by_position(words)))
+    tables = spark.createDataFrame(byte_bpe._automaton_of(byte_bpe.RANKS).table, byte_bpe.Automaton.SCHEMA)
+    got = given.crossJoin(tables.selectExpr("struct(moves, after, ends, ids) tables")).select(byte_bpe.fold_words(byte_bpe.F.col("tables"), ranks).alias("x")).first()["x"]
+    assert got == [byte_bpe.merged(w, ranks.ranks)[0] for w in words]
+
+
+def test_other_files_are_merged_pair_by_pair(spark):
+    ranks = byte_bpe.Ranks(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*(bytes([i]) for i in range(256)), b"abcd", b"xyz", b"xy", b"cd", b"aa"])))
+    words = [b"abcdx", b"xyz", b"wxyzab", b"a" * 7, b"a", b"abcd", b"cd" * 40]
+    found = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", byte_bpe._let(ranks.map_column(), lambda r: byte_bpe.encode_pairwise(byte_bpe.F.col("w"), r)).alias("x")).collect()
+    assert ranks.pairwise
+    assert {bytes(r["w"]): r["x"] for r in found} == {w: [ranks.ranks[w]] if w in ranks.ranks else byte_bpe.merged(w, ranks.ranks)[0] for w in words}
