@@ -28,10 +28,19 @@ def with_window(df: DataFrame, seconds: int) -> DataFrame:
     return df.where("epoch_us is not null").withColumn("host", host).withColumn("window_start", window_start(F.col("epoch_us"), seconds))
 
 
-def metric_windows(metrics: DataFrame, features: Sequence[str], seconds: int = 60) -> DataFrame:
-    """Count and means by window; a missing or bad value counts as 0 in the mean."""
-    means = [(F.sum(F.coalesce(F.col(f).try_cast("double"), F.lit(0.0))) / F.count("*")).alias(f) for f in features]
-    return with_window(metrics, seconds).groupBy(*KEYS).agg(F.count("*").alias("metric_sample_count"), *means)
+def metric_windows(metrics: DataFrame, features: Sequence[str], seconds: int = 60, order: str | None = None) -> DataFrame:
+    """Count and means by window; a missing or bad value counts as 0 in the mean.
+
+    The last bits of a sum of doubles depend on the order of its terms.  With the name of a column as order they are added in its order,
+    one after the other, so that a mean is the same in any run; a window's rows then pass one task as a sorted stream.  Without, they are added as they come."""
+    rows = with_window(metrics, seconds)
+    numbers = {f: F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) for f in features}
+    if order is None:
+        return rows.groupBy(*KEYS).agg(F.count("*").alias("metric_sample_count"), *[(F.sum(x) / F.count("*")).alias(f) for f, x in numbers.items()])
+    upto = Window.partitionBy(*KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(*KEYS, F.count("*").over(upto).alias("n"), F.struct(*[F.sum(x).over(upto).alias(f) for f, x in numbers.items()]).alias("sums"))
+    whole = sums.groupBy(*KEYS).agg(F.max("n").alias("metric_sample_count"), F.max_by("sums", "n").alias("sums"))
+    return whole.select(*KEYS, "metric_sample_count", *[(F.col("sums")[f] / F.col("metric_sample_count")).alias(f) for f in features])
 
 
 def event_windows(events: DataFrame, seconds: int = 60) -> DataFrame:
@@ -44,9 +53,9 @@ def event_windows(events: DataFrame, seconds: int = 60) -> DataFrame:
     return counted.groupBy(*KEYS).agg(*counts, *names, F.count("*").alias("event_total_count"))
 
 
-def combined_windows(metrics: DataFrame, events: DataFrame, features: Sequence[str], seconds: int = 60) -> DataFrame:
-    """Metric windows with the events of the same host and window; windows without events have zeros."""
-    joined = metric_windows(metrics, features, seconds).join(event_windows(events, seconds), KEYS, "left")
+def combined_windows(metrics: DataFrame, events: DataFrame, features: Sequence[str], seconds: int = 60, order: str | None = None) -> DataFrame:
+    """Metric windows with the events of the same host and window; windows without events have zeros.  order is that of metric_windows."""
+    joined = metric_windows(metrics, features, seconds, order).join(event_windows(events, seconds), KEYS, "left")
     return joined.fillna(0, [*COUNTS, *DISTINCTS, "event_total_count"])
 
 

@@ -65,7 +65,7 @@ RULES = """
 
 def combined(spark, sf_dir):
     ev = ev_norm(spark, sf_dir)
-    return windows.combined_windows(ev, ev, ["value", "k"], DAY)
+    return windows.combined_windows(ev, ev, ["value", "k"], DAY, "event_id")
 
 
 def scored(spark, sf_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens.functions import columns as fn
 from behaviorlens.operators import detectors, evaluation, ordering, quality, review, rules, sessions, windows
+from behaviorlens.plans import behaviour
 from behaviorlens.sources import files
 
 
@@ -57,6 +58,22 @@ def test_bad_values_count_as_zero_in_the_mean(spark):
     assert [(x["host"], x["metric_sample_count"], x["cpu"]) for x in r] == [("unknown", 2, 5.0)]
 
 
+def test_means_add_values_in_the_order_of_events(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1: the files hold the events from the last to the first."""
+    values = {day: [round((i * 7919 + day * 31) % 10_007 / 100, 2) for i in range(8 + day % 5)] for day in range(60)}
+    rows = [(day * 100 + i, day * 86_400, v, f'{{"k": {i}}}') for day, own in values.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows[::-1], "event_id long, s long, value double, props string").coalesce(3)
+    df.select("event_id", F.timestamp_seconds("s").alias("ts"), F.lit(1).alias("user_id"), F.lit("click").alias("event_type"), "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for day, own in values.items():
+        total = 0.0
+        for v in own:
+            total += v
+        want[day * 86_400] = (len(own), total / len(own))
+    got = {r["window_start"]: (r["metric_sample_count"], r["value"]) for r in behaviour.combined(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_rules_and_fusion(spark):
     df = spark.createDataFrame([(8, 1, 0, 0, 0, 0, 0)], "event_authentication_failure_count long, event_authentication_success_count long, event_package_installed_count long, event_package_removed_count long, event_package_updated_count long, event_process_started_count long, event_privilege_elevation_count long")
     r = rules.fuse(df, F.lit(0.2)).first()
