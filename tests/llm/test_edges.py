@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,52 @@ def test_bm25_shards_give_the_brute_force_result(spark):
         assert [got[q][i + 1] for i in range(len(best))] == best
 
 
+def test_bm25_thresholds_of_the_first_shards_hold_in_the_others(spark, monkeypatch):
+    """Every shard once gave its own k best; now those after the first give what can still be among the k best of all."""
+    tables = []
+    keep = lambda df, label: tables.append((label, bm25_materialize(df, label))) or tables[-1][1]
+    bm25_materialize = bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", keep)
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"{'ab'[d % 2]}{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(5, 60)))) for d in range(600)]
+    df = documents(spark, rows)
+    queries = df.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    one = {tuple(r) for r in bm25.search(df, queries, k=5).collect()}
+    many = {tuple(r) for r in bm25.search(df, queries, k=5, shard_words=600).collect()}
+    assert one == many and len(many) == 12 * 5
+    whole, *parts = [t.count() for label, t in tables if label == "bm25-found"]
+    shards = -(-sum(len(t.split()) for _, t in rows) // 600)
+    assert whole == 60 and sum(parts) < 12 * 5 * shards / 2
+
+
+def test_bm25_skips_blocks_below_the_threshold(monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "DENSE", 6)
+    rng = random.Random(6)
+    texts = [" ".join(f"{'ab'[d % 2]}{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(1, 40))) for d in range(200)]
+    terms = sorted({w for t in texts for w in bm25.words_of(t)})
+    index = bm25.ShardIndex(np.arange(200), texts, terms, 20.0)
+    queries = [(np.array([terms.index(w) for w in sorted(set(texts[q].split()))]), np.full(len(set(texts[q].split())), 1.5)) for q in range(20)]
+    scored, whole = [], index._whole_scores
+    index._whole_scores = lambda docs: scored.append(len(docs)) or whole(docs)
+    full = [sorted(zip(s.tolist(), d.tolist(), strict=True)) for d, s in index.search(queries, 10)]
+    least = np.array([f[-10][0] for f in full])
+    bounded = [sorted(zip(s.tolist(), d.tolist(), strict=True)) for d, s in index.search(queries, 10, least)]
+    assert bounded == full and sum(scored) < 20 * 200 / 2
+    high = list(index.search(queries, 10, np.full(20, 1e6)))
+    assert all(len(d) == 0 for d, _ in high) and len(high) == 20
+
+
+def test_bm25_words_are_those_of_the_pattern():
+    odd = [chr(i) for i in range(0x3100) if chr(i) != "\ud800"]
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice("abÉß_ -9½²\x1c\x85\u00a0—İ") for _ in range(50))
+        assert bm25.words_of(text) == bm25._WORD.findall(text.lower())
+        plain = "".join(rng.choice("abÉß_ -9½²\x1c\x85\u00a0—İ") for _ in range(50))
+        assert bm25.words_of(plain) == bm25._WORD.findall(plain.lower())
+
+
 def corpus(spark):
     """Ordinary sentences, junk and toxic texts with labels."""
     rng = random.Random(4)
