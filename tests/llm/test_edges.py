@@ -327,6 +327,8 @@ def test_bm25_skips_blocks_below_the_threshold(monkeypatch):
     least = np.array([f[-10][0] for f in full])
     bounded = [sorted(zip(s.tolist(), d.tolist(), strict=True)) for d, s in index.search(queries, 10, least)]
     assert bounded == full and sum(scored) < 20 * 200 / 2
+    monkeypatch.setattr(bm25, "SUMS", 500)  # two queries at once
+    assert [sorted(zip(s.tolist(), d.tolist(), strict=True)) for d, s in index.search(queries, 10, least)] == full
     high = list(index.search(queries, 10, np.full(20, 1e6)))
     assert all(len(d) == 0 for d, _ in high) and len(high) == 20
 
